@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartula.llm import tokenizer
+from cartula.llm import leakage, mixture, splits, tokenizer
 from cartula.plans.lineage import table
 
 
@@ -13,5 +14,57 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a training and an evaluation record that are the same or nearly so."""
+    t, v = table(spark, folder, "deepmount_pii_it_train"), table(spark, folder, "validation_real")
+    return leakage.overlaps(t, v, "rec_id", "rec_id").select(F.col("train_id").alias("train_rec_id"), F.col("eval_id").alias("val_rec_id"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping evaluation records per split and source."""
+    t, v = table(spark, folder, "deepmount_pii_it_train"), table(spark, folder, "validation_real")
+    return leakage.overlap_report(leakage.overlaps(t, v, "rec_id", "rec_id"), v, "rec_id", "split", "source")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of groups in which at least two known templates occur."""
+    return splits.related(table(spark, folder, "synthetic_pii_it_200k"), table(spark, folder, "legal_templates"))
+
+
+def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its group and its split."""
+    return splits.records_in_splits(spark, table(spark, folder, "synthetic_pii_it_200k"), table(spark, folder, "legal_templates"))
+
+
+def _sizes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sizes = mixture.measured(table(spark, folder, "documents"), "doc_id", "text", "source")
+    return sizes, mixture.budgets(sizes, table(spark, folder, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources too small for their weight even when every document is used as often as allowed."""
+    return _sizes(spark, folder)[1].where("short").select("source")
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document of the mixture and how often it is used."""
+    return mixture.mixture(*_sizes(spark, folder))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    sizes, plan = _sizes(spark, folder)
+    return mixture.shares(mixture.mixture(sizes, plan), plan)
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p4_found": p4_found,
+    "p4_splits": p4_splits,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+}
 SQL: dict[str, str] = {}
