@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartula.llm import leakage, mixture, splits, tokenizer
-from cartula.plans.lineage import table
+from cartula.llm import chunks, leakage, mixture, splits, tokenizer, truncation
+from cartula.plans.lineage import cut, table
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +26,20 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.overlap_report(leakage.overlaps(t, v, "rec_id", "rec_id"), v, "rec_id", "split", "source")
 
 
+def _long(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.long_records(table(spark, folder, "synthetic_pii_it_200k"), "rec_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Natural boundaries of the records that are too long."""
+    return chunks.boundaries(_long(spark, folder), "rec_id")
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of the records that are too long."""
+    return chunks.pieces(_long(spark, folder), "rec_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records of groups in which at least two known templates occur."""
     return splits.related(table(spark, folder, "synthetic_pii_it_200k"), table(spark, folder, "legal_templates"))
@@ -57,14 +71,41 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(mixture.mixture(sizes, plan), plan)
 
 
+def _endings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents")
+    ends = cut(truncation.read_endings(docs, "doc_id", "text", "source"))
+    found = truncation.limits(ends)
+    return truncation.truncated(ends, found, truncation.final_words(docs, "text")), found
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut off before its end."""
+    return _endings(spark, folder)[0].where("cut").select(F.col("id").alias("doc_id"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.report(_endings(spark, folder)[0])
+
+
+def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """The storage limits that unfinished texts give away."""
+    return _endings(spark, folder)[1]
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p8_limits": p8_limits,
 }
 SQL: dict[str, str] = {}
