@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartula.llm import chunks, leakage, mixture, splits, tokenizer, truncation
+from cartula.llm import budget, calibration, chunks, leakage, mixture, splits, tokenizer, truncation
 from cartula.plans.lineage import cut, table
 
 
+def _sampled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    t = {n: table(spark, folder, n) for n in ("train_subset_10k", "sample_targets", "tag_taxonomy")}
+    return calibration.sample(t["train_subset_10k"], t["sample_targets"], t["tag_taxonomy"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories of each plan that have fewer usable rows than needed."""
+    return _sampled(spark, folder)[1].where("short").select("plan_id", "category")
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What each plan wanted, what there is and what was drawn."""
+    return _sampled(spark, folder)[1]
+
+
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sampled rows of each plan."""
+    return _sampled(spark, folder)[0]
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
@@ -26,6 +46,21 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.overlap_report(leakage.overlaps(t, v, "rec_id", "rec_id"), v, "rec_id", "split", "source")
 
 
+def _totals(spark: SparkSession, folder: str) -> DataFrame:
+    docs = budget.documents(table(spark, folder, "train_subset_10k"), "rec_id", "tokens", "source", "language", "subject_domain")
+    return budget.first_run(spark, docs)[1]
+
+
+def p2_token_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens and documents per source, language and domain."""
+    return _totals(spark, folder)
+
+
+def p2_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with all roll-ups."""
+    return budget.cube(_totals(spark, folder))
+
+
 def _long(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.long_records(table(spark, folder, "synthetic_pii_it_200k"), "rec_id")
 
@@ -96,10 +131,15 @@ def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p2_token_budget": p2_token_budget,
+    "p2_cube": p2_cube,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p5_sample": p5_sample,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_mixture": p7_mixture,
