@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartula.functions.text import let
+
 _SIGNS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Weight of each sign at an odd place of a tax code, in the order of the signs above.
 _ODD = [
@@ -38,17 +40,18 @@ def _letter(n: Column) -> Column:
 
 def tax_letter(body: Column, length: int = 15) -> Column:
     """Check letter of ``length`` digits and capitals: weighted by the odd table at even indices, by value at odd ones."""
-    table = F.array(*[F.lit(v) for v in _ODD])
-    terms = []
-    for i in range(length):
-        place = F.instr(F.lit(_SIGNS), _at(body, i))
-        terms.append(F.element_at(table, place) if i % 2 == 0 else F.when(place <= 10, place - 1).otherwise(place - 11))
-    return _letter(_sum(terms) % 26)
+    odd = F.array(*[F.lit(v) for v in _ODD])
+    even = F.array(*[F.lit(v) for v in [*range(10), *range(26)]])
+
+    def letter(b: Column) -> Column:
+        return _letter(_sum([F.element_at(even if i % 2 else odd, F.instr(F.lit(_SIGNS), _at(b, i))) for i in range(length)]) % 26)
+
+    return let(body, letter)
 
 
 def cf_exact(s: Column) -> Column:
     """Whether 16 digits and capitals end with their check letter."""
-    return F.coalesce(s.rlike("^[0-9A-Z]{15}[A-Z]$") & (F.when(s.rlike("^[0-9A-Z]{16}$"), tax_letter(s)) == _at(s, 15)), F.lit(False))
+    return let(s, lambda x: F.coalesce(F.when(x.rlike("^[0-9A-Z]{15}[A-Z]$"), tax_letter(x) == _at(x, 15)), F.lit(False)))
 
 
 def cf_ok(s: Column) -> Column:
@@ -63,13 +66,13 @@ def _doubled(d: Column) -> Column:
 
 def vat_digit(ten: Column) -> Column:
     """Check digit of ten digits: those at odd indices doubled."""
-    t = _sum([_at(ten, i).cast("int") if i % 2 == 0 else _doubled(_at(ten, i)) for i in range(10)])
-    return ((10 - t % 10) % 10).cast("string")
+    total = lambda t: _sum([_at(t, i).cast("int") if i % 2 == 0 else _doubled(_at(t, i)) for i in range(10)])
+    return let(ten, lambda t: ((10 - total(t) % 10) % 10).cast("string"))
 
 
 def piva_exact(s: Column) -> Column:
     """Whether a text is 11 digits that end with their check digit."""
-    return F.coalesce(s.rlike("^[0-9]{11}$") & (F.when(s.rlike("^[0-9]{11}$"), vat_digit(s)) == _at(s, 10)), F.lit(False))
+    return let(s, lambda x: F.coalesce(F.when(x.rlike("^[0-9]{11}$"), vat_digit(x) == _at(x, 10)), F.lit(False)))
 
 
 def piva_ok(s: Column) -> Column:
@@ -85,32 +88,31 @@ def mod97(s: Column) -> Column:
 
 def iban_exact(s: Column) -> Column:
     """Whether the account number, its first four signs moved to the end, leaves 1 modulo 97; no cleaning."""
-    return F.coalesce(s.rlike("^[0-9A-Z]+$") & (mod97(F.concat(F.substring(s, 5, 1000), F.substring(s, 1, 4))) == 1), F.lit(False))
+    return let(s, lambda x: F.coalesce(F.when(x.rlike("^[0-9A-Z]+$"), mod97(F.concat(F.substring(x, 5, 1000), F.substring(x, 1, 4))) == 1), F.lit(False)))
 
 
 def iban_ok(s: Column) -> Column:
     """The same without white space, in any case, of 15 to 34 signs."""
     clean = F.upper(F.regexp_replace(s, SPACE, ""))
-    return F.coalesce(F.length(clean).between(15, 34), F.lit(False)) & iban_exact(clean)
+    return let(clean, lambda x: F.coalesce(F.length(x).between(15, 34), F.lit(False)) & iban_exact(x))
 
 
 def luhn_ok(s: Column) -> Column:
     """Whether the digits of a text are 13 to 19 and pass the Luhn check."""
     digits = F.regexp_replace(s, r"[^0-9]", "")
-    return F.coalesce(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), F.lit(False))
+    return let(digits, lambda x: F.coalesce(F.length(x).between(13, 19) & F.call_function("luhn_check", x), F.lit(False)))
 
 
 def piva_build(ten: Column) -> Column:
     """A VAT number from ten digits."""
-    return F.concat(ten, vat_digit(ten))
+    return let(ten, lambda t: F.concat(t, vat_digit(t)))
 
 
 def iban_build(bank: Column, branch: Column, account: Column) -> Column:
     """An Italian account number from bank (5 digits), branch (5) and account (12)."""
-    digits = F.concat(bank, branch, account)
-    bban = F.concat(tax_letter(digits, 22), digits)
-    check = F.lpad((98 - mod97(F.concat(bban, F.lit("IT00")))).cast("string"), 2, "0")
-    return F.concat(F.lit("IT"), check, bban)
+    check = lambda bban: F.lpad((98 - mod97(F.concat(bban, F.lit("IT00")))).cast("string"), 2, "0")
+    whole = let(F.concat(bank, branch, account), lambda d: F.concat(tax_letter(d, 22), d))
+    return let(whole, lambda bban: F.concat(F.lit("IT"), check(bban), bban))
 
 
 # Letters with marks, and the plain letters that they decompose to.
@@ -129,18 +131,17 @@ def _three(s: Column) -> Column:
 
 def surname_code(name: Column) -> Column:
     """Consonants, then vowels, then X: the first three."""
-    return _three(strip_accents(name))
+    return let(strip_accents(name), _three)
 
 
 def name_code(name: Column) -> Column:
     """As for surnames; of four or more consonants the first, third and fourth."""
-    s = strip_accents(name)
-    c = F.regexp_replace(s, "[AEIOU]", "")
-    return F.when(F.length(c) >= 4, F.concat(_at(c, 0), _at(c, 2), _at(c, 3))).otherwise(_three(s))
+    some = lambda s, c: F.when(F.length(c) >= 4, F.concat(_at(c, 0), _at(c, 2), _at(c, 3))).otherwise(_three(s))
+    return let(strip_accents(name), lambda s: let(F.regexp_replace(s, "[AEIOU]", ""), lambda c: some(s, c)))
 
 
 def cf_build(given: Column, surname: Column, sex: Column, year: Column, month: Column, day: Column, place: Column) -> Column:
     """A tax code; ``place`` is the municipality's code (a letter and three digits), days of women count from 41."""
     two = lambda n: F.lpad((n % 100).cast("string"), 2, "0")
     body = F.concat(surname_code(surname), name_code(given), two(year), F.substring(F.lit(MONTHS), month, F.lit(1)), two(F.when(sex == "F", day + 40).otherwise(day)), place)
-    return F.concat(body, tax_letter(body))
+    return let(body, lambda b: F.concat(b, tax_letter(b)))

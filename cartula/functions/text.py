@@ -15,6 +15,7 @@ TOKEN = rf"(?U)[{WORD}]+|[^{WORD}{WS}]"
 BLOCK = rf"(?U)[^{WS}]+"
 SLOT = rf"\{{([{WORD}]+)\}}"
 
+_SIGN = "\ufdd0"
 Span = "array<struct<value:string,start:int,end:int>>"
 
 
@@ -26,22 +27,20 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """Every match of a pattern with its offsets, left to right: array of (value, start, end).
 
-    The text is split at the matches; offsets are running sums of the parts' lengths, carried in one fold.
+    One scan puts a sign that no text should hold (U+FDD0; read as U+FFFD where one does) around each match; the
+    text cut at that sign is gap and match in turn, and offsets are running sums of lengths, carried in one fold.
     Null gives null, no match an empty array.
     """
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(Span).alias("out"))
+    zero = F.struct(F.lit(0).alias("p"), F.lit(False).alias("odd"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, x: F.struct((a["p"] + F.length(x)).alias("p"), (~a["odd"]).alias("odd"), F.when(a["odd"], F.concat(a["out"], F.array(a["p"]))).otherwise(a["out"]).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        lo = a["p"] + F.length(x["1"])
-        hi = lo + F.length(x["0"])
-        one = F.array(F.struct(x["0"].alias("value"), lo.cast("int").alias("start"), hi.cast("int").alias("end")))
-        return F.struct(hi.cast("int").alias("p"), F.concat(a["out"], one).cast(Span).alias("out"))
+    def placed(cut: Column) -> Column:
+        own = F.filter(cut, lambda x, i: i % 2 == 1)
+        starts = F.aggregate(cut, zero, step, lambda a: a["out"])
+        return F.when(F.size(cut) < 2, F.array().cast(Span)).otherwise(F.zip_with(own, starts, lambda x, p: F.struct(x.alias("value"), p.alias("start"), (p + F.length(x)).alias("end"))))
 
-    def folded(m: Column) -> Column:
-        pairs = F.arrays_zip(m.alias("0"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("1"))
-        return F.when(F.size(m) == 0, F.array().cast(Span)).otherwise(F.aggregate(pairs, start, step, lambda a: a["out"]))
-
-    return F.when(text.isNull(), F.lit(None).cast(Span)).otherwise(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), folded))
+    marked = F.regexp_replace(F.translate(text, _SIGN, "\ufffd"), F.lit(pattern), F.lit(f"{_SIGN}$0{_SIGN}"))
+    return F.when(text.isNull(), F.lit(None).cast(Span)).otherwise(let(F.split(marked, _SIGN, -1), placed))
 
 
 def tokens(text: Column) -> Column:

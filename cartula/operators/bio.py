@@ -19,11 +19,12 @@ def encode(text: Column, entities: Column) -> tuple[Column, Column]:
     """
     toks = matches(text, TOKEN)
 
-    def tag(t: Column) -> Column:
-        e = F.get(F.filter(entities, lambda x: (t["start"] >= x["start"]) & (t["end"] <= x["end"])), F.lit(0))
-        return F.when(e.isNull(), "O").otherwise(F.concat(F.when(t["start"] == e["start"], "B-").otherwise("I-"), e["label"]))
+    def tag(t: Column, ents: Column) -> Column:
+        around = F.filter(ents, lambda x: (t["start"] >= x["start"]) & (t["end"] <= x["end"]))
+        told = lambda e: F.when(e.isNull(), "O").otherwise(F.concat(F.when(t["start"] == e["start"], "B-").otherwise("I-"), e["label"]))
+        return let(F.get(around, F.lit(0)), told)
 
-    return F.transform(toks, lambda t: t["value"]), F.transform(toks, tag)
+    return F.transform(toks, lambda t: t["value"]), let(entities, lambda ents: F.transform(toks, lambda t: tag(t, ents)))
 
 
 def encode_outside(text: Column, literal: Column, table: dict[str, str] = OUTSIDE) -> tuple[Column, Column]:
@@ -33,9 +34,9 @@ def encode_outside(text: Column, literal: Column, table: dict[str, str] = OUTSID
     toks = matches(text, TOKEN)
 
     def tag(t: Column, i: Column, toks: Column, spans: Column) -> Column:
-        e = F.try_element_at(F.filter(spans, lambda s: (t["start"] >= s["start"]) & (t["end"] <= s["end"])), F.lit(-1))
-        first = (i == 0) | (F.get(toks, i - 1)["start"] < e["start"])
-        return F.when(e.isNull(), "O").otherwise(F.concat(F.when(first, "B-").otherwise("I-"), e["tag"]))
+        around = F.filter(spans, lambda s: (t["start"] >= s["start"]) & (t["end"] <= s["end"]))
+        first = lambda e: (i == 0) | (F.get(toks, i - 1)["start"] < e["start"])
+        return let(F.try_element_at(around, F.lit(-1)), lambda e: F.when(e.isNull(), "O").otherwise(F.concat(F.when(first(e), "B-").otherwise("I-"), e["tag"])))
 
     known = F.filter(mapped, lambda s: s["tag"].isNotNull())
     labels = let(known, lambda spans: let(toks, lambda all_: F.transform(all_, lambda t, i: tag(t, i, all_, spans))))
@@ -57,11 +58,12 @@ def decode(labels: Column) -> Column:
 
 def decode_rows(df: DataFrame, key: str, labels: str) -> DataFrame:
     """(``key``, type, s, e) by gaps and islands over exploded labels; for label arrays too long for one row's fold."""
-    one = df.select(key, F.posexplode(labels).alias("i", "label")).withColumn("type", F.when(F.col("label") != "O", F.substring("label", 3, 1000)))
-    w = Window.partitionBy(key).orderBy("i")
+    one = df.select(F.col(key).alias("d__key"), F.posexplode(labels).alias("i", "label")).withColumn("type", F.when(F.col("label") != "O", F.substring("label", 3, 1000)))
+    w = Window.partitionBy("d__key").orderBy("i")
     opens = F.col("type").isNotNull() & (F.startswith("label", F.lit("B-")) | ~F.col("type").eqNullSafe(F.lag("type").over(w)))
-    island = one.withColumn("island", F.sum(opens.cast("int")).over(w)).where("type is not null")
-    return island.groupBy(key, "island", "type").agg(F.min("i").alias("s"), (F.max("i") + 1).alias("e")).select(key, "type", "s", "e")
+    island = one.withColumn("opens", opens).withColumn("island", F.sum(F.col("opens").cast("int")).over(w)).where("type is not null")
+    spans = island.groupBy("d__key", "island", "type").agg(F.min("i").alias("s"), (F.max("i") + 1).alias("e"))
+    return spans.select(F.col("d__key").alias(key), "type", "s", "e")
 
 
 def spots(tokens: Column, labels: Column) -> Column:

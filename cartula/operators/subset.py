@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartula.functions.text import capitalised, uniform
 from cartula.operators.ranking import pick_per_group
-from cartula.plans.lineage import cut
+from cartula.plans.lineage import broadcast_within, cut
 
 # Tags whose tokens are recased as names, and shares of the ways of recasing, added up.
 NAME_TAGS = ["FULLNAME", "STREET", "CITY", "PROVINCE", "ORG"]
@@ -22,46 +22,66 @@ def shuffled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
+def _greedy(rows: list[tuple], rank: dict[str, list], needs: dict[str, int], order: list[str], n: int) -> list:
+    """Keys picked tag by tag: each tag until its need is met by what is picked already and its first other rows."""
+    tags = dict(rows)
+    picked: dict = {}
+    for tag in order:
+        have = sum(tag in t for t in picked.values())
+        for key in rank.get(tag, []):
+            if have >= needs[tag] or len(picked) >= n:
+                break
+            if key not in picked:
+                picked[key] = tags[key]
+                have += 1
+    return list(picked)
+
+
 def select(index: DataFrame, key: str, tags: str, strata: list[str], n: int, floors: dict[str, int] | None = None, floor: int = FLOOR, seed: int = 1234) -> DataFrame:
     """(``key``): a subset of at most ``n`` rows: floors of the rarest tags first, then strata by quota, then any.
 
-    ``index``: one light row a record with an array of its tags. The driver loops over the tags of the taxonomy and
-    the strata only; rows are picked by seeded rank on the cluster. Rows picked for one tag count for all they hold.
+    ``index``: one light row a record with an array of its tags. Rows picked for one tag count for all they hold, so
+    no tag needs more than its first rows in seeded order, as many as all floors together: these alone come to the
+    driver (tags x sum of floors, both parameters), with the counts of tags and strata. Strata, the largest first,
+    are filled to their quotas (rounded, ties to even) and the rest at random, on the cluster. An empty index gives
+    no rows; rows without tags can come in by their stratum.
     """
     floors = RARE_FLOORS if floors is None else floors
     spark = index.sparkSession
-    idx = cut(index.select(F.col(key).alias("id"), F.col(tags).alias("tags"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(strata)]))
     names = [f"s{i}" for i in range(len(strata))]
+    idx = cut(index.select(F.col(key).alias("id"), F.array_distinct(tags).alias("tags"), *[F.col(c).alias(s) for c, s in zip(strata, names, strict=True)]))
     total = idx.count()
     n = min(n, total)
     order = [F.xxhash64("id", F.lit(seed)), F.col("id")]
-    picked = idx.select("id").limit(0)
-    have = 0
-
-    def more(pool: DataFrame, k: int) -> None:
-        nonlocal picked, have
-        k = min(k, n - have)
-        if k <= 0:
-            return
-        rest = pool.join(picked, "id", "left_anti").withColumn("one", F.lit(1))
-        new = pick_per_group(rest.select("id", "one"), spark.createDataFrame([(1, k)], "one int, k int"), ["one"], "k", order).select("id")
-        picked = cut(picked.union(new))
-        have = picked.count()
-
-    by_tag = idx.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("rows")).orderBy("rows", "tag").collect()
-    for r in by_tag:
-        holds = idx.where(F.array_contains("tags", r["tag"]))
-        need = floors.get(r["tag"], floor)
-        got = holds.join(picked, "id", "left_semi").limit(need).count() if have else 0
-        more(holds, need - got)
-    strata_rows = idx.groupBy(*names).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), *names).collect()
-    for r in strata_rows:
-        same = idx
-        for c in names:
-            same = same.where(F.col(c).eqNullSafe(F.lit(r[c])))
-        more(same, round(n * r["rows"] / total) - same.join(picked, "id", "left_semi").count())
-    more(idx, n - have)
-    return picked.withColumnRenamed("id", key)
+    kind = index.schema[key].dataType.simpleString()
+
+    one = idx.select("id", "tags", F.explode("tags").alias("tag"))
+    seen = [r["tag"] for r in one.groupBy("tag").agg(F.count(F.lit(1)).alias("rows")).orderBy("rows", "tag").collect()]
+    needs = {t: floors.get(t, floor) for t in seen}
+    first = pick_per_group(one, one.select("tag").distinct().withColumn("k", F.lit(sum(needs.values()))), ["tag"], "k", order)
+    rows = first.select("tag", "id", "tags", order[0].alias("h")).orderBy("h", "id").collect()
+    rank: dict[str, list] = {}
+    for r in rows:
+        rank.setdefault(r["tag"], []).append(r["id"])
+    picked = _greedy([(r["id"], r["tags"]) for r in rows], rank, needs, seen, n)
+    got = cut(spark.createDataFrame([(k,) for k in picked], f"id {kind}"))
+    have = len(picked)
+
+    marked = cut(idx.select("id", *names).join(broadcast_within(got.withColumn("in", F.lit(True))), "id", "left"))
+    counts = marked.groupBy(*names).agg(F.count(F.lit(1)).alias("rows"), F.count("in").alias("have")).orderBy(F.desc("rows"), *names).collect()
+    quota = []
+    for r in counts:
+        k = min(max(0, round(n * r["rows"] / total) - r["have"]), n - have)
+        have += k
+        quota.append((*[r[c] for c in names], k))
+    fields = [f"{c} {marked.schema[c].dataType.simpleString()}" for c in names]
+    rest = marked.where("in is null").drop("in")
+    fill = pick_per_group(rest, spark.createDataFrame(quota, ", ".join([*fields, "k int"])), names, "k", order).select("id")
+    got = cut(got.union(fill))
+    if have < n:
+        left = idx.join(got, "id", "left_anti").select("id", F.lit(1).alias("one"))
+        got = got.union(pick_per_group(left, spark.createDataFrame([(1, n - have)], "one int, k int"), ["one"], "k", order).select("id"))
+    return got.withColumnRenamed("id", key)
 
 
 def fetch(rows: DataFrame, picked: DataFrame, key: str) -> DataFrame:
