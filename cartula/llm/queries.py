@@ -148,4 +148,24 @@ QUERIES = {
     "p8_report": p8_report,
     "p8_limits": p8_limits,
 }
-SQL: dict[str, str] = {}
+_NAME = "CASE WHEN regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') NOT IN ('', 'nd', 'null', 'sconosciuta', 'na', 'none') THEN regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END"
+_LANG = "CASE WHEN regexp_replace(lower(language), '[^a-z]+', '', 'g') NOT IN ('', 'nd') THEN coalesce(map {'deu': 'de', 'ger': 'de', 'eng': 'en', 'spa': 'es', 'fra': 'fr', 'fre': 'fr', 'ita': 'it', 'nld': 'nl', 'dut': 'nl'}[regexp_extract(lower(trim(language)), '^[a-z]+')], regexp_extract(lower(trim(language)), '^[a-z]+')) END"
+
+SQL: dict[str, str] = {
+    "p5_found": f"""
+WITH u AS (SELECT * FROM train_subset_10k WHERE len(tokens) > 0 AND len(tokens) = len(bio_labels)),
+m AS (SELECT rec_id, 'source' AS field_name, {_NAME.format("source")} AS k FROM u UNION ALL SELECT rec_id, 'language', {_LANG} FROM u
+ UNION ALL SELECT DISTINCT rec_id, 'bio_labels', coarse_tag FROM (SELECT rec_id, upper(unnest(bio_labels)) AS l FROM u) JOIN tag_taxonomy ON raw_tag = substr(l, 3) WHERE l[:2] IN ('B-', 'I-')),
+c AS (SELECT field_name, k, count(*) AS n FROM m WHERE k IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, CASE field_name WHEN 'source' THEN {_NAME.format("category")} ELSE category END AS k,
+ greatest(round_even(sample_fraction * (SELECT count(*) FROM u) * target_share, 0), min_rows) AS need FROM sample_targets)
+SELECT t.plan_id, t.category FROM t LEFT JOIN c ON c.field_name = t.field_name AND c.k = t.k WHERE coalesce(c.n, 0) < t.need""",
+    "p4_found": f"""
+WITH RECURSIVE r AS (SELECT rec_id, CASE WHEN template_id IN (SELECT id FROM legal_templates) THEN template_id END AS t,
+ nullif(CASE WHEN regexp_replace(regexp_replace(lower(source), '\\.jsonl[\\s/]*$', ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') NOT IN ('', 'nd', 'null', 'sconosciuta') THEN regexp_replace(regexp_replace(lower(source), '\\.jsonl[\\s/]*$', ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END, '') AS s FROM synthetic_pii_it_200k),
+e AS (SELECT DISTINCT a.t AS x, b.t AS y FROM r a JOIN r b ON a.s = b.s WHERE a.t IS NOT NULL AND b.t IS NOT NULL),
+w AS (SELECT DISTINCT t AS x, t AS y FROM r WHERE t IS NOT NULL UNION SELECT w.x, e.y FROM w JOIN e ON e.x = w.y),
+g AS (SELECT x, min(y) AS m, count(*) AS n FROM w GROUP BY x),
+o AS (SELECT s, min(t) AS t FROM r WHERE s IS NOT NULL AND t IS NOT NULL GROUP BY s)
+SELECT r.rec_id, g.m AS group_template_id FROM r LEFT JOIN o ON r.s = o.s JOIN g ON g.x = coalesce(r.t, o.t) WHERE g.n >= 2""",
+}
