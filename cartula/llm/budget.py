@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cartula.functions.names import language_key, name_key, spelling
 from cartula.llm.tokenizer import BYTE_BPE_50K, TOKENIZERS, _read, count_tokens
-from cartula.plans.lineage import cut
+from cartula.plans.lineage import broadcast_within, cut
 
 CUBE = ["source", "language", "subject_domain"]
 
@@ -48,7 +48,7 @@ def canonical(rows: DataFrame, column: str) -> DataFrame:
     keyed = rows.withColumn("n__key", name_key(F.col(column))).withColumn("n__spelt", spelling(F.col(column)))
     counts = keyed.where("n__key is not null").groupBy("n__key", "n__spelt").agg(F.count(F.lit(1)).alias("n__n"))
     best = counts.groupBy("n__key").agg(F.min_by("n__spelt", F.struct(-F.col("n__n"), F.col("n__spelt"))).alias("n__best"))
-    return keyed.join(best, "n__key", "left").withColumn(column, F.col("n__best")).drop("n__key", "n__spelt", "n__best")
+    return keyed.join(broadcast_within(best), "n__key", "left").withColumn(column, F.col("n__best")).drop("n__key", "n__spelt", "n__best")
 
 
 def documents(rows: DataFrame, key: str, tokens: str, source: str, language: str, domain: str) -> DataFrame:
