@@ -61,10 +61,10 @@ CLOSED = [
     rf"In attesa di riscontro si porgono i più cordiali saluti, avv\. {_NAMES}, {_NAMES}, {_DATE}",
     rf"(?:Cordiali|Distinti) saluti,?\s+{_NAMES}", rf"Con osservanza,?\s+{_NAMES}", rf"Così deciso in {_NAMES}(?:,? (?:il )?{_DATE})?",
     rf"I testimoni: {_NAMES}(?:, {_NAMES})*", rf"Elenco dei presenti: {_NAMES}(?:, {_NAMES})*", r"tel\. \+?[\d /]{6,}", r"\(s\.\)", r"\(?L\.S\.\)?",
-    rf"Signed: {_NAMES}", rf"Read and signed at {_NAMES} on {_DATE} by {_NAMES} in the presence of the clerk", r"Enclosures:[\s\S]{0,200}receipt of payment",
+    rf"Signed: {_NAMES}", rf"(?:Read and s|S)igned at {_NAMES} on {_DATE} by {_NAMES} in the presence of the clerk", r"Enclosures:[\s\S]{0,200}receipt of payment",
     rf"(?:Yours (?:sincerely|faithfully)|Kind regards|Regards|Sincerely),?\s+{_NAMES}",
     rf"Mit freundlichen Grüßen,?\s+{_NAMES}", rf"Gelesen, genehmigt und unterschrieben zu {_NAMES} am {_DATE}, {_NAMES}", r"Anlagen:[\s\S]{0,200}Zahlungsbeleg",
-    rf"Veuillez agréer nos salutations,?\s+{_NAMES}", rf"Lu, (?:approuvé|fait) et signé à {_NAMES} le {_DATE} en deux exemplaires par {_NAMES}, mandataire", r"Pièces jointes ?:[\s\S]{0,200}quittance",
+    rf"Veuillez agréer nos salutations,?\s+{_NAMES}", rf"(?:Lu, approuvé|Lu, fait|Fait) et signé à {_NAMES} le {_DATE} en deux exemplaires par {_NAMES}, mandataire", r"Pièces jointes ?:[\s\S]{0,200}quittance",
     rf"Fait à {_NAMES}, (?:le )?{_DATE}", rf"Atentamente,?\s+{_NAMES}", rf"Leído y firmado en {_NAMES} el {_DATE} por {_NAMES}, apoderado de la parte", r"Anexos:[\s\S]{0,200}recibo del pago",
     rf"(?:En )?{_NAMES},? (?:den |le |lì |il |el )?{_DATE}",
 ]

@@ -358,7 +358,7 @@ ENDINGS = [
     (None, "blank"), ("", "blank"), (" \t", "blank"), ("Tutto bene.", "whole"), ("La parte ha depos", "cut"), ("come da art.", "cut"), ("per la ditta Rossi S.p.A.", "whole"),
     ("giudizio.\nPag. 2 di 2", "whole"), ("ha deposi\n<!-- fine campo -->", "cut"), ("ha deposi… Leggi tutto", "cut"), ("a Roma.\nTanto si doveva…", "closed"), ("fine.\nCordiali saluti\nAnna Bianchi", "closed"),
     ("fine. Allegati:\n1) copia del verbale\n2) procura", "closed"), ("per la somma di € 781.", "cut"), ("per la somma di € 781,20.", "whole"), ("scrivendo a anna.rossi@pec.", "cut"),
-    ("scrivendo a anna.rossi@pec.ditta.test.", "whole"), ("sesso M.", "whole"), ("per conto di M.", "cut"), ("è già&agra", "cut"), ("fine.)", "whole"), ("dall'avv. Rossi…", "open"), ("nei confronti di…", "cut"), ("così previsto (continua)", "cut"),
+    ("scrivendo a anna.rossi@pec.ditta.test.", "whole"), ("sesso M.", "whole"), ("per conto di M.", "cut"), ("è già&agra", "cut"), ("fine.)", "whole"), ("dall'avv. Rossi…", "open"), ("nei confronti di…", "cut"), ("fin. Fait et signé à Val Marca le 18.02.1977 en deux exemplaires par Anne Bois, mandataire", "closed"), ("end.\nSigned at Vale on 9 March 1986 by Ann Wood in the presence of the clerk", "closed"), ("così previsto (continua)", "cut"),
 ]
 
 
