@@ -95,6 +95,56 @@ def piva_hits(s, d):
     return one.where(F.col("value").rlike("^[0-9]{11}$")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("hits"))
 
 
+_UW = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_L, _R = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+
+
+def _hits(s: SparkSession, d: str, label: str) -> DataFrame:
+    one = detect.detect(_docs(s, d), "doc_id", "text", [x for x in detect.DETECTORS if x.label == label])
+    return one.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def _hits_sql(pattern: str, group: int, where: str = "TRUE") -> str:
+    return f"WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}', {group})) AS value FROM documents) SELECT doc_id, value, CAST(count(*) AS BIGINT) AS hits FROM d WHERE {where} GROUP BY ALL"
+
+
+@query(_hits_sql(rf"(?i)(?:(?:€|EUR|euro){_UW}?\p{{Nd}}{{1,3}}(?:(?:[.]|{_UW})\p{{Nd}}{{3}})*(?:,\p{{Nd}}{{2}})?|\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}{{3}})*,\p{{Nd}}{{2}}{_UW}?(?:€|EUR|euro))", 0))
+def amount_hits(s, d):
+    """Amounts of each document."""
+    return _hits(s, d, "AMOUNT")
+
+
+@query(_hits_sql(rf"{_L}([A-Za-z]{{2}}{_UW}?\p{{Nd}}{{3}}{_UW}?[A-Za-z]{{2}}){_R}", 1))
+def plate_hits(s, d):
+    """Number plates of each document."""
+    return _hits(s, d, "TARGA")
+
+
+@query(
+    _hits_sql(
+        rf"(?:^|[^\p{{L}}\p{{N}}_.])((?:\+39(?:[.]|{_UW})?)?(?:3\p{{Nd}}{{2}}(?:[.]|{_UW})?\p{{Nd}}{{3}}(?:[.]|{_UW})?\p{{Nd}}{{3,4}}|0\p{{Nd}}{{1,3}}(?:[.]|{_UW})?\p{{Nd}}{{5,8}})){_R}", 1
+    )
+)
+def phone_hits(s, d):
+    """Telephone numbers of each document."""
+    return _hits(s, d, "TELEPHONENUM")
+
+
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+
+
+@query(
+    _hits_sql(
+        r"(?:^|[^\p{Nd}])((?:\p{Nd}[ \-]?){13,19})(?:$|[^\p{Nd}])",
+        1,
+        f"length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INTEGER) ELSE (CAST(substr(reverse({_DIGITS}), i, 1) AS INTEGER) * 2) // 10 + (CAST(substr(reverse({_DIGITS}), i, 1) AS INTEGER) * 2) % 10 END)) % 10 = 0",
+    )
+)
+def card_hits(s, d):
+    """Card numbers of each document that pass their check."""
+    return _hits(s, d, "CREDITCARDNUMBER")
+
+
 @query()
 def detected_by_label(s, d):
     """Spans that stay after the merge, by label, source of the span and language of the document."""
@@ -482,6 +532,40 @@ def linked_templates(s, d):
     return components(e, "a", "b")
 
 
+_BOOST = {"CATASTO": 4.0, "ORG": 2.0}
+
+
+@query(
+    r"WITH t AS (SELECT id, regexp_extract_all(text, '\{([\p{L}\p{N}_]+)\}', 1) AS s FROM legal_templates) SELECT id, CASE WHEN list_contains(s, 'CATASTO') THEN 4.0 WHEN list_has_any(s, ['ORG', 'ORGLIST', 'MIXEDLIST']) THEN 2.0 ELSE 1.0 END AS weight FROM t"
+)
+def template_weights(s, d):
+    """The weight of each template when land registers and organisations are boosted."""
+    return generate.template_weights(table(s, d, "legal_templates"), "id", "text", _BOOST).select("id", F.col("weight").cast("double").alias("weight"))
+
+
+@query()
+def cleaned_templates(s, d):
+    """Templates that can be used: with slots, without unknown ones, without a name written out."""
+    return table(s, d, "legal_templates").select("id", generate.cleaned_template(F.col("text")).alias("text")).where("text is not null")
+
+
+@query()
+def outside_bio(s, d):
+    """Tokens and labels from list literals of spans, made from the synthetic entities."""
+    rows = table(s, d, SYN).where("source_text is not null and entities is not null")
+    one = F.transform("entities", lambda e: F.concat(F.lit("["), e["ent_start"].cast("string"), F.lit(", "), e["ent_end"].cast("string"), F.lit(", '"), e["ent_label"], F.lit("_1']")))
+    literal = F.concat(F.lit("["), F.array_join(one, ", "), F.lit("]"))
+    t, x = bio.encode_outside(F.col("source_text"), literal, taxonomy.OUTSIDE | {"GIVENNAME": "FULLNAME", "SURNAME": "FULLNAME"})
+    return rows.select("rec_id", F.concat_ws(" ", t).alias("tokens"), F.concat_ws(" ", x).alias("labels"))
+
+
+@query("SELECT doc_id, CAST(2 * n AS BIGINT) AS turns FROM (SELECT doc_id, 1 AS n FROM documents)")
+def cycled_rows(s, d):
+    """How often each document comes in two rounds over all of them."""
+    docs = table(s, d, DOCS).select("doc_id")
+    return bio.cycle(docs, "doc_id", 2 * docs.count()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("turns"))
+
+
 # ---- generation and sampling: no SQL, for values come by hash; tests hold their properties
 
 
