@@ -12,11 +12,12 @@ from __future__ import annotations
 import html
 import html.entities
 import json
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartula.functions.names import name_key, spelling
@@ -218,17 +219,16 @@ def final_words(docs: DataFrame, text: str) -> DataFrame:
 def limits(ends: DataFrame) -> DataFrame:
     """(``src``, ``measure``, ``size``, ``texts``): lengths at which unfinished texts of a source pile up.
 
-    A length counts when at least PILE unfinished texts of the source have it and they are PART or more of those
-    within a tenth below and anything above; of the encodings that share a limit, each is kept.
+    A length counts when at least PILE unfinished texts of the source have it and they are PART or more of those that
+    are that long, or at most 2 % shorter, or longer; of the encodings that share a limit, each is kept.
     """
     names = F.array(*[F.lit(m) for m in MEASURES])
     one = ends.where("sizes is not null and src is not null").select("src", F.explode(F.arrays_zip(names.alias("measure"), F.col("sizes").alias("size"))).alias("x"))
     counts = one.select("src", "x.measure", "x.size").groupBy("src", "measure", "size").agg(F.count(F.lit(1)).alias("texts"))
-    big = counts.where(F.col("texts") >= PILE).alias("p")
-    near = counts.alias("q")
-    on = (F.col("p.src") == F.col("q.src")) & (F.col("p.measure") == F.col("q.measure")) & (F.col("q.size") >= F.col("p.size") * 0.98)
-    told = big.join(near, on).groupBy("p.src", "p.measure", "p.size", "p.texts").agg(F.sum("q.texts").alias("around"))
-    return told.where(F.col("texts") >= PART * F.col("around")).select("src", "measure", "size", "texts")
+    scaled = F.round(F.log("size") * 100_000).cast("bigint")
+    longer = Window.partitionBy("src", "measure").orderBy(scaled).rangeBetween(round(math.log(0.98) * 100_000), Window.unboundedFollowing)
+    told = counts.withColumn("around", F.sum("texts").over(longer))  # over counts, one row a length
+    return told.where((F.col("texts") >= PILE) & (F.col("texts") >= PART * F.col("around"))).select("src", "measure", "size", "texts")
 
 
 def truncated(ends: DataFrame, found: DataFrame, finals: DataFrame) -> DataFrame:
