@@ -13,7 +13,7 @@ from cartula.functions.names import language_key, name_key
 from cartula.operators import bio, detect, evaluate, generate, profile, ranking, registry, spans, subset, taxonomy, windows
 from cartula.operators.components import components
 from cartula.plans.analysis import analyse
-from cartula.plans.lineage import broadcast_within, table
+from cartula.plans.lineage import broadcast_within, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, DOCS).select("doc_id", "text", "lang", "source").where("text is not null")
+    return spread(table(s, d, DOCS).select("doc_id", "text", "lang", "source").where("text is not null"))
 
 
 # ---- detectors and pseudonymisation

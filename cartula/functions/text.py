@@ -39,7 +39,7 @@ def matches(text: Column, pattern: str) -> Column:
         starts = F.aggregate(cut, zero, step, lambda a: a["out"])
         return F.when(F.size(cut) < 2, F.array().cast(Span)).otherwise(F.zip_with(own, starts, lambda x, p: F.struct(x.alias("value"), p.alias("start"), (p + F.length(x)).alias("end"))))
 
-    marked = F.regexp_replace(F.translate(text, _SIGN, "\ufffd"), F.lit(pattern), F.lit(f"{_SIGN}$0{_SIGN}"))
+    marked = F.regexp_replace(F.replace(text, F.lit(_SIGN), F.lit("\ufffd")), F.lit(pattern), F.lit(f"{_SIGN}$0{_SIGN}"))
     return F.when(text.isNull(), F.lit(None).cast(Span)).otherwise(let(F.split(marked, _SIGN, -1), placed))
 
 

@@ -39,3 +39,13 @@ def broadcast_within(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has cores, for work that is heavy on each row.
+
+    A few small files are one task each however many cores wait; only then the rows are dealt out anew. A table with
+    enough partitions, as any large one, is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
