@@ -1,8 +1,8 @@
 """A mixture of sources with given weights, as large as the corpus, filled to the token.
 
 Each source gets its weight of all tokens as its budget. Whole rounds of all its documents come first; the rest is a
-bounded subset sum over the counts of documents by exact token length: a proportional part of each length, and a
-dynamic program for what remains. Seeded ranks then pick that many documents of each length.
+bounded subset sum over the counts of documents by exact token length: a proportional part of each length, the longest
+that still fit, and a dynamic program for what remains. Seeded ranks then pick that many documents of each length.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from cartula.llm.tokenizer import count_tokens
 from cartula.operators.ranking import pick_per_group
 from cartula.plans.lineage import broadcast_within, cut
 
-#: Sums that the dynamic program tells apart, and the longest document it considers; longer ones come in by proportion.
+#: Sums that the dynamic program tells apart, and the length up to which counts are collected before any is taken.
 SUMS, LONGEST = 1 << 17, 1 << 16
 
+#: Ranges of lengths over LONGEST whose sums the driver sees at a time.
+RANGES = 1024
+
 
 def measured(docs: DataFrame, key: str, text: str, source: str, path: str | None = None) -> DataFrame:
     """(``id``, ``src``, ``size``): each document's source under one spelling and its tokens."""
@@ -44,10 +47,11 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def fit(counts: list[tuple[int, int]], goal: int) -> tuple[dict[int, int], int]:
-    """How many documents of each length come nearest to ``goal`` from below, and the sum reached.
+    """How many documents of each length fill ``goal`` from below, and the sum reached; no unused one would fit as well.
 
     ``counts``: (length, documents). Long ones are taken greedily until few sums are left; a bounded knapsack over
-    binary parts of the counts decides the last ``SUMS`` tokens exactly.
+    binary parts of the counts decides the last ``SUMS`` tokens exactly. If more than those are left, only one more
+    document can fit, and the longest that does is taken.
     """
     take: dict[int, int] = {}
     left, open_ = goal, {}
@@ -59,6 +63,10 @@ def fit(counts: list[tuple[int, int]], goal: int) -> tuple[dict[int, int], int]:
             take[length] = k
             left -= k * length
         open_[length] = n - k
+    if left > SUMS and (one := max((x for x, n in open_.items() if n and x <= left), default=0)):
+        take[one] = take.get(one, 0) + 1
+        open_[one] -= 1
+        left -= one
     top = min(left, SUMS)
     reach = np.zeros(top + 1, dtype=bool)
     reach[0] = True
@@ -88,25 +96,75 @@ def fit(counts: list[tuple[int, int]], goal: int) -> tuple[dict[int, int], int]:
     return take, reached
 
 
+def longest_first(counts: DataFrame, most: int, goal: int) -> tuple[list[tuple[int, int]], dict[int, int], int]:
+    """What ``fit`` takes greedily of the lengths over ``LONGEST``, however many they are: ranges (above, up to) of
+    lengths of which all documents are taken, how many are taken of the lengths where a range breaks off, and what is
+    left of ``goal``.
+
+    ``counts``: (``size``, ``n``), ``most``: the greatest size. Each range ends where its tokens exceed the room; that
+    length is found by sums over ever smaller ranges. What is left is at least halved by each, so there are few.
+    """
+    whole, part, left = [], {}, goal
+    top = min(most, left - SUMS // 2)
+    while top > LONGEST:
+        room, high, low, width = left - SUMS // 2, top, LONGEST, 2
+        while width > 1:
+            width = -(-(high - low) // RANGES)
+            place = F.floor((F.lit(high) - F.col("size")) / F.lit(width)).alias("place")
+            sums = counts.where((F.col("size") > low) & (F.col("size") <= high)).groupBy(place).agg(F.sum(F.col("size") * F.col("n")).alias("tokens"))
+            for i, tokens in sorted(tuple(r) for r in sums.collect()):
+                if tokens > room:
+                    high, low = high - i * width, max(low, high - (i + 1) * width)
+                    break
+                room -= tokens
+            else:
+                high, width = LONGEST, 1
+        if high < top:
+            whole.append((high, top))
+        if high > LONGEST and room >= high:
+            part[high] = room // high
+            room %= high
+        left = room + SUMS // 2
+        top = min(high - 1, room)
+    return whole, part, left
+
+
 def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     """(``id``, ``source``, ``size``, ``times``): each document of the mixture and how often it is used.
 
     ``plan``: see budgets. No document is used more than ``max_repeats`` times. Documents without tokens come with
     the whole rounds. What reaches the driver is one row for each target, and the counts of the documents left
-    over by length, at most ``LONGEST`` for each target.
+    over by length, at most ``SUMS`` for each target; of longer ones sums over ranges of lengths.
     """
     spark = sizes.sparkSession
     plan = cut(plan)
     rows = sizes.join(broadcast_within(plan.select("src", "source", "rounds", "rest", "has")), "src")
     hist = rows.where("rest > 0 and size > 0").groupBy("source", "size", "rest", "has").agg(F.count(F.lit(1)).alias("n"))
-    hist = cut(hist.withColumn("bulk", F.floor(F.col("n") * (F.col("rest") / F.col("has"))).cast("bigint")))
-    bulk = {r["source"]: (r["rest"], r["sum"]) for r in hist.groupBy("source", "rest").agg(F.sum(F.col("bulk") * F.col("size")).alias("sum")).collect()}
-    more = []
-    for source, (rest, done) in bulk.items():
-        left = hist.where((F.col("source") == source) & (F.col("size") <= LONGEST) & (F.col("n") > F.col("bulk"))).select("size", (F.col("n") - F.col("bulk")).alias("n"))
-        take, _ = fit([(r["size"], r["n"]) for r in left.collect()], rest - done)
-        more += [(source, size, n) for size, n in take.items()]
+    hist = hist.withColumn("bulk", F.floor(F.col("n") * (F.col("rest") / F.col("has"))).cast("bigint"))
+    hist = cut(hist.withColumn("open", F.col("n") - F.col("bulk")))
+    per = hist.groupBy("source", "rest").agg(
+        F.sum(F.col("bulk") * F.col("size")).alias("sum"),
+        F.max(F.when(F.col("open") > 0, F.col("size"))).alias("most"),
+        F.coalesce(F.sum(F.when(F.col("size") <= LONGEST, F.col("open") * F.col("size"))), F.lit(0)).alias("short"),
+    )
+    more, spans = [], []
+    for source, rest, done, most, short in per.collect():
+        left = hist.where((F.col("source") == source) & (F.col("open") > 0)).select("size", F.col("open").alias("n"))
+        whole, part, goal = longest_first(left, most or 0, rest - done)
+        for above, upto in whole:
+            left = left.where(~((F.col("size") > above) & (F.col("size") <= upto)))
+        counts = [(r["size"], r["n"] - part.get(r["size"], 0)) for r in left.where(F.col("size") <= SUMS).collect()]
+        if goal - short > SUMS:  # all short ones are taken, and at most one long one more
+            one = left.where((F.col("size") > SUMS) & (F.col("size") <= goal - short)).agg(F.max("size")).first()[0]
+            counts += [(one, 1)] * (one is not None)
+        take, _ = fit(counts, goal)
+        more += [(source, size, take.get(size, 0) + part.get(size, 0)) for size in {*take, *part}]
+        spans += [(source, above, upto) for above, upto in whole]
     extra = spark.createDataFrame(more, "source string, size bigint, extra bigint")
+    if spans:
+        s = spark.createDataFrame(spans, "source string, above bigint, upto bigint")
+        all_of = hist.where(F.col("open") > 0).join(F.broadcast(s), "source").where("size > above and size <= upto")  # few rows a target
+        extra = extra.unionByName(all_of.select("source", "size", F.col("open").alias("extra")))
     quota = hist.select("source", "size", "bulk").join(broadcast_within(extra), ["source", "size"], "left")
     quota = quota.select("source", "size", (F.col("bulk") + F.coalesce("extra", F.lit(0))).alias("quota")).where("quota > 0")
     keyed = rows.where("rest > 0 and size > 0").select("id", "source", "size")

@@ -352,6 +352,34 @@ def test_mixture(spark, data, public):
     assert {k: r["tokens"] for k, r in shares_.items()} == {t["source"]: used[t["source"]] for t in targets}
 
 
+def test_long_documents_fill_a_mixture(spark):
+    rows = [(i, "a", 100_000 + 7 * i) for i in range(100)] + [(1000, "b", sum(100_000 + 7 * i for i in range(100)))]
+    sizes = spark.createDataFrame(rows, "id int, src string, size bigint")
+    plan = mixture.budgets(sizes, spark.createDataFrame([("A", 0.25, 1), ("B", 0.75, 1)], "source string, weight double, max_repeats int"))
+    mix = mixture.mixture(sizes, plan)
+    got = {r["source"]: r for r in mixture.shares(mix, plan).collect()}
+    assert got["A"]["budget"] - 100_000 < got["A"]["tokens"] <= got["A"]["budget"] and not got["A"]["short"]
+    assert {r["times"] for r in mix.where("source = 'A'").collect()} == {1}
+    assert mixture.fit([(190_000, 2), (9, 1)], 250_000) == ({190_000: 1, 9: 1}, 190_009)
+
+
+def test_lengths_by_ranges_fit_like_collected_ones(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "SUMS", 64)
+    monkeypatch.setattr(mixture, "LONGEST", 32)
+    monkeypatch.setattr(mixture, "RANGES", 4)
+    rnd = random.Random(3)
+    for scale in (60, 400, 3000):
+        lengths = [rnd.randint(1, scale) for _ in range(40)]
+        sizes = spark.createDataFrame([(i, "a", n) for i, n in enumerate(lengths)], "id int, src string, size bigint")
+        goal = sum(lengths) * 2 // 5
+        plan = spark.createDataFrame([("a", "A", 0, goal, sum(lengths))], "src string, source string, rounds int, rest bigint, has bigint")
+        hist = collections.Counter(lengths)
+        bulk = {size: int(n * (goal / sum(lengths))) for size, n in hist.items()}
+        done = sum(size * n for size, n in bulk.items())
+        _, reached = mixture.fit([(size, n - bulk[size]) for size, n in hist.items()], goal - done)
+        assert sum(r["size"] for r in mixture.mixture(sizes, plan).collect()) == done + reached
+
+
 # ---- 8
 
 ENDINGS = [
