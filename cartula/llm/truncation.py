@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from cartula.functions.names import name_key, spelling
 from cartula.llm.boundaries import DOMAINS, LEADING
 
-#: A limit: at least so many unfinished texts of a source with one length, and so large a part of those that long or longer.
+#: A limit: at least so many unfinished texts of a source with one length, and so large a part of those about that long.
 PILE, PART = 4, 0.5
 
+#: About that long: so much shorter or longer, in parts of the length with as many characters more.
+NEAR, MORE = 0.02, 400
+
 _SPACE = " \t\r\n\f\v\x00\x1c\x1d\x1e\x1f\x85\xa0​‌‍  　﻿"
 
 # Marks that a system adds at the end of any text.
@@ -219,26 +222,32 @@ def final_words(docs: DataFrame, text: str) -> DataFrame:
 def limits(ends: DataFrame) -> DataFrame:
     """(``src``, ``measure``, ``size``, ``texts``): lengths at which unfinished texts of a source pile up.
 
-    A length counts when at least PILE unfinished texts of the source have it and they are PART or more of those that
-    are that long, or at most 2 % shorter, or longer; of the encodings that share a limit, each is kept.
+    A length counts when at least PILE unfinished texts of the source have it and they are PART or more of those about
+    that long, shorter or longer, a length found so beside it left out; longer texts far from it don't matter. Texts
+    of missing source are a group of their own. Of the encodings that share a limit, each is kept.
     """
     names = F.array(*[F.lit(m) for m in MEASURES])
-    one = ends.where("sizes is not null and src is not null").select("src", F.explode(F.arrays_zip(names.alias("measure"), F.col("sizes").alias("size"))).alias("x"))
+    one = ends.where("sizes is not null").select("src", F.explode(F.arrays_zip(names.alias("measure"), F.col("sizes").alias("size"))).alias("x"))
     counts = one.select("src", "x.measure", "x.size").groupBy("src", "measure", "size").agg(F.count(F.lit(1)).alias("texts"))
-    scaled = F.round(F.log("size") * 100_000).cast("bigint")
-    longer = Window.partitionBy("src", "measure").orderBy(scaled).rangeBetween(round(math.log(0.98) * 100_000), Window.unboundedFollowing)
-    told = counts.withColumn("around", F.sum("texts").over(longer))  # over counts, one row a length
+    scaled, step = F.round(F.log(F.col("size") + MORE) * 100_000).cast("bigint"), round(math.log(1 + NEAR) * 100_000)
+    near = Window.partitionBy("src", "measure").orderBy(scaled).rangeBetween(-step, step)  # over counts, one row a length
+    first = counts.withColumn("pile", (F.col("texts") >= PILE) & (F.col("texts") >= PART * F.sum("texts").over(near)))
+    others = F.coalesce(F.sum(F.when(~F.col("pile"), F.col("texts"))).over(near), F.lit(0))
+    told = first.withColumn("around", others + F.when(F.col("pile"), F.col("texts")).otherwise(0))
     return told.where((F.col("texts") >= PILE) & (F.col("texts") >= PART * F.col("around"))).select("src", "measure", "size", "texts")
 
 
 def truncated(ends: DataFrame, found: DataFrame, finals: DataFrame) -> DataFrame:
     """``ends`` with ``cut``: whether the text was cut off. Null, empty and blank texts are not.
 
-    An open ending is a cut when the text just fills a limit of its source, or when its last word never ends a sentence.
+    An open ending is a cut when the text just fills a limit of its source (any limit found, where its source is
+    missing), or when its last word never ends a sentence.
     """
     lengths = F.arrays_zip(F.array(*[F.lit(m) for m in MEASURES]).alias("measure"), F.col("sizes").alias("size"))
-    at = ends.where("ending = 'open' and src is not null").select("id", "src", F.explode(lengths).alias("x"))
-    full = at.select("id", "src", "x.measure", "x.size").join(found.select("src", "measure", "size"), ["src", "measure", "size"]).select("id").distinct()
+    at = ends.where("ending = 'open'").select("id", "src", F.explode(lengths).alias("x")).select("id", "src", "x.measure", "x.size")
+    own = at.join(found.select("src", "measure", "size"), ["src", "measure", "size"]).select("id")
+    any_ = at.where("src is null").join(found.select("measure", "size").distinct(), ["measure", "size"]).select("id")
+    full = own.union(any_)
     unfinished = ends.where("ending = 'open' and last is not null").join(finals, "last", "left_anti").select("id")
     more = full.union(unfinished).distinct().withColumn("more", F.lit(True))
     return ends.join(more, "id", "left").withColumn("cut", (F.col("ending") == "cut") | F.coalesce("more", F.lit(False)))

@@ -409,3 +409,21 @@ def test_limits_and_open_endings(spark):
     rep = {r["source"]: r for r in truncation.report(truncation.truncated(ends, found, truncation.final_words(docs, "text"))).collect()}
     assert rep["a_b"]["texts"] if "a_b" in rep else rep["ab"]["texts"] == 21
     assert rep[None]["cut_texts"] == 1
+
+
+def test_limits_beside_others_and_without_a_source(spark):
+    def cut_at(n, i):
+        return (f"{i} Il perito ha visto la casa. " + "vedere " * 700)[: n - 1] + "x"
+
+    rows = [(i, cut_at(500, i), "a") for i in range(40)] + [(100 + i, cut_at(4000, i), "a") for i in range(60)]
+    rows += [(200 + i, cut_at(300, i), "b") for i in range(6)] + [(210 + i, cut_at(303, i), "b") for i in range(9)] + [(220 + i, cut_at(700, i), None) for i in range(5)]
+    rows += [(300 + i, cut_at(600 + i, i), "c") for i in range(40) for _ in range(5)]
+    fills = "Il perito ha visto la casa, " + "vedere " * 110
+    rows += [(600 + i, fills[: n - 6] + " casa…", src) for i, (n, src) in enumerate([(500, "a"), (700, None), (500, None), (450, None), (700, "a")])]
+    docs = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id int, text string, source string")
+    ends = truncation.read_endings(docs, "doc_id", "text", "source").cache()
+    found = truncation.limits(ends)
+    assert {(r["src"], r["size"]) for r in found.where("measure = 'chars'").collect()} == {("a", 500), ("a", 4000), ("b", 300), ("b", 303), (None, 700)}
+    finals = spark.createDataFrame([("casa",)], "last string")
+    told = {r["id"]: r["cut"] for r in truncation.truncated(ends, found, finals).where("id >= 600").collect()}
+    assert told == {600: True, 601: True, 602: True, 603: False, 604: False}
