@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cartula.functions.names import name_key, spelling
 from cartula.llm.boundaries import DOMAINS, LEADING
+from cartula.plans.lineage import cut
 
 #: A limit: at least so many unfinished texts of a source with one length, and so large a part of those about that long.
 PILE, PART = 4, 0.5
@@ -29,6 +30,9 @@ PILE, PART = 4, 0.5
 #: About that long: so much shorter or longer, in parts of the length with as many characters more.
 NEAR, MORE = 0.02, 400
 
+#: A word can end a sentence when it does so at least so often, as a part of how often words do on average.
+RATE = 0.5
+
 _SPACE = " \t\r\n\f\v\x00\x1c\x1d\x1e\x1f\x85\xa0​‌‍  　﻿"
 
 # Marks that a system adds at the end of any text.
@@ -116,6 +120,9 @@ def ending(text: str | None) -> str:
             return _stopped(rest) if _stop.search(rest) else "whole"
         if _form.search(rest + "."):
             return "whole"
+        cased = not rest[-1].isalpha() or rest[-1].lower() != rest[-1].upper()
+        if cased and _stopped(rest + ".") == "cut" or _opened(rest):
+            return "cut"
         last = re.search(r"[^\W_]+\Z", rest)
         if told or not last and rest[-1] not in ")%€»\"":
             return "cut"
@@ -147,6 +154,14 @@ def _stopped(tail: str) -> str:
     return "cut" if low in LEADING and not before.endswith("@") else "whole"
 
 
+def _opened(tail: str) -> bool:
+    """Whether the last sentence opens a bracket that it doesn't close; ``1)`` and the like close none."""
+    depth = 0
+    for c in re.sub(r"(?<!\w)\w{1,3}\)", "", re.split(r"[.!?]\s+(?=[A-ZÀ-Ý])", tail)[-1]) if tail.count("(") > tail.count(")") else "":
+        depth = depth + 1 if c == "(" else max(0, depth - 1) if c == ")" else depth
+    return depth > 0
+
+
 def _domain(label: str) -> bool:
     """Whether a label is the last part of an address, misread letters allowed."""
     return label in DOMAINS or any(len(d) == len(label) > 3 and sum(a != b for a, b in zip(d, label, strict=True)) <= 2 for d in DOMAINS)
@@ -190,9 +205,10 @@ MEASURES = list(measures(""))
 
 
 def last_word(text: str) -> str | None:
-    """The word before the ellipsis that ends a text, when it is in small letters; it can show whether a sentence ends there."""
-    m = re.search(r"([^\W\d_]+)\s*(?:…|\.\.\.)[\])}»”’\"']*\Z", core_of(text)[0])
-    return m.group(1) if m and m.group(1).islower() else None
+    """The word of letters before the ellipsis that ends a text, in small letters; it can show whether a sentence ends
+    there. None after a number, a code, a single letter or a closing bracket, which are judged by their form alone."""
+    m = re.search(r"(?<!\w)([^\W\d_]{2,})\s*(?:…|\.\.\.)[\])}»”’\"']*\Z", core_of(text)[0])
+    return m.group(1).lower() if m else None
 
 
 def read_endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -214,9 +230,18 @@ def read_endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame
 
 
 def final_words(docs: DataFrame, text: str) -> DataFrame:
-    """(``last``): words in small letters that end a sentence at least twice in the corpus, before one that opens with a capital."""
-    ends = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])(\p{Ll}{2,})[.!?]\s+[«(]?\p{Lu}\p{Ll}"), F.lit(1))
-    return docs.select(F.explode(ends).alias("last")).groupBy("last").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & ~F.col("last").isin(sorted(LEADING))).select("last")
+    """(``last``): words, in small letters, that can end a sentence: they do so (before one that opens with a capital)
+    at least RATE times as often, of all their occurrences, as words do on average. Equal texts count once.
+
+    So a word is judged alike in a small and a large corpus, and one that ends a sentence by chance is no such word.
+    """
+    words = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}{2,}(?![\p{L}\p{N}])(?:[.!?](?=\s+[«(]?\p{Lu}))?"), F.lit(0))
+    each = docs.select(text).where(F.col(text).isNotNull()).distinct().select(F.explode(words).alias("x"))
+    word, ends = F.lower(F.regexp_extract("x", r"^\p{L}+", 0)), F.col("x").rlike(r"[.!?]$")
+    counts = each.groupBy(word.alias("last")).agg(F.count(F.lit(1)).alias("n"), F.sum(ends.cast("bigint")).alias("ends"))
+    counts = cut(counts.where(~F.col("last").isin(sorted(LEADING))))
+    mean = counts.agg((F.sum("ends") / F.sum("n")).alias("mean"))
+    return counts.crossJoin(F.broadcast(mean)).where((F.col("ends") > 0) & (F.col("ends") >= RATE * F.col("mean") * F.col("n"))).select("last")  # mean: one row
 
 
 def limits(ends: DataFrame) -> DataFrame:
@@ -241,7 +266,7 @@ def truncated(ends: DataFrame, found: DataFrame, finals: DataFrame) -> DataFrame
     """``ends`` with ``cut``: whether the text was cut off. Null, empty and blank texts are not.
 
     An open ending is a cut when the text just fills a limit of its source (any limit found, where its source is
-    missing), or when its last word never ends a sentence.
+    missing), or when its last word isn't one that can end a sentence.
     """
     lengths = F.arrays_zip(F.array(*[F.lit(m) for m in MEASURES]).alias("measure"), F.col("sizes").alias("size"))
     at = ends.where("ending = 'open'").select("id", "src", F.explode(lengths).alias("x")).select("id", "src", "x.measure", "x.size")

@@ -427,3 +427,18 @@ def test_limits_beside_others_and_without_a_source(spark):
     finals = spark.createDataFrame([("casa",)], "last string")
     told = {r["id"]: r["cut"] for r in truncation.truncated(ends, found, finals).where("id >= 600").collect()}
     assert told == {600: True, 601: True, 602: True, 603: False, 604: False}
+
+
+def test_words_end_sentences_by_their_rate(spark):
+    whole = ["Il perito ha visto la casa. Poi la parte ha pagato. Il notaio Rossi ha letto. Ha scritto Bianchi. Fine."]
+    rare = ["La parte ha chiesto di vedere il verbale che sta nel fascicolo e di vedere il registro che era da vedere e da leggere oggi. Poi nulla."]
+    for copies in (1, 50):  # a larger corpus, and texts posted again
+        texts = [f"{t} Nota {i}." for i, t in enumerate((whole + rare * 20) * copies)]
+        texts += ["Era da vedere. Poi basta. Era tutto.", "Era da vedere. Poi basta. Era tutto."] * copies
+        docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id int, text string, source string")
+        finals = {r["last"] for r in truncation.final_words(docs, "text").collect()}
+        assert {"casa", "pagato", "bianchi"} <= finals and "vedere" not in finals
+    asked = ["È andato a casa…", "Ha detto di vedere…", "Ha scritto Bianchi…", "Ha scritto Bian…", "È CASA…", "Pari a € 781…", "Pari a € 781,20…", "Ha visto (con Bianchi…", "Ha visto (con Bianchi)…"]
+    ends = truncation.read_endings(spark.createDataFrame([(i, t, "a") for i, t in enumerate(asked)], "doc_id int, text string, source string"), "doc_id", "text", "source")
+    told = {r["id"]: r["cut"] for r in truncation.truncated(ends, truncation.limits(ends), truncation.final_words(docs, "text")).collect()}
+    assert [told[i] for i in range(len(asked))] == [False, True, False, True, False, True, False, True, False]
