@@ -106,26 +106,30 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(mixture.mixture(sizes, plan), plan)
 
 
-def _endings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, folder, "documents")
+def _limits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = cut(truncation.read_endings(docs, "doc_id", "text", "source"))
-    found = truncation.limits(ends)
-    return truncation.truncated(ends, found, truncation.final_words(docs, "text")), found
+    return ends, truncation.limits(ends)
+
+
+def _endings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    uses = truncation.word_uses(docs, "text")
+    return truncation.truncated(*_limits(docs), uses.where("final").select("last"), uses.where("inside").select("last"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text was cut off before its end."""
-    return _endings(spark, folder)[0].where("cut").select(F.col("id").alias("doc_id"))
+    return _endings(spark, folder).where("cut").select(F.col("id").alias("doc_id"))
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     """How often each source truncates."""
-    return truncation.report(_endings(spark, folder)[0])
+    return truncation.report(_endings(spark, folder))
 
 
 def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
     """The storage limits that unfinished texts give away."""
-    return _endings(spark, folder)[1]
+    return _limits(table(spark, folder, "documents"))[1]
 
 
 QUERIES = {

@@ -77,6 +77,13 @@ CLOSED = [
     rf"(?:En )?{_NAMES},? (?:den |le |lì |il |el )?{_DATE}",
 ]
 
+# Forms of lists, rulings and signatures whatever their words; whether the last word is a whole one shows in the corpus.
+LISTED = [
+    r"[A-ZÀ-Ý][\w'’ ]{1,40} ?:\s*1[).]\s?[^;\n]{2,80}?(?:[;,]?\s+\d{1,2}[).]\s?[^;\n]{2,80}?)+", r"[A-ZÀ-Ý][\w'’ ]{1,40} ?:[ \t]*(?:\n[ \t]*[-•*–] ?[^\n]{2,80}){2,}",
+    r"P\. ?Q\. ?M\.[,:]?\s+\w+ (?:(?:il|lo|la|i|gli|le) |l['’])\w+(?: \w+){0,3}", rf"[A-ZÀ-Ý][^\n.!?;:,\d]{{3,50}},[ \t]*\n\s*{_NAME}(?: {_NAME})+",
+]
+
+_listed = re.compile(_START + "(?:" + "|".join(f"(?:{c})" for c in LISTED) + r")\Z")
 _neutral = re.compile("(?:" + "|".join(NEUTRAL) + r")\Z")
 _telling = re.compile("(?:" + "|".join(TELLING) + r")\Z", re.IGNORECASE)
 _closed = re.compile(_START + "(?:" + "|".join(f"(?:{c})" for c in CLOSED) + r")\Z")
@@ -104,8 +111,8 @@ def core_of(text: str) -> tuple[str, bool]:
 
 
 def ending(text: str | None) -> str:
-    """How a text ends: ``blank``, ``whole``, ``closed`` (a signature, date, list or the like), ``cut``, or ``open``
-    (an ellipsis after what may be a whole sentence)."""
+    """How a text ends: ``blank``, ``whole``, ``closed`` (a signature, date, list or the like), ``cut``, ``open``
+    (an ellipsis after what may be a whole sentence), or ``listed`` (the form of a list or the like, perhaps not all of it)."""
     if not text or not text.strip(_SPACE):
         return "blank"
     core, told = core_of(text)
@@ -129,6 +136,9 @@ def ending(text: str | None) -> str:
         return "cut" if last and last.group().lower() in _FUNCTION else "open"
     if _stop.search(tail):
         return _stopped(tail)
+    if not told and _listed.search(tail):
+        last = re.search(r"(?<!\w)([^\W\d_]{2,})\Z", tail)
+        return "listed" if last and last.group().lower() not in _FUNCTION else "cut"
     return "cut"
 
 
@@ -205,9 +215,9 @@ MEASURES = list(measures(""))
 
 
 def last_word(text: str) -> str | None:
-    """The word of letters before the ellipsis that ends a text, in small letters; it can show whether a sentence ends
-    there. None after a number, a code, a single letter or a closing bracket, which are judged by their form alone."""
-    m = re.search(r"(?<!\w)([^\W\d_]{2,})\s*(?:…|\.\.\.)[\])}»”’\"']*\Z", core_of(text)[0])
+    """The word of letters that ends a text, before an ellipsis if there is one, in small letters; it can show whether a sentence
+    ends there. None after a number, a code, a single letter or a closing bracket, which are judged by their form alone."""
+    m = re.search(r"(?<!\w)([^\W\d_]{2,})(?:\s*(?:…|\.\.\.)[\])}»”’\"']*)?\Z", core_of(text)[0])
     return m.group(1).lower() if m else None
 
 
@@ -218,8 +228,8 @@ def read_endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame
         for b in batches:
             texts = b.column(3).to_pylist()
             ends = [ending(t) for t in texts]
-            last = [last_word(t) if e == "open" else None for t, e in zip(texts, ends, strict=True)]
-            sizes = [list(measures(t).values()) if e in ("cut", "open") else None for t, e in zip(texts, ends, strict=True)]
+            last = [last_word(t) if e in ("open", "listed") else None for t, e in zip(texts, ends, strict=True)]
+            sizes = [list(measures(t).values()) if e in ("cut", "open", "listed") else None for t, e in zip(texts, ends, strict=True)]
             columns = [*b.columns[:3], pa.array(ends, pa.string()), pa.array(last, pa.string()), pa.array(sizes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "src", "source", "ending", "last", "sizes"])
 
@@ -229,19 +239,26 @@ def read_endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame
     return rows.mapInArrow(run, f"id {kind}, src string, source string, ending string, last string, sizes array<int>")
 
 
-def final_words(docs: DataFrame, text: str) -> DataFrame:
-    """(``last``): words, in small letters, that can end a sentence: they do so (before one that opens with a capital)
-    at least RATE times as often, of all their occurrences, as words do on average. Equal texts count once.
+def word_uses(docs: DataFrame, text: str) -> DataFrame:
+    """(``last``, ``final``, ``inside``): words in small letters, whether they can end a sentence, and whether a text goes
+    on after them, so that they are whole. Equal texts count once.
 
-    So a word is judged alike in a small and a large corpus, and one that ends a sentence by chance is no such word.
+    A word can end a sentence when it does so (before one that opens with a capital) at least RATE times as often, of
+    all its occurrences, as words do on average: it is judged alike in a small and a large corpus.
     """
-    words = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}{2,}(?![\p{L}\p{N}])(?:[.!?](?=\s+[«(]?\p{Lu}))?"), F.lit(0))
+    words = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}{2,}(?![\p{L}\p{N}])(?:[.!?](?=\s+[«(]?\p{Lu})| (?=\p{Ll}))?"), F.lit(0))
     each = docs.select(text).where(F.col(text).isNotNull()).distinct().select(F.explode(words).alias("x"))
-    word, ends = F.lower(F.regexp_extract("x", r"^\p{L}+", 0)), F.col("x").rlike(r"[.!?]$")
-    counts = each.groupBy(word.alias("last")).agg(F.count(F.lit(1)).alias("n"), F.sum(ends.cast("bigint")).alias("ends"))
+    word, ends, on = F.lower(F.regexp_extract("x", r"^\p{L}+", 0)), F.col("x").rlike(r"[.!?]$"), F.col("x").rlike(r"[.!? ]$")
+    counts = each.groupBy(word.alias("last")).agg(F.count(F.lit(1)).alias("n"), F.sum(ends.cast("bigint")).alias("ends"), F.max(on).alias("inside"))
     counts = cut(counts.where(~F.col("last").isin(sorted(LEADING))))
     mean = counts.agg((F.sum("ends") / F.sum("n")).alias("mean"))
-    return counts.crossJoin(F.broadcast(mean)).where((F.col("ends") > 0) & (F.col("ends") >= RATE * F.col("mean") * F.col("n"))).select("last")  # mean: one row
+    final = (F.col("ends") > 0) & (F.col("ends") >= RATE * F.col("mean") * F.col("n"))
+    return counts.crossJoin(F.broadcast(mean)).select("last", final.alias("final"), "inside")  # mean: one row
+
+
+def final_words(docs: DataFrame, text: str) -> DataFrame:
+    """(``last``): the words that can end a sentence."""
+    return word_uses(docs, text).where("final").select("last")
 
 
 def limits(ends: DataFrame) -> DataFrame:
@@ -262,19 +279,22 @@ def limits(ends: DataFrame) -> DataFrame:
     return told.where((F.col("texts") >= PILE) & (F.col("texts") >= PART * F.col("around"))).select("src", "measure", "size", "texts")
 
 
-def truncated(ends: DataFrame, found: DataFrame, finals: DataFrame) -> DataFrame:
+def truncated(ends: DataFrame, found: DataFrame, finals: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """``ends`` with ``cut``: whether the text was cut off. Null, empty and blank texts are not.
 
     An open ending is a cut when the text just fills a limit of its source (any limit found, where its source is
     missing), or when its last word isn't one that can end a sentence.
+    A list or the like is a cut when it just fills a limit, or when its last word isn't among ``inside``, the words after
+    which texts go on (``finals`` if not given).
     """
     lengths = F.arrays_zip(F.array(*[F.lit(m) for m in MEASURES]).alias("measure"), F.col("sizes").alias("size"))
-    at = ends.where("ending = 'open'").select("id", "src", F.explode(lengths).alias("x")).select("id", "src", "x.measure", "x.size")
+    at = ends.where("ending in ('open', 'listed')").select("id", "src", F.explode(lengths).alias("x")).select("id", "src", "x.measure", "x.size")
     own = at.join(found.select("src", "measure", "size"), ["src", "measure", "size"]).select("id")
     any_ = at.where("src is null").join(found.select("measure", "size").distinct(), ["measure", "size"]).select("id")
     full = own.union(any_)
     unfinished = ends.where("ending = 'open' and last is not null").join(finals, "last", "left_anti").select("id")
-    more = full.union(unfinished).distinct().withColumn("more", F.lit(True))
+    torn = ends.where("ending = 'listed'").join(finals if inside is None else inside, "last", "left_anti").select("id")
+    more = full.union(unfinished).union(torn).distinct().withColumn("more", F.lit(True))
     return ends.join(more, "id", "left").withColumn("cut", (F.col("ending") == "cut") | F.coalesce("more", F.lit(False)))
 
 

@@ -442,3 +442,14 @@ def test_words_end_sentences_by_their_rate(spark):
     ends = truncation.read_endings(spark.createDataFrame([(i, t, "a") for i, t in enumerate(asked)], "doc_id int, text string, source string"), "doc_id", "text", "source")
     told = {r["id"]: r["cut"] for r in truncation.truncated(ends, truncation.limits(ends), truncation.final_words(docs, "text")).collect()}
     assert [told[i] for i in range(len(asked))] == [False, True, False, True, False, True, False, True, False]
+
+
+def test_lists_by_their_form(spark):
+    asked = ["Ha letto. Allegati: 1) contratto 2) visura camerale", "Ha letto. Allegati:\n1) contratto;\n2) visura camer", "Ha letto. Documenti:\n- contratto\n- visura camerale", "Tutto visto. P.Q.M. rigetta il ricorso",
+        "Tutto visto. P.Q.M. rigetta il ric", "Ha letto.\nUn saluto affettuoso,\nAnna Bianchi", "Ha letto la visura camerale", "Allegati: 1) contratto"]
+    known = ["La visura camerale che manca. Il ricorso di Anna Bianchi che segue."]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(asked + known)], "doc_id int, text string, source string")
+    ends, uses = truncation.read_endings(docs, "doc_id", "text", "source"), truncation.word_uses(docs, "text")
+    finals, inside = uses.where("final").select("last"), uses.where("inside").select("last")
+    told = {r["id"]: r["cut"] for r in truncation.truncated(ends, truncation.limits(ends), finals, inside).collect()}
+    assert [told[i] for i in range(len(asked))] == [False, True, False, False, True, False, True, True]
