@@ -106,15 +106,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(mixture.mixture(sizes, plan), plan)
 
 
-def _limits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ends = cut(truncation.read_endings(docs, "doc_id", "text", "source"))
-    return ends, truncation.limits(ends)
+def _lengths(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    ends = cut(truncation.read_endings(table(spark, folder, "documents"), "doc_id", "text", "source"))
+    return ends, cut(truncation.limits(ends))
 
 
 def _endings(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    uses = truncation.word_uses(docs, "text")
-    return truncation.truncated(*_limits(docs), uses.where("final").select("last"), uses.where("inside").select("last"))
+    ends, found = _lengths(spark, folder)
+    full = cut(truncation.filling(ends, found))
+    forms = truncation.line_forms(ends.join(full, "id", "left_anti"))
+    uses = cut(truncation.word_uses(table(spark, folder, "documents"), "text", ends))
+    return truncation.truncated(ends, full, forms, uses)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,8 +130,8 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
-    """The storage limits that unfinished texts give away."""
-    return _limits(table(spark, folder, "documents"))[1]
+    """The storage limits that the lengths of all texts show."""
+    return _lengths(spark, folder)[1]
 
 
 QUERIES = {

@@ -1,167 +1,139 @@
 """Texts that end inside a word or a sentence because the rest was lost.
 
-Storage limits are found first: each text's length is recomputed in characters, bytes, UTF-16 units, with markup or
-JSON escapes and with other line ends, and grouped by source and encoding; lengths at which unfinished texts pile up
-are the limits. Then every ending is read: marks added after a cut are taken off, closings of letters and acts are
-known by their form, and a full stop after an abbreviation, an initial or half a number ends nothing. An ending that
-could be either is a cut when the text just fills a limit of its source.
+First the lengths of all texts are recomputed under the encodings in which they may have been stored (characters, bytes,
+UTF-16 units, markup and JSON escapes, other line ends) and counted by source and encoding. A length that far more texts
+have than lengths near it is a storage limit; texts that fill one are cut unless their ending is complete. Endings of the
+other texts show how whole texts end: which line forms close them, which words end sentences, after which words a full
+stop belongs to an abbreviation. An ending off every limit is judged by these counts and by its form, not by known phrases.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import html.entities
 import json
-import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartula.functions.names import name_key, spelling
 from cartula.llm.boundaries import DOMAINS, LEADING
-from cartula.plans.lineage import cut
+from cartula.plans.lineage import broadcast_within, cut, spread
 
-#: A limit: at least so many unfinished texts of a source with one length, and so large a part of those about that long.
-PILE, PART = 4, 0.5
+#: A limit: so many times as many texts of a source as lengths near it have on average, and more than chance gives: at least
+#: so many, and so many standard deviations (the root of the mean), over that average.
+EXCESS, PILE, SIGMAS = 4.0, 4, 6.0
 
-#: About that long: so much shorter or longer, in parts of the length with as many characters more.
-NEAR, MORE = 0.02, 400
+#: Of the measures that show one limit those are kept that show it nearly as well as the best.
+AS_WELL = 0.9
+
+#: Near: so much shorter or longer, in parts of the length and at least so many characters.
+NEAR, LEAST_NEAR = 0.02, 10
+
+#: A system that cuts between words leaves a text so many characters below its limit, at most.
+WORD_BAND = 10
+
+#: A form closes texts when at least so many different ones end with it, and no more go on after it.
+CLOSES = 3
+
+#: A form closes what it follows, and is no mark, when so large a part of the texts before it are complete.
+ALWAYS = 0.97
+
+#: A form that ends with a mark is one of its own when so large a part of the mark's texts have it; else the mark alone counts.
+OWN = 0.25
+
+#: Words of a form, and places before the end of a text at which forms may begin.
+FORM_WORDS, PLACES = 32, 6
 
 #: A word can end a sentence when it does so at least so often, as a part of how often words do on average.
 RATE = 0.5
 
-_SPACE = " \t\r\n\f\v\x00\x1c\x1d\x1e\x1f\x85\xa0​‌‍  　﻿"
-
-# Marks that a system adds at the end of any text.
-NEUTRAL = [
-    r"<!--[^<>]*-->", r"-- ?inviato dal[^\n]* ?--", r"ID trasmissione:? ?\w+", r"\[acquisito da scanner\]", r"\*{3} ?[^*\n]{3,40} ?\*{3}",
-    r"\(omissis\)", r"- ?omissis ?-", r"\[omissis\]", r"(?:Pag|pag|Page|Seite|Página|S|p)\.? ?\d+ ?(?:di|of|von|de|/|sur) ?\d+", r"End of document",
-]
-# Marks that say that something is missing.
-TELLING = [
-    r"\.{0,3} ?Leggi tutto", r"\(continua\)", r"\[continua\]", r"\(segue\)", r"\[segue\]", r"\[testo abbreviato\]", r"\[troncato\]", r"\[\.{3}\]", r"\[…\]", r"\(\.{3}\)",
-    r">>", r"read more", r"\(continued\)", r"\[truncated\]", r"Lire la suite", r"Weiterlesen", r"Leer más",
-]
-# Words before what must follow.
-_FUNCTION = frozenset(
-    "a ad ai al alla alle allo agli anche and as at au aux avec by che chez come con d da dagli dai dal dall dalla dalle das de degli dei del dell della"
-    " delle dello dem den der des di die du e ed ein eine el en entre et for für fra gli gemäß ha hat i il im in into is l la las le les lo los mit nach"
-    " negli nei nel nell nella nelle nello o of on oder or ou par per pour presso por que qui sans se senza selon si sotto su sugli sui sul sull sulla sulle"
-    " avv.ti borgo corso dott dott.ssa foglio iban iva largo monte nr particella piazza san sig sig.ra steuercode strada tel val via viale vicolo"
-    " the to tra un una und une uno unter vom von with y zu zum zur è à".split()
-)
+#: An abbreviation: a word of so many letters at most that has a full stop at least so often, of so many occurrences.
+LONGEST, STOPPED, SEEN = 6, 0.9, 8
+
+_SPACE = " \t\r\n\f\v\x00\x1c\x1d\x1e\x1f\x85\xa0​‌‍  ‪‬‮　﻿"
 
 _NAME = r"(?:[A-ZÀ-Ý][\w'’\-]*\.?)"
-_NAMES = rf"{_NAME}(?: {_NAME})*"
-_DATE = r"(?:\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}\.? (?:de )?\w+\.? (?:de )?\d{4})"
-_START = r"(?:^|\n[ \t]*|[.!?…»)\"]\s+)"
-
-# Forms in which letters and acts end, each to its last word.
-CLOSED = [
-    r"[Ll]etto, confermato e sottoscritto", rf"[Ll]etto, confermato e sottoscritto in {_NAMES} il {_DATE} dalle parti e dal notaio {_NAMES}",
-    r"Allegati:\s*1\) copia del verbale[,;]?\s+2\) procura", r"Allegati:[\s\S]{0,200}visura aggiornata", r"P\.Q\.M\. accoglie il ricorso",
-    r"Seguono [\w ]+(?:\([\w ]+\))?", r"Tanto si doveva(?:…|\.\.\.)", r"E questo basti!", r"Il resto è noto a tutti(?:…|\.\.\.)", r"N\. ?N\.",
-    rf"(?:Il|La) [Gg]iudice\s+(?:dott|Dott)\.(?:ssa)? ?{_NAMES}", rf"Il presidente dott\.(?:ssa)? {_NAMES} [–-] (?:Il|La) cancellier[ea] {_NAMES}",
-    rf"Depositato in cancelleria il {_DATE} [–-] (?:il|la) funzionari[oa] incaricat[oa] {_NAMES}", rf"F\.to (?:avv\. )?{_NAMES}",
-    rf"In attesa di riscontro si porgono i più cordiali saluti, avv\. {_NAMES}, {_NAMES}, {_DATE}",
-    rf"(?:Cordiali|Distinti) saluti,?\s+{_NAMES}", rf"Con osservanza,?\s+{_NAMES}", rf"Così deciso in {_NAMES}(?:,? (?:il )?{_DATE})?",
-    rf"I testimoni: {_NAMES}(?:, {_NAMES})*", rf"Elenco dei presenti: {_NAMES}(?:, {_NAMES})*", r"tel\. \+?[\d /]{6,}", r"\(s\.\)", r"\(?L\.S\.\)?",
-    rf"Signed: {_NAMES}", rf"(?:Read and s|S)igned at {_NAMES} on {_DATE} by {_NAMES} in the presence of the clerk", r"Enclosures:[\s\S]{0,200}receipt of payment",
-    rf"(?:Yours (?:sincerely|faithfully)|Kind regards|Regards|Sincerely),?\s+{_NAMES}",
-    rf"Mit freundlichen Grüßen,?\s+{_NAMES}", rf"Gelesen, genehmigt und unterschrieben zu {_NAMES} am {_DATE}, {_NAMES}", r"Anlagen:[\s\S]{0,200}Zahlungsbeleg",
-    rf"Veuillez agréer nos salutations,?\s+{_NAMES}", rf"(?:Lu, approuvé|Lu, fait|Fait) et signé à {_NAMES} le {_DATE} en deux exemplaires par {_NAMES}, mandataire", r"Pièces jointes ?:[\s\S]{0,200}quittance",
-    rf"Fait à {_NAMES}, (?:le )?{_DATE}", rf"Atentamente,?\s+{_NAMES}", rf"Leído y firmado en {_NAMES} el {_DATE} por {_NAMES}, apoderado de la parte", r"Anexos:[\s\S]{0,200}recibo del pago",
-    rf"(?:En )?{_NAMES},? (?:den |le |lì |il |el )?{_DATE}",
-]
-
-# Forms of lists, rulings and signatures whatever their words; whether the last word is a whole one shows in the corpus.
-LISTED = [
-    r"[A-ZÀ-Ý][\w'’ ]{1,40} ?:\s*1[).]\s?[^;\n]{2,80}?(?:[;,]?\s+\d{1,2}[).]\s?[^;\n]{2,80}?)+", r"[A-ZÀ-Ý][\w'’ ]{1,40} ?:[ \t]*(?:\n[ \t]*[-•*–] ?[^\n]{2,80}){2,}",
-    r"P\. ?Q\. ?M\.[,:]?\s+\w+ (?:(?:il|lo|la|i|gli|le) |l['’])\w+(?: \w+){0,3}", rf"[A-ZÀ-Ý][^\n.!?;:,\d]{{3,50}},[ \t]*\n\s*{_NAME}(?: {_NAME})+",
-]
-
-_listed = re.compile(_START + "(?:" + "|".join(f"(?:{c})" for c in LISTED) + r")\Z")
-_neutral = re.compile("(?:" + "|".join(NEUTRAL) + r")\Z")
-_telling = re.compile("(?:" + "|".join(TELLING) + r")\Z", re.IGNORECASE)
-_closed = re.compile(_START + "(?:" + "|".join(f"(?:{c})" for c in CLOSED) + r")\Z")
+_DATE = r"(?:\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}\.? (?:\w{1,3} )?[^\W\d_]{3,}\.? (?:\w{1,3} )?\d{4})"
+
+# Marks that stand for themselves at the end of any text, whatever their words: tags, groups in square brackets or between
+# stars or dashes, page numbers, arrows.
+_mark = re.compile(
+    r"(?:<!--[^<>]*-->|</?[a-zA-Z][^<>]*>|\[[^\[\]\n]{0,60}\]|\(\s*(?:…|\.{3})\s*\)|(?P<s>\*{2,}|-{2,}|={2,}|_{2,})[^*=_\n]{2,60}(?P=s)|-\s?\w+\s?-|[>»]{2,}|[*=_~|\-–—]{2,}"
+    r"|\([^()\n\d]{0,40}\)|(?:(?<=\n)|(?<=[.!?…] )|^)[ \t]*(?:\w{1,8}\.? )?\d{1,4} ?(?:/|[^\W\d]{2,3}) ?\d{1,4})\Z"
+)
 _stop = re.compile(r"[.!?][\])}»”’\"']*\Z")
+_ellipsis = re.compile(r"(?:\s*(?:…|\.\.\.)[\])}»”’\"']*)+\Z")
 _form = re.compile(r"(?:^|[ («])(?:S\.? ?p\.? ?A|S\.? ?r\.? ?l(?:\.? ?s)?|S\.? ?n\.? ?c|S\.? ?a\.? ?s|& ?C)\.\Z", re.IGNORECASE)
 _half_number = re.compile(
     r"(?:(?:€|\bEUR|\beuro) ?\d{1,3}(?:\.\d{3})*\.|(?:\b(?:il|al|dal|data|del|dem|vom|le|on|of|am|fecha|el|du|from) )\d{1,2}(?:\.\d{1,2})?\.|(?:\b(?:ore|h\.|um|à|at|las) )\d{1,2}\.)\Z"
 )
 _half_mail = re.compile(r"(?:(?:scrivendo a|e-?mail|indirizzo pec|p\.e\.c\.|\bmail|correo) [\w.\-]+|@[\w.\-]+)\.\Z", re.IGNORECASE)
-
-
-def core_of(text: str) -> tuple[str, bool]:
-    """The text without white space and marks at its end, and whether a mark said that something is missing."""
-    core, told = text.rstrip(_SPACE), False
-    while True:
-        tail = core[-120:]
-        if m := _neutral.search(tail):
-            if _closed.search(tail) and not m.group().startswith(("<", "-", "[", "(", "*", "ID", "P", "p", "E", "S")):
-                return core, told
-        elif m := _telling.search(tail):
-            told = True
-        else:
-            return core, told
-        core = core[: len(core) - len(tail) + m.start()].rstrip(_SPACE)
-
-
-def ending(text: str | None) -> str:
-    """How a text ends: ``blank``, ``whole``, ``closed`` (a signature, date, list or the like), ``cut``, ``open``
-    (an ellipsis after what may be a whole sentence), or ``listed`` (the form of a list or the like, perhaps not all of it)."""
-    if not text or not text.strip(_SPACE):
-        return "blank"
-    core, told = core_of(text)
+# A unit of an encoding that isn't whole: an escape, an entity, a tag, a byte sequence.
+_half_unit = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\u[dD][89abAB][0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}|\\|&#?\w{0,8}|=[0-9A-F]{0,2}|%[0-9A-F]{0,2}|</?[a-zA-Z][^<>]{0,200}|</?)\Z")
+
+# Structures of a last line or sentence, whatever its words.
+_dated = re.compile(rf"(?:[^\d\n.;:!?]{{0,40}}?[, ] ?)?{_DATE}\Z")
+_signed = re.compile(rf"[A-ZÀ-Ýa-zà-ÿ][^\n.!?;:,\d/]{{2,50}}(?:[,:/]|[ \t]*\n|,[ \t]*\n| /)\s*(?:[\w]{{2,6}}\. ?)?{_NAME}(?: {_NAME}){{0,4}}\Z")
+_numbered = re.compile(r"[^\W\d_][\w'’ ]{1,40} ?:\s*1[).]\s?[^;\n]{2,80}?(?:[;,]?\s+\d{1,2}[).]\s?[^;\n]{2,80}?)+\Z")
+_item = re.compile(r"[ \t]*(?:[-•*–]|\d{1,3}[).])[ \t]?\S")
+
+
+def stripped(text: str) -> tuple[str, bool]:
+    """The text without white space and marks at its end, and whether there were marks. Each round ends earlier; the
+    marks are anchored to the end, so only the last lines are read."""
+    core, marked = text.rstrip(_SPACE), False
+    while core:
+        tail = core[max(0, core.rfind("\n", 0, max(0, core.rfind("\n"))) + 0) if len(core) > 400 else 0 :]
+        m = _mark.search(tail, max(0, len(tail) - 300))
+        if not m:
+            break
+        core, marked = core[: len(core) - len(tail) + m.start()].rstrip(_SPACE), True
+    return core, marked
+
+
+def state(text: str) -> tuple[bool, str | None]:
+    """Of a text before a place: whether it is empty or ends, but for white space and marks, with a mark that ends a sentence;
+    and the word before an ellipsis, where it ends with one."""
+    core = stripped(text)[0]
     if not core:
-        return "whole"
-    tail = core[-400:]
-    if _closed.search(tail):
-        return "closed"
-    if re.search(r"(?:…|\.\.\.)[\])}»”’\"']*\Z", tail):
-        rest = re.sub(r"\s*(?:…|\.\.\.)[\])}»”’\"']*\Z", "", tail)
-        if not rest or _stop.search(rest) or _closed.search(rest):
-            return _stopped(rest) if _stop.search(rest) else "whole"
-        if _form.search(rest + "."):
-            return "whole"
-        cased = not rest[-1].isalpha() or rest[-1].lower() != rest[-1].upper()
-        if cased and _stopped(rest + ".") == "cut" or _opened(rest):
-            return "cut"
-        last = re.search(r"[^\W_]+\Z", rest)
-        if told or not last and rest[-1] not in ")%€»\"":
-            return "cut"
-        return "cut" if last and last.group().lower() in _FUNCTION else "open"
-    if _stop.search(tail):
-        return _stopped(tail)
-    if not told and _listed.search(tail):
-        last = re.search(r"(?<!\w)([^\W\d_]{2,})\Z", tail)
-        return "listed" if last and last.group().lower() not in _FUNCTION else "cut"
-    return "cut"
+        return True, None
+    if _ellipsis.search(core):
+        rest = _ellipsis.sub("", core)
+        done = bool(rest) and bool(_stop.search(rest)) and _stopped(rest[-400:]) == "whole"
+        return done, None if done else last_word(core) or ""
+    return bool(_stop.search(core)) and _stopped(core[-400:]) == "whole", None
 
 
 def _stopped(tail: str) -> str:
-    """``whole`` or ``cut``, for a text that ends with a full stop, question or exclamation mark."""
+    """``whole``, ``short`` or ``torn``, for a text that ends with a full stop, question or exclamation mark."""
     bare = re.sub(r"[\])}»”’\"']*\Z", "", tail)
     if bare[-1] in "!?" or bare.endswith(".."):
         return "whole"
     if bare != tail or _form.search(bare):
         return "whole"
     if _half_number.search(bare):
-        return "cut"
+        return "torn"
     if m := _half_mail.search(bare):
-        return "whole" if "@" in m.group() and _domain(m.group().rstrip(".").rpartition(".")[2].lower()) else "cut"
+        return "whole" if "@" in m.group() and _domain(m.group().rstrip(".").rpartition(".")[2].lower()) else "torn"
     word = re.search(r"(?<!\w)([^\W\d_]+(?:['’])?)\.\Z", bare)
     if not word:
         return "whole"
     low, before = word.group(1).lower(), bare[: word.start()]
     if len(low) == 1:
-        return "whole" if re.search(r"(?:sesso |sex |Geschlecht |sexe |sexo |\d ?/ ?|\d)\Z", before) else "cut"
+        return "whole" if re.search(r"(?:sesso |sex |Geschlecht |sexe |sexo |\d ?/ ?|\d)\Z", before) else "short"
     if low in ("sa", "sc", "es", "ex", "st", "co", "us", "s"):
-        return "whole" if low not in LEADING else "cut"
-    return "cut" if low in LEADING and not before.endswith("@") else "whole"
+        return "whole" if low not in LEADING else "short"
+    return "short" if low in LEADING and not before.endswith("@") else "whole"
+
+
+def _domain(label: str) -> bool:
+    """Whether a label is the last part of an address, misread letters allowed."""
+    return label in DOMAINS or any(len(d) == len(label) > 3 and sum(a != b for a, b in zip(d, label, strict=True)) <= 2 for d in DOMAINS)
 
 
 def _opened(tail: str) -> bool:
@@ -172,9 +144,93 @@ def _opened(tail: str) -> bool:
     return depth > 0
 
 
-def _domain(label: str) -> bool:
-    """Whether a label is the last part of an address, misread letters allowed."""
-    return label in DOMAINS or any(len(d) == len(label) > 3 and sum(a != b for a, b in zip(d, label, strict=True)) <= 2 for d in DOMAINS)
+def places(core: str) -> list[int]:
+    """Where the last lines and sentences of a text begin, the last first, at most PLACES; 0 if the text is that short."""
+    out, upto = [], len(core)
+    while len(out) < PLACES and upto > 0:
+        line = core.rfind("\n", 0, upto)
+        sentence = max((m.end() for m in re.finditer(r"[.!?…][\])}»”’\"']*\s+(?=[^\s\d])|(?<=\.\.\.)\s*(?=\S)|(?=[…\[(])", core[line + 1 : upto])), default=-1)
+        at = line + 1 + sentence if sentence > 0 else line + 1
+        if at < len(core) and core[at:].strip(_SPACE):
+            out.append(at)
+        upto = at if sentence > 0 and at < upto else line
+        if line < 0 and sentence <= 0:
+            break
+    return out
+
+
+def listed(core: str) -> bool:
+    """Whether a text ends with a list under a heading with a colon: at least two items, on lines or numbered in one."""
+    lines, n, upto = 0, 0, len(core)
+    while upto > 0:
+        at = core.rfind("\n", 0, upto) + 1
+        if not _item.match(core, at, upto):
+            lines = at
+            break
+        n, upto = n + 1, at - 1
+    if n >= 2 and core[lines:upto].rstrip(_SPACE).endswith(":"):
+        return True
+    return any(_numbered.match(core, at) for at in places(core))
+
+
+def shaped(core: str) -> str | None:
+    """The structure that ends a text, if any: ``list``, ``date``, ``signature``, or ``loose`` for the last two after a line
+    that isn't complete."""
+    if listed(core):
+        return "list"
+    for name, pattern in (("date", _dated), ("signature", _signed)):
+        at = [a for a in places(core) if pattern.match(core, a)]
+        if at:
+            return name if any(any(x is True or x for x in state(core[:a])) for a in at) else "loose"
+    return None
+
+
+_date = re.compile(rf"(?<!\w){_DATE}(?!\w)")
+_word = re.compile(r"\n|\d+(?:[./:\-]\d+)*|[^\W_]+(?:['’\-][^\W_]+)*|[^\w\s]|_")
+
+
+def form(part: str) -> list[str]:
+    """A part of a text as the words of a form: in small letters, numbers as 0, runs of capitalised words after the first
+    as A, line ends kept."""
+    out: list[str] = []
+    for w in _word.findall(_date.sub("0", part.strip(_SPACE))):
+        x = "0" if w[0].isdigit() else "A" if out and w[0].isupper() else w.lower()
+        if not (x == "A" and out[-1] == "A"):
+            out.append(x)
+    return out
+
+
+def _hash(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+# ---- one text
+
+
+def ending(text: str | None) -> str:
+    """How a text ends, by its form alone: ``blank``, ``whole`` (a mark ends a sentence), ``short`` (a full stop, but
+    after an abbreviation or initial), ``torn`` (inside a number, an address, a bracket or a unit of an encoding), ``list``, ``date``, ``signature``, ``loose`` (see shaped), ``page`` (a page number and the like alone),
+    ``open`` (an ellipsis after what may be a whole sentence) or ``bare`` (no mark; counts over the corpus decide)."""
+    if not text or not text.strip(_SPACE):
+        return "blank"
+    core, marked = stripped(text)
+    if not core:
+        return "page"
+    if _ellipsis.search(core):
+        rest = _ellipsis.sub("", core[-400:])
+        if not rest or _form.search(rest + "."):
+            return "whole"
+        if _stop.search(rest):
+            return _stopped(rest)
+        cased = not rest[-1].isalpha() or rest[-1].lower() != rest[-1].upper()
+        if _opened(rest) or rest[-1] in ",;:-–([" or cased and _stopped(rest + ".") == "torn":
+            return "torn"
+        return "short" if cased and _stopped(rest + ".") == "short" else "open"
+    if _stop.search(core):
+        return _stopped(core[-400:])
+    if _half_unit.search(core):
+        return "torn"
+    return shaped(core) or "bare"
 
 
 # ---- lengths
@@ -196,11 +252,11 @@ def measures(text: str) -> dict[str, int]:
     return {
         "chars": len(text),
         "utf8": raw,
-        "utf16": len(text) + sum(c > "￿" for c in text),
+        "utf16": len(text) + sum(c > "\uffff" for c in text),
         "markup": len(escaped),
         "markup_quotes": len(quoted),
         "markup_utf8": raw + len(escaped) - len(text),
-        "markup_names": sum(map(_named, text)),
+        "markup_names": len(text) if text.isascii() and len(escaped) == len(text) and '"' not in text else sum(map(_named, text)),
         "json": len(plain) - 2,
         "json_utf8": len(plain.encode("utf-8", "surrogatepass")) - 2,
         "json_ascii": len(json.dumps(text)) - 2,
@@ -217,89 +273,215 @@ MEASURES = list(measures(""))
 def last_word(text: str) -> str | None:
     """The word of letters that ends a text, before an ellipsis if there is one, in small letters; it can show whether a sentence
     ends there. None after a number, a code, a single letter or a closing bracket, which are judged by their form alone."""
-    m = re.search(r"(?<!\w)([^\W\d_]{2,})(?:\s*(?:…|\.\.\.)[\])}»”’\"']*)?\Z", core_of(text)[0])
+    m = re.search(r"(?<!\w)([^\W\d_]{2,})(?:\s*(?:…|\.\.\.)[\])}»”’\"']*)*\Z", stripped(text)[0][-200:])
+    return m.group(1).lower() if m else None
+
+
+def stop_word(text: str) -> str | None:
+    """The word of letters before the full stop that ends a text, in small letters."""
+    m = re.search(r"(?<!\w)([^\W\d_]{2,})\.\Z", stripped(text)[0][-200:])
     return m.group(1).lower() if m else None
 
 
+def read_one(text: str) -> dict:
+    """What is read of a text that isn't blank: ``kind`` (see ending), ``last``, ``stop``, ``sizes`` under all measures,
+    ``cores``: the same without marks at the end, ``forms``: (from, to, hash, hash of what
+    stands before) of its last parts, ``states``: see state, before each place, ``goes``: hashes of the beginnings of its last parts, which go on."""
+    kind = ending(text)
+    core, marked = stripped(text)
+    if kind == "open":
+        core = _ellipsis.sub("", core)
+    at, parts = places(core), []
+    goes: set[int] = set()
+    for p in at[:2]:
+        words = form(core[p:])[: FORM_WORDS + 1]
+        goes.update(_hash(words[:n]) for n in range(1, len(words)) if words[n] != "\n")
+    if kind not in ("whole", "torn", "page"):  # the forms of these say nothing
+        ends = [len(core), *at]
+        for i in range(1, len(ends)):
+            for j in range(i):
+                words = form(core[ends[i] : ends[j]])
+                if 0 < len(words) <= FORM_WORDS:
+                    before = "".join(c for c in core[max(0, ends[i] - 60) : ends[i]].lower() if c.isalnum())[-30:]
+                    parts.append({"i": i, "j": j, "h": _hash(words), "c": _hash([before])})
+    return {
+        "kind": kind,
+        "last": last_word(text) if kind not in ("whole", "torn", "page") else None,
+        "stop": stop_word(text) if kind == "whole" else None,
+        "sizes": list(measures(text).values()),
+        "cores": list(measures(core).values()) if marked else None,
+        "forms": parts,
+        "states": [dict(zip(("done", "open"), state(core[:p]), strict=True)) for p in at] if parts else [],
+        "goes": sorted(goes),
+    }
+
+
+_READ = (
+    "kind string, last string, stop string, sizes array<int>, cores array<int>, forms array<struct<i:int,j:int,h:bigint,c:bigint>>, states array<struct<done:boolean,open:string>>, goes array<bigint>"
+)
+_ARROW = pa.schema(
+    [
+        ("kind", pa.string()), ("last", pa.string()), ("stop", pa.string()), ("sizes", pa.list_(pa.int32())), ("cores", pa.list_(pa.int32())),
+        ("forms", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("h", pa.int64()), ("c", pa.int64())]))),
+        ("states", pa.list_(pa.struct([("done", pa.bool_()), ("open", pa.string())]))), ("goes", pa.list_(pa.int64())),
+    ]
+)
+_BLANK = {"kind": "blank", "last": None, "stop": None, "sizes": None, "cores": None, "forms": [], "states": [], "goes": []}
+
+
 def read_endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(``id``, ``src``, ``source``, ``ending``, ``last``, ``sizes``): how each whole text ends, its lengths, its source."""
+    """(``id``, ``src``, ``source``, ``text_hash`` and what read_one gives) of every text; the whole text is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(3).to_pylist()
-            ends = [ending(t) for t in texts]
-            last = [last_word(t) if e in ("open", "listed") else None for t, e in zip(texts, ends, strict=True)]
-            sizes = [list(measures(t).values()) if e in ("cut", "open", "listed") else None for t, e in zip(texts, ends, strict=True)]
-            columns = [*b.columns[:3], pa.array(ends, pa.string()), pa.array(last, pa.string()), pa.array(sizes, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "src", "source", "ending", "last", "sizes"])
+            rows = [read_one(t) if t and t.strip(_SPACE) else _BLANK for t in b.column(4).to_pylist()]
+            told = pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *told.columns], ["id", "src", "source", "text_hash", *_ARROW.names])
 
     missing = name_key(F.col(source)).isNull()
-    rows = docs.select(F.col(key).alias("id"), name_key(F.col(source)).alias("src"), F.when(~missing, spelling(F.col(source))).alias("source"), F.col(text).alias("text"))
+    spelt = F.when(~missing, spelling(F.col(source)))
+    rows = spread(docs).select(F.col(key).alias("id"), name_key(F.col(source)).alias("src"), spelt.alias("source"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, src string, source string, ending string, last string, sizes array<int>")
+    return rows.mapInArrow(run, f"id {kind}, src string, source string, text_hash bigint, {_READ}")
 
 
-def word_uses(docs: DataFrame, text: str) -> DataFrame:
-    """(``last``, ``final``, ``inside``): words in small letters, whether they can end a sentence, and whether a text goes
-    on after them, so that they are whole. Equal texts count once.
+def _measured(sizes: str) -> Column:
+    return F.arrays_zip(F.array(*[F.lit(m) for m in MEASURES]).alias("measure"), F.col(sizes).alias("size"))
 
-    A word can end a sentence when it does so (before one that opens with a capital) at least RATE times as often, of
-    all its occurrences, as words do on average: it is judged alike in a small and a large corpus.
-    """
-    words = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}{2,}(?![\p{L}\p{N}])(?:[.!?](?=\s+[«(]?\p{Lu})| (?=\p{Ll}))?"), F.lit(0))
-    each = docs.select(text).where(F.col(text).isNotNull()).distinct().select(F.explode(words).alias("x"))
-    word, ends, on = F.lower(F.regexp_extract("x", r"^\p{L}+", 0)), F.col("x").rlike(r"[.!?]$"), F.col("x").rlike(r"[.!? ]$")
-    counts = each.groupBy(word.alias("last")).agg(F.count(F.lit(1)).alias("n"), F.sum(ends.cast("bigint")).alias("ends"), F.max(on).alias("inside"))
-    counts = cut(counts.where(~F.col("last").isin(sorted(LEADING))))
-    mean = counts.agg((F.sum("ends") / F.sum("n")).alias("mean"))
-    final = (F.col("ends") > 0) & (F.col("ends") >= RATE * F.col("mean") * F.col("n"))
-    return counts.crossJoin(F.broadcast(mean)).select("last", final.alias("final"), "inside")  # mean: one row
 
+def limits(ends: DataFrame) -> DataFrame:
+    """(``src``, ``measure``, ``size``, ``texts``, ``expected``, ``band``): the storage limits of each source.
 
-def final_words(docs: DataFrame, text: str) -> DataFrame:
-    """(``last``): the words that can end a sentence."""
-    return word_uses(docs, text).where("final").select("last")
+    Of all texts, whole ones included, equal ones of a source once, the lengths under every measure are counted. A
+    length is a limit when EXCESS times as many texts have it as lengths near it have on average, and more than chance
+    explains (PILE, SIGMAS); or, where cuts fall between words, when the WORD_BAND lengths below it together are so many. Of the
+    measures that show one limit, those that show it nearly as well as the best are kept. Texts of missing source are a group of their own. Only counts are windowed, one row a length.
+    """
+    one = ends.where("sizes is not null").dropDuplicates(["src", "text_hash"]).select("src", F.explode(_measured("sizes")).alias("x"))
+    counts = one.groupBy("src", "x.measure", "x.size").agg(F.count(F.lit(1)).alias("texts"))
+    more = LEAST_NEAR / NEAR
+    scaled, step = F.round(F.ln(F.col("size") + more) * 100_000).cast("bigint"), round(100_000 * NEAR)
+    near = Window.partitionBy("src", "measure").orderBy(scaled).rangeBetween(-step, step)
+    below = Window.partitionBy("src", "measure").orderBy("size").rangeBetween(-WORD_BAND, 0)
+    span = 2 * NEAR * (F.col("size") + more)
+    all_ = counts.withColumns({"about": F.sum("texts").over(near), "banded": F.sum("texts").over(below), "most": F.max("texts").over(below), "kinds": F.count(F.lit(1)).over(below)})
+    mean = (F.col("about") - F.col("texts")) / span
+    band_mean = (F.col("about") - F.col("banded")) * (WORD_BAND + 1) / (span - WORD_BAND - 1)
+    over = lambda n, m: (n >= EXCESS * m) & (n >= m + PILE + SIGMAS * F.sqrt(F.greatest(m, F.lit(0.0))))
+    sharp = all_.where(over(F.col("texts"), mean)).select("src", "measure", "size", "texts", mean.alias("expected"), F.lit(0).alias("band"))
+    wide = all_.where(
+        over(F.col("banded") - PILE, band_mean) & (F.col("kinds") >= 3) & (F.col("most") < 0.5 * F.col("banded"))
+    ).select("src", "measure", "size", F.col("banded").alias("texts"), band_mean.alias("expected"), F.lit(WORD_BAND).alias("band"))
+    found = sharp.unionByName(wide)
+    around = Window.partitionBy("src").orderBy(scaled).rangeBetween(-step, step)  # over limits found: few
+    best = found.withColumn("best", F.max("texts").over(around)).where(F.col("texts") >= AS_WELL * F.col("best"))
+    own = Window.partitionBy("src", "measure", "band").orderBy(scaled).rangeBetween(-step, step)
+    top = best.withColumns({"top": F.max("texts").over(own), "sharp": F.max(F.when(F.col("band") == 0, F.col("texts"))).over(around)})
+    kept = top.where((F.col("band") == 0) | ((F.col("texts") == F.col("top")) & F.col("sharp").isNull()))
+    return kept.select("src", "measure", "size", "texts", "expected", "band")
+
+
+def filling(ends: DataFrame, found: DataFrame) -> DataFrame:
+    """(``id``): texts that fill a limit of their source (of any source, where their own is missing), with or without the
+    marks at their end."""
+    each = found.select("src", "measure", F.explode(F.sequence(F.col("size") - F.col("band"), F.col("size"))).alias("size")).distinct()
+    each = broadcast_within(cut(each))
+    both = ends.select("id", "src", F.explode(_measured("sizes")).alias("x")).unionByName(ends.where("cores is not null").select("id", "src", F.explode(_measured("cores")).alias("x")))
+    at = both.select("id", "src", "x.measure", "x.size")
+    own = at.join(each, ["src", "measure", "size"]).select("id")
+    any_ = at.where("src is null").join(each.select("measure", "size").distinct(), ["measure", "size"]).select("id")
+    return own.union(any_).distinct()
+
+
+def line_forms(ends: DataFrame) -> DataFrame:
+    """(``h``, ``n``, ``closes``, ``mark``, ``tells``, ``goes``): forms that end texts below every limit, by counts over different texts.
+
+    A form ``closes`` when at least CLOSES texts, different in what stands before it, end with it and no more go on after it; it is a ``mark`` when the text before
+    it is often not complete, so that it says nothing of what it follows, and it ``tells`` of a cut when that never is; it ``goes`` on when more texts do so than end.
+    """
+    one = ends.dropDuplicates(["text_hash"])
+    last = one.select(F.explode("forms").alias("f"), "states").where("f.j = 0").select("f.h", "f.c", F.get("states", F.col("f.i") - 1).alias("state"))
+    each = last.groupBy("h", "c").agg(F.max("state.done").alias("done"), F.max(F.col("state.done") | F.col("state.open").isNotNull()).alias("state"))
+    ended = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("state").cast("int")).alias("after"), F.sum(F.col("done").cast("int")).alias("done"))
+    on = one.select(F.explode("goes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("on"))
+    both = ended.join(on, "h", "left").withColumn("on", F.coalesce("on", F.lit(0)))
+    closes = (F.col("n") >= CLOSES) & (F.col("n") >= F.col("on"))
+    goes = (F.col("on") >= CLOSES) & (F.col("on") > F.col("n"))
+    return both.select("h", "n", closes.alias("closes"), ((F.col("after") < ALWAYS * F.col("n")) | (F.col("done") == 0)).alias("mark"), (closes & (F.col("done") == 0)).alias("tells"), goes.alias("goes")).where("closes or goes")
 
 
-def limits(ends: DataFrame) -> DataFrame:
-    """(``src``, ``measure``, ``size``, ``texts``): lengths at which unfinished texts of a source pile up.
+def word_uses(docs: DataFrame, text: str, ends: DataFrame) -> DataFrame:
+    """(``last``, ``n``, ``final``, ``inside``, ``short``): words in small letters, how often they occur, whether they can end
+    a sentence, whether a text goes on after them, and whether they are abbreviations. Equal texts count once.
 
-    A length counts when at least PILE unfinished texts of the source have it and they are PART or more of those about
-    that long, shorter or longer, a length found so beside it left out; longer texts far from it don't matter. Texts
-    of missing source are a group of their own. Of the encodings that share a limit, each is kept.
+    A word can end a sentence when it does so (before one that opens with a capital) at least RATE times as often, of
+    all its occurrences, as words do on average. An abbreviation has a full stop nearly always and yet ends texts less than
+    RATE times as often, of its full stops, as words do. Both are rates, so a word is judged alike in a small and a large corpus.
     """
-    names = F.array(*[F.lit(m) for m in MEASURES])
-    one = ends.where("sizes is not null").select("src", F.explode(F.arrays_zip(names.alias("measure"), F.col("sizes").alias("size"))).alias("x"))
-    counts = one.select("src", "x.measure", "x.size").groupBy("src", "measure", "size").agg(F.count(F.lit(1)).alias("texts"))
-    scaled, step = F.round(F.log(F.col("size") + MORE) * 100_000).cast("bigint"), round(math.log(1 + NEAR) * 100_000)
-    near = Window.partitionBy("src", "measure").orderBy(scaled).rangeBetween(-step, step)  # over counts, one row a length
-    first = counts.withColumn("pile", (F.col("texts") >= PILE) & (F.col("texts") >= PART * F.sum("texts").over(near)))
-    others = F.coalesce(F.sum(F.when(~F.col("pile"), F.col("texts"))).over(near), F.lit(0))
-    told = first.withColumn("around", others + F.when(F.col("pile"), F.col("texts")).otherwise(0))
-    return told.where((F.col("texts") >= PILE) & (F.col("texts") >= PART * F.col("around"))).select("src", "measure", "size", "texts")
-
-
-def truncated(ends: DataFrame, found: DataFrame, finals: DataFrame, inside: DataFrame | None = None) -> DataFrame:
-    """``ends`` with ``cut``: whether the text was cut off. Null, empty and blank texts are not.
-
-    An open ending is a cut when the text just fills a limit of its source (any limit found, where its source is
-    missing), or when its last word isn't one that can end a sentence.
-    A list or the like is a cut when it just fills a limit, or when its last word isn't among ``inside``, the words after
-    which texts go on (``finals`` if not given).
+    words = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}{2,}(?![\p{L}\p{N}])(?:[.!?]\s+(?=[«(]?\p{Lu})|\.| (?=\p{Ll}))?"), F.lit(0))
+    each = docs.select(text).where(F.col(text).isNotNull()).distinct().select(F.explode(words).alias("x"))
+    word, sentence, stopped, on = F.lower(F.regexp_extract("x", r"^\p{L}+", 0)), F.col("x").rlike(r"[.!?]\s+$"), F.col("x").contains("."), F.col("x").rlike(r"[.!?\s]$")
+    count = lambda c: F.sum(c.cast("bigint"))
+    counts = each.groupBy(word.alias("last")).agg(F.count(F.lit(1)).alias("n"), count(sentence).alias("ends"), count(stopped).alias("stops"), F.max(on).alias("inside"))
+    closing = ends.where("stop is not null").dropDuplicates(["text_hash"]).groupBy(F.col("stop").alias("last")).agg(F.count(F.lit(1)).alias("closing"))
+    counts = cut(counts.join(closing, "last", "left").withColumn("closing", F.coalesce("closing", F.lit(0))))
+    mean = counts.agg((F.sum("ends") / F.sum("n")).alias("mean"), F.try_divide(F.sum("closing"), F.sum("stops")).alias("mean_closing"))
+    known = F.col("last").isin(sorted(LEADING))
+    final = (F.col("ends") > 0) & (F.col("ends") >= RATE * F.col("mean") * F.col("n")) & ~known
+    short = (F.length("last") <= LONGEST) & (F.col("n") >= SEEN) & (F.col("stops") >= STOPPED * F.col("n")) & (F.col("closing") < RATE * F.col("mean_closing") * F.col("stops"))
+    return counts.crossJoin(F.broadcast(mean)).select("last", "n", final.alias("final"), "inside", F.coalesce(short, F.lit(False)).alias("short"))  # mean: one row
+
+
+def truncated(ends: DataFrame, full: DataFrame, forms: DataFrame, uses: DataFrame) -> DataFrame:
+    """(``id``, ``src``, ``source``, ``kind``, ``full``, ``cut``): whether each text was cut off. Null, empty and blank texts are not.
+
+    A text that fills a limit is cut unless its ending is complete: a mark that ends a sentence after a word that occurs elsewhere, too,
+    or a form that closes other texts after a complete one. Below the limits a text without such an ending is cut unless
+    it ends with a list, date or signature (a list whose last word occurs nowhere else, or a date or signature whose
+    form goes on elsewhere, is cut) or with an ellipsis after a word that can end sentences.
     """
-    lengths = F.arrays_zip(F.array(*[F.lit(m) for m in MEASURES]).alias("measure"), F.col("sizes").alias("size"))
-    at = ends.where("ending in ('open', 'listed')").select("id", "src", F.explode(lengths).alias("x")).select("id", "src", "x.measure", "x.size")
-    own = at.join(found.select("src", "measure", "size"), ["src", "measure", "size"]).select("id")
-    any_ = at.where("src is null").join(found.select("measure", "size").distinct(), ["measure", "size"]).select("id")
-    full = own.union(any_)
-    unfinished = ends.where("ending = 'open' and last is not null").join(finals, "last", "left_anti").select("id")
-    torn = ends.where("ending = 'listed'").join(finals if inside is None else inside, "last", "left_anti").select("id")
-    more = full.union(unfinished).union(torn).distinct().withColumn("more", F.lit(True))
-    return ends.join(more, "id", "left").withColumn("cut", (F.col("ending") == "cut") | F.coalesce("more", F.lit(False)))
+    known = broadcast_within(cut(forms))
+    def step(a: Column, e: Column) -> Column:
+        goes = F.array_contains(a["reach"], e["j"]) & ((a["at"] != e["j"]) | (e["n"] >= OWN * a["n"]))
+        with_ = lambda x, c: F.when(c, F.array_union(a[x], F.array(e["i"]))).otherwise(a[x]).alias(x)
+        at = F.when(e["mark"], e["j"]).otherwise(a["at"]).alias("at")
+        return F.struct(with_("reach", goes), with_("fine", goes & ~e["mark"]), at, F.when(e["mark"], e["n"]).otherwise(a["n"]).alias("n"))
+
+    none = F.array().cast("array<int>")
+    start = F.struct(F.array(F.lit(0)).alias("reach"), none.alias("fine"), F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("n"))  # at, n: the last mark and its texts
+    some = ends.where("size(forms) > 0").select("id", "states", F.explode("forms").alias("f")).select("id", "states", "f.i", "f.j", "f.h").join(known, "h")
+    edge = F.when(F.col("closes"), F.struct("j", "i", "mark", "n"))
+    per = some.groupBy("id", "states").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.max(F.col("goes") & (F.col("j") == 0)).alias("on"), F.max("tells").alias("tells"))  # at most PLACES squared a text
+    ends_ = per.withColumn("r", F.aggregate("edges", start, step))
+    done = F.exists("r.reach", lambda i: (i > 0) & F.get("states", i - 1)["done"]) | F.exists("r.fine", lambda i: F.get("states", i - 1)["open"].isNotNull())
+    words = F.filter(F.transform(F.filter("r.reach", lambda i: i > 0), lambda i: F.get("states", i - 1)["open"]), lambda w: w.isNotNull())
+    lines = ends_.select("id", done.alias("closed"), "on", F.when(~F.col("tells"), F.get(words, F.lit(0))).alias("before"))
+    short = broadcast_within(cut(uses.where("short").select(F.col("last").alias("w"), F.lit(True).alias("short"))))
+    told = ends.join(full.withColumn("full", F.lit(True)), "id", "left").join(lines, "id", "left").join(short, F.col("stop") == F.col("w"), "left")
+    told = told.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("full", "closed", "on", "short")})
+    left = F.col("before").isNotNull() & (F.col("kind") == "bare")  # an ellipsis, and a mark after it
+    told = told.withColumns({"kind": F.when(left, "open").otherwise(F.col("kind")), "last": F.when(left, F.nullif("before", F.lit(""))).otherwise(F.col("last"))})
+    asked = told.where("last is not null and kind in ('open', 'list') or kind = 'whole' and full and stop = lower(stop)")
+    asked = asked.select("id", F.when(F.col("kind") == "whole", F.col("stop")).otherwise(F.lower("last")).alias("last"))
+    seen = asked.join(uses.select("last", "n", "final", "inside"), "last", "left").select("id", F.coalesce("final", F.lit(False)).alias("final"), F.coalesce("inside", F.lit(False)).alias("inside"), (F.coalesce("n", F.lit(0)) > 1).alias("seen"))
+    told = told.join(seen, "id", "left")
+    gone = (
+        F.when(F.col("kind") == "torn", True)
+        .when(F.col("kind") == "whole", F.col("short") | (F.col("full") & ~F.coalesce("seen", F.lit(True))))
+        .when(F.col("kind") == "list", ~F.col("closed") & (F.col("full") | ~F.coalesce("seen", F.lit(True))))
+        .when(F.col("kind").isin("signature", "date"), F.col("on") & ~F.col("closed"))
+        .when(F.col("kind") == "loose", ~F.col("closed") & (F.col("full") | F.col("on")))
+        .when(F.col("kind") == "open", ~F.col("closed") & (F.col("full") | ~F.coalesce("final", F.lit(True))))
+        .when(F.col("kind").isin("bare", "short"), ~F.col("closed"))
+        .otherwise(False)
+    )
+    return told.select("id", "src", "source", "kind", "full", gone.alias("cut"))
 
 
 def report(told: DataFrame) -> DataFrame:
-    """Per source: texts, texts cut off and their share; the source under its commonest spelling, null when missing."""
-    spelled = told.groupBy("src", "source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("cut").cast("bigint")).alias("cut_texts"))
-    per = spelled.groupBy("src").agg(F.max_by("source", F.struct("texts", "source")).alias("source"), F.sum("texts").alias("texts"), F.sum("cut_texts").alias("cut_texts"))
-    return per.select("source", "texts", "cut_texts", (F.col("cut_texts") / F.col("texts")).alias("share"))
+    """Per source: texts, texts cut off, those of them that fill a limit, and the share cut off; the source under its commonest
+    spelling, null when missing."""
+    count = lambda c: F.sum(c.cast("bigint"))
+    spelled = told.groupBy("src", "source").agg(F.count(F.lit(1)).alias("texts"), count(F.col("cut")).alias("cut_texts"), count(F.col("cut") & F.col("full")).alias("at_limit"))
+    per = spelled.groupBy("src").agg(F.max_by("source", F.struct("texts", "source")).alias("source"), *[F.sum(c).alias(c) for c in ("texts", "cut_texts", "at_limit")])
+    return per.select("source", "texts", "cut_texts", "at_limit", (F.col("cut_texts") / F.col("texts")).alias("share"))

@@ -383,10 +383,13 @@ def test_lengths_by_ranges_fit_like_collected_ones(spark, monkeypatch):
 # ---- 8
 
 ENDINGS = [
-    (None, "blank"), ("", "blank"), (" \t", "blank"), ("Tutto bene.", "whole"), ("La parte ha depos", "cut"), ("come da art.", "cut"), ("per la ditta Rossi S.p.A.", "whole"),
-    ("giudizio.\nPag. 2 di 2", "whole"), ("ha deposi\n<!-- fine campo -->", "cut"), ("ha deposi… Leggi tutto", "cut"), ("a Roma.\nTanto si doveva…", "closed"), ("fine.\nCordiali saluti\nAnna Bianchi", "closed"),
-    ("fine. Allegati:\n1) copia del verbale\n2) procura", "closed"), ("per la somma di € 781.", "cut"), ("per la somma di € 781,20.", "whole"), ("scrivendo a anna.rossi@pec.", "cut"),
-    ("scrivendo a anna.rossi@pec.ditta.test.", "whole"), ("sesso M.", "whole"), ("per conto di M.", "cut"), ("è già&agra", "cut"), ("fine.)", "whole"), ("dall'avv. Rossi…", "open"), ("nei confronti di…", "cut"), ("fin. Fait et signé à Val Marca le 18.02.1977 en deux exemplaires par Anne Bois, mandataire", "closed"), ("end.\nSigned at Vale on 9 March 1986 by Ann Wood in the presence of the clerk", "closed"), ("così previsto (continua)", "cut"),
+    (None, "blank"), ("", "blank"), (" \t", "blank"), ("Tutto bene.", "whole"), ("La parte ha depos", "bare"), ("come da art.", "short"), ("per la ditta Rossi S.p.A.", "whole"),
+    ("giudizio.\nPag. 2 di 2", "whole"), ("ha deposi\n<!-- fine campo -->", "bare"), ("ha deposi… Leggi tutto", "bare"), ("a Roma.\nTanto si doveva…", "open"), ("fine.\nCordiali saluti\nAnna Bianchi", "signature"),
+    ("fine. Allegati:\n1) copia del verbale\n2) procura", "list"), ("per la somma di € 781.", "torn"), ("per la somma di € 781,20.", "whole"), ("scrivendo a anna.rossi@pec.", "torn"),
+    ("scrivendo a anna.rossi@pec.ditta.test.", "whole"), ("sesso M.", "whole"), ("per conto di M.", "short"), ("è già&agra", "torn"), ("fine.)", "whole"), ("dall'avv. Rossi…", "open"), ("così previsto (continua)", "bare"),
+    ("previsto fare\\u00", "torn"), ("in gar<span cl", "torn"), ("fas\ufffd", "torn"), ("Con i migliori auguri, Anna Verdi", "signature"), ("With best wishes, John Brown", "signature"), ("Hochachtungsvoll / Max Muster", "signature"),
+    ("Cordialement, Jean Dupont", "signature"), ("Un saludo, Juan Pérez", "signature"), ("Firmato: Mario Rossi", "signature"), ("Allegati: 1) contratto 2) fattura", "list"), ("Ha letto. Documenti:\n- uno\n- due\n- tre", "list"),
+    ("Pagina 3 di 7", "page"), ("fine.\nRoma, 3 maggio 2019", "date"), ("il verbale\ndel 24/09/2014", "loose"), ("x" * 100_000, "bare"),
 ]
 
 
@@ -395,61 +398,95 @@ def test_endings(text, want):
     assert truncation.ending(text) == want
 
 
-def test_limits_and_open_endings(spark):
-    body = "Il perito ha visto la casa. " * 40
-    rows = [(i, (f"{i} " + body)[:500], "A_b") for i in range(12)] + [(100 + i, f"Testo numero {i}. La casa.", "a-B") for i in range(5)]
-    rows += [(200, ("x " + body)[:499] + "…", "ab"), (201, "Ha visto la casa…", "ab"), (202, "Ha visto la ca…", "ab"), (203, None, "ab"), (204, "Ha vi", None)]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
-    ends = truncation.read_endings(docs, "doc_id", "text", "source").cache()
-    found = truncation.limits(ends)
-    assert ("ab", "chars", 500) in {(r["src"], r["measure"], r["size"]) for r in found.collect()}
-    told = {r["id"]: r["cut"] for r in truncation.truncated(ends, found, truncation.final_words(docs, "text")).collect()}
-    unfinished = {i for i, t, _ in rows[:12] if not t.rstrip().endswith(".")}
-    assert {i for i, c in told.items() if c} == unfinished | {200, 202, 204}
-    rep = {r["source"]: r for r in truncation.report(truncation.truncated(ends, found, truncation.final_words(docs, "text"))).collect()}
-    assert rep["a_b"]["texts"] if "a_b" in rep else rep["ab"]["texts"] == 21
-    assert rep[None]["cut_texts"] == 1
-
-
-def test_limits_beside_others_and_without_a_source(spark):
-    def cut_at(n, i):
-        return (f"{i} Il perito ha visto la casa. " + "vedere " * 700)[: n - 1] + "x"
-
-    rows = [(i, cut_at(500, i), "a") for i in range(40)] + [(100 + i, cut_at(4000, i), "a") for i in range(60)]
-    rows += [(200 + i, cut_at(300, i), "b") for i in range(6)] + [(210 + i, cut_at(303, i), "b") for i in range(9)] + [(220 + i, cut_at(700, i), None) for i in range(5)]
-    rows += [(300 + i, cut_at(600 + i, i), "c") for i in range(40) for _ in range(5)]
-    fills = "Il perito ha visto la casa, " + "vedere " * 110
-    rows += [(600 + i, fills[: n - 6] + " casa…", src) for i, (n, src) in enumerate([(500, "a"), (700, None), (500, None), (450, None), (700, "a")])]
-    docs = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id int, text string, source string")
+def test_marks_and_forms():
+    assert truncation.stripped("ha depo [...]\n-- dal portale --\n<p>") == ("ha depo", True) and truncation.stripped(" x ") == (" x", False)
+    assert truncation.form("Letto a Roma Nord il 3 maggio 2019,\nil notaio Anna Verdi") == "letto a A il 0 , \n il notaio A".split(" ")
+    assert truncation.state("Fine. ") == (True, None) and truncation.state("") == (True, None) and truncation.state("del verbale…") == (False, "verbale") and truncation.state("del ver") == (False, None)
+    m = truncation.measures("a\n<è\"😀")
+    assert (m["chars"], m["utf8"], m["utf16"], m["markup"], m["markup_quotes"], m["json"], m["crlf"]) == (6, 10, 7, 9, 14, 8, 7)
+
+
+def told_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").withColumn("ending", F.lit("clash")).withColumn("cut", F.lit("clash"))
     ends = truncation.read_endings(docs, "doc_id", "text", "source").cache()
-    found = truncation.limits(ends)
-    assert {(r["src"], r["size"]) for r in found.where("measure = 'chars'").collect()} == {("a", 500), ("a", 4000), ("b", 300), ("b", 303), (None, 700)}
-    finals = spark.createDataFrame([("casa",)], "last string")
-    told = {r["id"]: r["cut"] for r in truncation.truncated(ends, found, finals).where("id >= 600").collect()}
-    assert told == {600: True, 601: True, 602: True, 603: False, 604: False}
+    found = truncation.limits(ends).cache()
+    full = truncation.filling(ends, found)
+    told = truncation.truncated(ends, full, truncation.line_forms(ends.join(full, "id", "left_anti")), truncation.word_uses(docs, "text", ends))
+    return told.cache(), found
+
+
+def test_limits_are_those_of_all_texts(spark):
+    fill = lambda n, i, end: (f"{i} il perito ha visto la casa e " + "vedere " * 700)[: n - len(end)] + end
+    rnd = random.Random(3)
+    rows = [(i, fill(500, i, "x"), "A_b") for i in range(40)] + [(100 + i, fill(4000, i, "x"), "a-B") for i in range(60)] + [(220 + i, fill(700, i, "x"), None) for i in range(9)]
+    rows += [(300 + i, fill(rnd.randint(300, 4200), i, " casa."), "ab") for i in range(200)]  # whole texts of any length
+    rows += [(600 + i, fill(900, i, f" casa {i:02d}."), "c") for i in range(30)]  # a limit may be filled by whole texts, too
+    rows += [(700, fill(900, 1, " casa…"), "c"), (701, fill(905, 1, " casa…"), "c"), (702, fill(900, 2, " casa…"), None), (703, fill(1000, 2, " casa…"), "ab"), (704, None, "c"), (705, " ", None)]
+    rows += [(800 + i, "Il perito ha visto la casa. Poi ha detto della casa. Fine.", "d") for i in range(30)]  # one text, posted again
+    told, found = told_of(spark, rows)
+    assert {(r["src"], r["size"]) for r in found.where("measure = 'chars' and band = 0").collect()} == {("ab", 500), ("ab", 4000), ("c", 900), (None, 700)}
+    got = {r["id"]: r["cut"] for r in told.collect()}
+    assert len(got) == len(rows) and {i for i, c in got.items() if c} == {i for i in got if i < 300 or i in (700, 702)}
+    rep = {r["source"]: r for r in truncation.report(told).collect()}
+    assert rep["a_b"]["at_limit"] + 0 == 100 if "a_b" in rep else rep["ab"]["at_limit"] == 100
+    assert rep[None]["cut_texts"] == 10 and rep["c"]["share"] == 1 / 33
+
+
+def test_limits_between_words(spark):
+    rnd = random.Random(4)
+    words = ["casa", "notaio", "verbale", "di", "perizia", "giudice"]
+
+    def upto(n, i):
+        t = f"{i}"
+        while True:
+            w = rnd.choice(words)
+            if len(t) + 1 + len(w) > n:
+                return t
+            t += " " + w
+
+    rows = [(i, upto(800, i), "a") for i in range(60)] + [(100 + i, upto(rnd.randint(200, 1500), i) + ".", "a") for i in range(150)]
+    told, found = told_of(spark, rows)
+    got = found.where("measure = 'chars'").collect()
+    assert [(r["band"]) for r in got] == [10] and 796 <= got[0]["size"] <= 804
+    assert {r["id"] for r in told.where("cut and full").collect()} == set(range(60))
+
+
+def test_closings_and_marks_are_learned(spark):
+    body = ["La parte numero %d ha pagato tutto", "Il perito numero %d ha visto la casa", "La casa numero %d è del notaio"]
+    rows, want = [], {}
+
+    def add(text, cut):
+        want[len(rows)] = cut
+        rows.append((len(rows), text, "a"))
+
+    rnd = random.Random(6)
+    for i in range(30):
+        b = "Si premette che " + "il notaio vede la casa e " * rnd.randint(0, 60) + body[i % 3].lower() % i
+        add(f"{b}.\nvisto e approvato da tutti", False)  # a closing without a mark, always after a whole text
+        add(f"{b}.\nfine invio {i}", False)
+        add(f"{b[:-4]}\nfine invio {i}", True)  # a mark after anything
+        add(f"{b}. Il notaio ha{' letto' * (i % 2)}", True)
+        b = b[:-3] + "e " * rnd.randint(1, 9) + b[-3:]
+        add(f"{b}. Il notaio ha letto e firmato l'atto. La parte ha detto di sì.", False)
+    add("La parte ha pagato. visto e approvato", True)  # part of a closing
+    told, _ = told_of(spark, rows)
+    assert {r["id"]: r["cut"] for r in told.collect()} == want
 
 
 def test_words_end_sentences_by_their_rate(spark):
-    whole = ["Il perito ha visto la casa. Poi la parte ha pagato. Il notaio Rossi ha letto. Ha scritto Bianchi. Fine."]
-    rare = ["La parte ha chiesto di vedere il verbale che sta nel fascicolo e di vedere il registro che era da vedere e da leggere oggi. Poi nulla."]
-    for copies in (1, 50):  # a larger corpus, and texts posted again
+    rnd = random.Random(2)
+    whole = ["La casa alta piace. Il perito ha visto la casa. Poi la parte ha pagato. Il notaio Rossi ha letto. Ha scritto Bianchi. Fine."]
+    rare = ["La parte ha chiesto di vedere il verbale che sta nel fascicolo (rif. 12) e di vedere il registro rif. 3 che era da vedere e da leggere oggi. Poi nulla."]
+    asked = ["È andato a casa…", "Ha detto di vedere…", "Ha scritto Bianchi…", "Ha scritto Bian…", "È CASA…", "Pari a € 781…", "Pari a € 781,20…", "Ha visto (con Bianchi…", "Ha visto (con Bianchi)…", "Ha pagato, rif."]
+    for copies in (1, 30):  # a larger corpus, and texts posted again
         texts = [f"{t} Nota {i}." for i, t in enumerate((whole + rare * 20) * copies)]
         texts += ["Era da vedere. Poi basta. Era tutto.", "Era da vedere. Poi basta. Era tutto."] * copies
-        docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id int, text string, source string")
-        finals = {r["last"] for r in truncation.final_words(docs, "text").collect()}
-        assert {"casa", "pagato", "bianchi"} <= finals and "vedere" not in finals
-    asked = ["È andato a casa…", "Ha detto di vedere…", "Ha scritto Bianchi…", "Ha scritto Bian…", "È CASA…", "Pari a € 781…", "Pari a € 781,20…", "Ha visto (con Bianchi…", "Ha visto (con Bianchi)…"]
-    ends = truncation.read_endings(spark.createDataFrame([(i, t, "a") for i, t in enumerate(asked)], "doc_id int, text string, source string"), "doc_id", "text", "source")
-    told = {r["id"]: r["cut"] for r in truncation.truncated(ends, truncation.limits(ends), truncation.final_words(docs, "text")).collect()}
-    assert [told[i] for i in range(len(asked))] == [False, True, False, True, False, True, False, True, False]
-
-
-def test_lists_by_their_form(spark):
-    asked = ["Ha letto. Allegati: 1) contratto 2) visura camerale", "Ha letto. Allegati:\n1) contratto;\n2) visura camer", "Ha letto. Documenti:\n- contratto\n- visura camerale", "Tutto visto. P.Q.M. rigetta il ricorso",
-        "Tutto visto. P.Q.M. rigetta il ric", "Ha letto.\nUn saluto affettuoso,\nAnna Bianchi", "Ha letto la visura camerale", "Allegati: 1) contratto"]
-    known = ["La visura camerale che manca. Il ricorso di Anna Bianchi che segue."]
-    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(asked + known)], "doc_id int, text string, source string")
-    ends, uses = truncation.read_endings(docs, "doc_id", "text", "source"), truncation.word_uses(docs, "text")
-    finals, inside = uses.where("final").select("last"), uses.where("inside").select("last")
-    told = {r["id"]: r["cut"] for r in truncation.truncated(ends, truncation.limits(ends), finals, inside).collect()}
-    assert [told[i] for i in range(len(asked))] == [False, True, False, False, True, False, True, True]
+        rows = [(1000 + i, t + " Poi leggere." * rnd.randint(1, 90), "a") for i, t in enumerate(texts)] + [(i, t, f"b{i}") for i, t in enumerate(asked)]
+        got = {r["id"]: r["cut"] for r in told_of(spark, rows)[0].where("id < 1000").collect()}
+        assert [got[i] for i in range(len(asked))] == [False, True, False, True, False, True, False, True, False, True]
+
+
+def test_no_texts(spark):
+    told, found = told_of(spark, [(1, None, None)])
+    assert found.count() == 0 and [r["cut"] for r in told.collect()] == [False] and told.where("id < 0").count() == 0
+    assert truncation.report(told.limit(0)).count() == 0
