@@ -2,37 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartula.plans.lineage import cut
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+#: Edges that one task solves alone; more are contracted on the whole cluster.
+FEW = 200_000
+
+
+def components(edges: DataFrame, a: str, b: str, few: int = FEW) -> DataFrame:
     """(``node``, ``component``): each node that has an edge with the smallest node of its component.
 
-    Large-star and small-star steps alternate until the edges stop changing; the number of steps grows with
-    the logarithm of the component size. Each step only groups by node: every node keeps a minimum and passes
-    it on, so no neighbourhood is gathered in one task. Lineage is cut in the shared checkpoint folder.
-    Null ends are ignored, self loops keep their node, no edges give no rows.
+    At most ``few`` different edges (counted first) are solved by one task in memory. Of more, large-star and small-star
+    steps alternate until the edges stop changing; the number of steps grows with the logarithm of the component size. Each
+    step only groups by node: every node keeps a minimum and passes it on, so no neighbourhood is gathered in one
+    task. Lineage is cut in the shared checkpoint folder. Null ends are ignored, self loops keep their node, no edges
+    give no rows.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    loops = both.select(F.col("u").alias("node")).union(both.select("v")).distinct()
-    cur = cut(both.where("u <> v").distinct())
+    cur = cut(both.distinct())
+    if cur.limit(few + 1).count() <= few:
+        kind = cur.schema["u"].dataType.simpleString()
+        return cut(cur.repartition(1).mapInPandas(_solve, f"node {kind}, component {kind}"))
+    loops = cur.select(F.col("u").alias("node")).union(cur.select("v")).distinct()
+    cur = cur.where("u <> v")
     seen = None
-    for _ in range(rounds):
+    while True:
         cur = _large(cur)
         cur = cut(_small(cur))
         now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components: not settled; raise rounds")
     labels = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to"))
     return loops.join(labels, "node", "left").select("node", F.coalesce("to", "node").alias("component"))
 
 
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union by the smaller root, paths halved."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"], batch["v"], strict=True):
+            u, v = root(u), root(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    yield pd.DataFrame({"node": list(up), "component": [root(x) for x in list(up)]})
+
+
 def _large(e: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     sym = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
