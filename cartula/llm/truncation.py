@@ -9,6 +9,7 @@ stop belongs to an abbreviation. An ending off every limit is judged by these co
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import html.entities
@@ -37,8 +38,11 @@ NEAR, LEAST_NEAR = 0.02, 10
 #: A system that cuts between words leaves a text so many characters below its limit, at most.
 WORD_BAND = 10
 
-#: A form closes texts when at least so many different ones end with it, and no more go on after it.
-CLOSES = 3
+#: A form closes texts when at least so many different ones end with it, and so large a part of those that have it at their end.
+CLOSES, SHARE = 3, 0.2
+
+#: And so large a part of those that go on without its last word: else that word is a beginning of the one that commonly stands there.
+BRANCH = 0.02
 
 #: A form closes what it follows, and is no mark, when so large a part of the texts before it are complete.
 ALWAYS = 0.97
@@ -46,6 +50,9 @@ ALWAYS = 0.97
 #: A form that ends with a mark is one of its own when so large a part of the mark's texts have it; else the mark alone counts.
 OWN = 0.25
 
+#: Characters of the longest mark that stands for itself.
+MARK = 300
+
 #: Words of a form, and places before the end of a text at which forms may begin.
 FORM_WORDS, PLACES = 32, 6
 
@@ -58,7 +65,7 @@ LONGEST, STOPPED, SEEN = 6, 0.9, 8
 _SPACE = " \t\r\n\f\v\x00\x1c\x1d\x1e\x1f\x85\xa0​‌‍  ‪‬‮　﻿"
 
 _NAME = r"(?:[A-ZÀ-Ý][\w'’\-]*\.?)"
-_DATE = r"(?:\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}\.? (?:\w{1,3} )?[^\W\d_]{3,}\.? (?:\w{1,3} )?\d{4})"
+_DATE = r"(?:\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}\.? (?:\w{1,3} )?[^\W\d_]{3,}\.? (?:\w{1,3} )?(?:1\d|20)\d\d)"
 
 # Marks that stand for themselves at the end of any text, whatever their words: tags, groups in square brackets or between
 # stars or dashes, page numbers, arrows.
@@ -83,16 +90,17 @@ _numbered = re.compile(r"[^\W\d_][\w'’ ]{1,40} ?:\s*1[).]\s?[^;\n]{2,80}?(?:[;
 _item = re.compile(r"[ \t]*(?:[-•*–]|\d{1,3}[).])[ \t]?\S")
 
 
+_MARK_ENDS = frozenset(">])»*=_~|-–—0123456789")
+
+
 def stripped(text: str) -> tuple[str, bool]:
-    """The text without white space and marks at its end, and whether there were marks. Each round ends earlier; the
-    marks are anchored to the end, so only the last lines are read."""
+    """The text without white space and marks at its end, and whether there were marks."""
     core, marked = text.rstrip(_SPACE), False
-    while core:
-        tail = core[max(0, core.rfind("\n", 0, max(0, core.rfind("\n"))) + 0) if len(core) > 400 else 0 :]
-        m = _mark.search(tail, max(0, len(tail) - 300))
+    while core and core[-1] in _MARK_ENDS:
+        m = _mark.search(core, max(0, len(core) - MARK))
         if not m:
             break
-        core, marked = core[: len(core) - len(tail) + m.start()].rstrip(_SPACE), True
+        core, marked = core[: m.start()].rstrip(_SPACE), True
     return core, marked
 
 
@@ -144,19 +152,19 @@ def _opened(tail: str) -> bool:
     return depth > 0
 
 
+_begins = re.compile(r"\n|[.!?…][\])}»”’\"']*\s+(?=[^\s\d])|(?<=\.\.\.)(?=[^\s.])|(?=[…\[(])")
+
+
 def places(core: str) -> list[int]:
     """Where the last lines and sentences of a text begin, the last first, at most PLACES; 0 if the text is that short."""
-    out, upto = [], len(core)
-    while len(out) < PLACES and upto > 0:
-        line = core.rfind("\n", 0, upto)
-        sentence = max((m.end() for m in re.finditer(r"[.!?…][\])}»”’\"']*\s+(?=[^\s\d])|(?<=\.\.\.)\s*(?=\S)|(?=[…\[(])", core[line + 1 : upto])), default=-1)
-        at = line + 1 + sentence if sentence > 0 else line + 1
-        if at < len(core) and core[at:].strip(_SPACE):
-            out.append(at)
-        upto = at if sentence > 0 and at < upto else line
-        if line < 0 and sentence <= 0:
-            break
-    return out
+    size = 1000
+    while True:
+        low = max(0, len(core) - size)
+        found = sorted({m.end() for m in _begins.finditer(core, low)} | ({0} if not low else set()), reverse=True)
+        out = [at for i, at in enumerate(found) if core[at : found[i - 1] if i else len(core)].strip(_SPACE)][:PLACES]
+        if not low or len(out) == PLACES:
+            return out
+        size *= 4
 
 
 def listed(core: str) -> bool:
@@ -185,23 +193,40 @@ def shaped(core: str) -> str | None:
     return None
 
 
-_date = re.compile(rf"(?<!\w){_DATE}(?!\w)")
-_word = re.compile(r"\n|\d+(?:[./:\-]\d+)*|[^\W_]+(?:['’\-][^\W_]+)*|[^\w\s]|_")
+_token = re.compile(rf"(?P<n>(?<!\w){_DATE}(?!\w)|\d+(?:[./:\-]\d+)*)|(?P<e>\.{3}|…)|\n|[^\W_]+(?:['’\-][^\W_]+)*|[^\w\s]|_")
 
 
-def form(part: str) -> list[str]:
-    """A part of a text as the words of a form: in small letters, numbers as 0, runs of capitalised words after the first
-    as A, line ends kept."""
+def tokens(core: str, at: int) -> list[tuple[int, str, bool]]:
+    """Words of a text from a place on: where each begins, the word of a form that it gives (numbers and dates 0, line
+    ends kept, all else in small letters), and whether it has a capital."""
+    return [(m.start(), "0" if m.group("n") else "…", False) if m.group("n", "e") != (None, None) else (m.start(), m.group().lower(), m.group()[0].isupper()) for m in _token.finditer(core, at)]
+
+
+def form(words: list[tuple[int, str, bool]]) -> list[str]:
+    """The words of a form: runs of capitalised words after the first are one A; line ends at its edges and an ellipsis at its end go."""
     out: list[str] = []
-    for w in _word.findall(_date.sub("0", part.strip(_SPACE))):
-        x = "0" if w[0].isdigit() else "A" if out and w[0].isupper() else w.lower()
-        if not (x == "A" and out[-1] == "A"):
+    for _, w, capital in words:
+        x = "A" if capital and out else w
+        if (x != "A" or out[-1] != "A") and (out or x != "\n"):
             out.append(x)
+    while out and out[-1] in "\n…":
+        out.pop()
     return out
 
 
-def _hash(words: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+@functools.lru_cache(100_000)
+def _code(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def hashes(words: list[str]) -> list[int]:
+    """The hash of each beginning of a form, the whole form last."""
+    out, h = [], 0
+    for w in words:
+        h = (h * 0x9E3779B97F4A7C15 + _code(w) + 1) & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return out
 
 
 # ---- one text
@@ -235,11 +260,7 @@ def ending(text: str | None) -> str:
 
 # ---- lengths
 
-_NAMED = html.entities.codepoint2name
-
-
-def _named(c: str) -> int:
-    return len(_NAMED[ord(c)]) + 2 if ord(c) in _NAMED else 1
+_NAMED = {code: f"&{name};" for code, name in html.entities.codepoint2name.items()}
 
 
 def measures(text: str) -> dict[str, int]:
@@ -252,11 +273,11 @@ def measures(text: str) -> dict[str, int]:
     return {
         "chars": len(text),
         "utf8": raw,
-        "utf16": len(text) + sum(c > "\uffff" for c in text),
+        "utf16": len(text.encode("utf-16-le", "surrogatepass")) // 2,
         "markup": len(escaped),
         "markup_quotes": len(quoted),
         "markup_utf8": raw + len(escaped) - len(text),
-        "markup_names": len(text) if text.isascii() and len(escaped) == len(text) and '"' not in text else sum(map(_named, text)),
+        "markup_names": len(text.translate(_NAMED)),
         "json": len(plain) - 2,
         "json_utf8": len(plain.encode("utf-8", "surrogatepass")) - 2,
         "json_ascii": len(json.dumps(text)) - 2,
@@ -285,25 +306,26 @@ def stop_word(text: str) -> str | None:
 
 def read_one(text: str) -> dict:
     """What is read of a text that isn't blank: ``kind`` (see ending), ``last``, ``stop``, ``sizes`` under all measures,
-    ``cores``: the same without marks at the end, ``forms``: (from, to, hash, hash of what
-    stands before) of its last parts, ``states``: see state, before each place, ``goes``: hashes of the beginnings of its last parts, which go on."""
+    ``cores``: the same without marks at the end, ``forms``: (from, to, hash, hash
+    without the last word, hash of what stands before) of its last parts, ``states``: see state, before each place, ``goes``: hashes of the beginnings of its last parts, which go on."""
     kind = ending(text)
     core, marked = stripped(text)
     if kind == "open":
         core = _ellipsis.sub("", core)
-    at, parts = places(core), []
-    goes: set[int] = set()
+    at, parts, goes = places(core), [], set()
+    words = tokens(core, at[-1]) if at else []
     for p in at[:2]:
-        words = form(core[p:])[: FORM_WORDS + 1]
-        goes.update(_hash(words[:n]) for n in range(1, len(words)) if words[n] != "\n")
+        some = form([w for w in words if w[0] >= p][: 2 * FORM_WORDS])[: FORM_WORDS + 1]
+        goes.update(h for h, after in zip(hashes(some), some[1:]) if after != "\n")
     if kind not in ("whole", "torn", "page"):  # the forms of these say nothing
         ends = [len(core), *at]
         for i in range(1, len(ends)):
+            before = "".join(c for c in core[max(0, ends[i] - 60) : ends[i]].lower() if c.isalnum())[-30:]
             for j in range(i):
-                words = form(core[ends[i] : ends[j]])
-                if 0 < len(words) <= FORM_WORDS:
-                    before = "".join(c for c in core[max(0, ends[i] - 60) : ends[i]].lower() if c.isalnum())[-30:]
-                    parts.append({"i": i, "j": j, "h": _hash(words), "c": _hash([before])})
+                some = form([w for w in words if ends[i] <= w[0] < ends[j]])
+                if 0 < len(some) <= FORM_WORDS:
+                    codes = hashes(some)
+                    parts.append({"i": i, "j": j, "h": codes[-1], "less": codes[-2] if len(codes) > 1 else None, "c": hashes([before])[-1]})
     return {
         "kind": kind,
         "last": last_word(text) if kind not in ("whole", "torn", "page") else None,
@@ -317,12 +339,12 @@ def read_one(text: str) -> dict:
 
 
 _READ = (
-    "kind string, last string, stop string, sizes array<int>, cores array<int>, forms array<struct<i:int,j:int,h:bigint,c:bigint>>, states array<struct<done:boolean,open:string>>, goes array<bigint>"
+    "kind string, last string, stop string, sizes array<int>, cores array<int>, forms array<struct<i:int,j:int,h:bigint,less:bigint,c:bigint>>, states array<struct<done:boolean,open:string>>, goes array<bigint>"
 )
 _ARROW = pa.schema(
     [
         ("kind", pa.string()), ("last", pa.string()), ("stop", pa.string()), ("sizes", pa.list_(pa.int32())), ("cores", pa.list_(pa.int32())),
-        ("forms", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("h", pa.int64()), ("c", pa.int64())]))),
+        ("forms", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("h", pa.int64()), ("less", pa.int64()), ("c", pa.int64())]))),
         ("states", pa.list_(pa.struct([("done", pa.bool_()), ("open", pa.string())]))), ("goes", pa.list_(pa.int64())),
     ]
 )
@@ -396,16 +418,18 @@ def filling(ends: DataFrame, found: DataFrame) -> DataFrame:
 def line_forms(ends: DataFrame) -> DataFrame:
     """(``h``, ``n``, ``closes``, ``mark``, ``tells``, ``goes``): forms that end texts below every limit, by counts over different texts.
 
-    A form ``closes`` when at least CLOSES texts, different in what stands before it, end with it and no more go on after it; it is a ``mark`` when the text before
+    A form ``closes`` when at least CLOSES texts, different in what stands before it, end with it, and not most of those in which it begins the last lines go on; it is a ``mark`` when the text before
     it is often not complete, so that it says nothing of what it follows, and it ``tells`` of a cut when that never is; it ``goes`` on when more texts do so than end.
     """
     one = ends.dropDuplicates(["text_hash"])
-    last = one.select(F.explode("forms").alias("f"), "states").where("f.j = 0").select("f.h", "f.c", F.get("states", F.col("f.i") - 1).alias("state"))
-    each = last.groupBy("h", "c").agg(F.max("state.done").alias("done"), F.max(F.col("state.done") | F.col("state.open").isNotNull()).alias("state"))
-    ended = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("state").cast("int")).alias("after"), F.sum(F.col("done").cast("int")).alias("done"))
+    last = one.select(F.explode("forms").alias("f"), "states").where("f.j = 0").select("f.h", "f.less", "f.c", F.get("states", F.col("f.i") - 1).alias("state"))
+    each = last.groupBy("h", "c").agg(F.max("less").alias("less"), F.max("state.done").alias("done"), F.max(F.col("state.done") | F.col("state.open").isNotNull()).alias("state"))
+    ended = each.groupBy("h").agg(F.max("less").alias("less"), F.count(F.lit(1)).alias("n"), F.sum(F.col("state").cast("int")).alias("after"), F.sum(F.col("done").cast("int")).alias("done"))
     on = one.select(F.explode("goes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("on"))
-    both = ended.join(on, "h", "left").withColumn("on", F.coalesce("on", F.lit(0)))
-    closes = (F.col("n") >= CLOSES) & (F.col("n") >= F.col("on"))
+    on = cut(on)
+    both = ended.join(on, "h", "left").join(on.select(F.col("h").alias("less"), F.col("on").alias("others")), "less", "left")
+    both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("on", "others")})
+    closes = (F.col("n") >= CLOSES) & (F.col("n") >= SHARE * (F.col("n") + F.col("on"))) & (F.col("n") >= BRANCH * F.col("others"))
     goes = (F.col("on") >= CLOSES) & (F.col("on") > F.col("n"))
     return both.select("h", "n", closes.alias("closes"), ((F.col("after") < ALWAYS * F.col("n")) | (F.col("done") == 0)).alias("mark"), (closes & (F.col("done") == 0)).alias("tells"), goes.alias("goes")).where("closes or goes")
 

@@ -400,7 +400,7 @@ def test_endings(text, want):
 
 def test_marks_and_forms():
     assert truncation.stripped("ha depo [...]\n-- dal portale --\n<p>") == ("ha depo", True) and truncation.stripped(" x ") == (" x", False)
-    assert truncation.form("Letto a Roma Nord il 3 maggio 2019,\nil notaio Anna Verdi") == "letto a A il 0 , \n il notaio A".split(" ")
+    assert truncation.form(truncation.tokens("Letto a Roma Nord il 3 maggio 2019,\nil notaio Anna Verdi", 0)) == "letto a A il 0 , \n il notaio A".split(" ")
     assert truncation.state("Fine. ") == (True, None) and truncation.state("") == (True, None) and truncation.state("del verbale…") == (False, "verbale") and truncation.state("del ver") == (False, None)
     m = truncation.measures("a\n<è\"😀")
     assert (m["chars"], m["utf8"], m["utf16"], m["markup"], m["markup_quotes"], m["json"], m["crlf"]) == (6, 10, 7, 9, 14, 8, 7)
