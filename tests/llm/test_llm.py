@@ -248,13 +248,50 @@ def test_groups_and_splits(spark, data):
     assert abs(n["train"] - 0.8 * len(rows)) <= 3 and abs(n["test"] - 0.1 * len(rows)) <= 3
 
 
-def test_flow_and_allocation():
+def test_flow_and_exchange():
     flow = splits.min_cost_flow(4, [(0, 1, 5, 0), (0, 2, 5, 0), (1, 3, 4, 1), (2, 3, 3, 2), (1, 2, 5, 0)], 0, 3)
     assert flow[2] + flow[3] == 7
-    told = splits.allocate([(50, "a", 1), (1, "a", 30), (1, "b", 20), (700, "c", 1), (1, "", 99)], splits.SPLITS)
-    assert [sum(x) for x in told] == [1, 30, 20, 1, 99] and told[3] == [1, 0, 0]
-    total = [sum(s * t[j] for (s, _, _), t in zip([(50, 0, 0), (1, 0, 0), (1, 0, 0), (700, 0, 0), (1, 0, 0)], told)) for j in range(3)]
-    assert abs(total[1] - 90) <= 1 and abs(total[2] - 90) <= 1
+    rnd = random.Random(9)
+    bundles = [(rnd.choice([1, 2, 5, 9, 40]), tuple(rnd.randint(0, 3) for _ in range(4)), rnd.randint(1, 12)) for _ in range(60)]
+    parts = list(splits.SPLITS.values())
+    sent = splits.flow_of(bundles, parts)
+    assert [sum(x) for x in sent] == [n for _, _, n in bundles]
+    for (_, _, n), x in zip(bundles, sent):  # within one of the bundle's share
+        assert all(abs(k - n * s) < 1 + 1e-9 for k, s in zip(x, parts))
+    told = np.array(splits.allocate(bundles, splits.SPLITS))
+    assert told.sum(1).tolist() == [n for _, _, n in bundles] and (told >= 0).all()
+    size = np.array([b[0] for b in bundles])
+    quota = splits.whole(int((size * told.sum(1)).sum()), parts)
+    assert np.abs(size @ told - quota).max() <= 1
+    for c in {int(s).bit_length() for s in size}:  # large and small components in proportion
+        some = told[[int(s).bit_length() == c for s in size]].sum(0)
+        assert np.abs(some - some.sum() * np.array(parts)).max() <= 2
+    assert splits.allocate([], splits.SPLITS) == [] and splits.allocate([(700, (), 1)], splits.SPLITS) == [[1, 0, 0]]
+
+
+def test_shares_of_sizes_and_labels(spark):
+    rnd = random.Random(11)
+    rows = []
+    for g in range(400):
+        tag = rnd.choice(["CITY", "ATTORE", "IBAN"])
+        rows += [(len(rows) + i, f"g{g}", ["B-" + tag, "O", None] if i % 3 else None) for i in range(rnd.choice([1, 1, 2, 3, 8, 20]))]
+    df = spark.createDataFrame(rows, "k bigint, group string, l array<string>")
+    got = {r["k"]: r["split"] for r in splits.split(df, "k", "l").collect()}
+    assert set(got) == {r[0] for r in rows}
+    of = collections.defaultdict(set)
+    for k, g, _ in rows:
+        of[g].add(got[k])
+    assert all(len(s) == 1 for s in of.values())
+    n = collections.Counter(got.values())
+    assert abs(n["train"] - 0.8 * len(rows)) <= 1 and abs(n["test"] - 0.1 * len(rows)) <= 1
+    for tag in ("CITY", "ATTORE", "IBAN"):
+        share = {s: sum(1 for k, _, x in rows if got[k] == s and x and x[0][2:] == tag) / n[s] for s in n}
+        assert max(share.values()) - min(share.values()) < 0.02
+    sizes = collections.Counter(g for _, g, _ in rows)
+    for c in {1, 2, 4, 5}:
+        some = [g for g in sizes if sizes[g].bit_length() == c]
+        for s, part in splits.SPLITS.items():
+            assert abs(sum(of[g] == {s} for g in some) - part * len(some)) <= 2
 
 
 def test_splits_of_an_empty_table(spark, data):
@@ -467,7 +504,8 @@ def test_closings_and_marks_are_learned(spark):
         add(f"{b[:-4]}\nfine invio {i}", True)  # a mark after anything
         add(f"{b}. Il notaio ha{' letto' * (i % 2)}", True)
         b = b[:-3] + "e " * rnd.randint(1, 9) + b[-3:]
-        add(f"{b}. Il notaio ha letto e firmato l'atto. La parte ha detto di sì.", False)
+        for n in range(9):
+            add(f"{b}. Il notaio ha letto e firmato l'atto {n}. La parte ha detto di sì.", False)
     add("La parte ha pagato. visto e approvato", True)  # part of a closing
     told, _ = told_of(spark, rows)
     assert {r["id"]: r["cut"] for r in told.collect()} == want
