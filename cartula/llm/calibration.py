@@ -1,14 +1,15 @@
 """Samples whose shares of categories are those of a plan.
 
-Rows are reduced to profiles (which categories of the plan a row belongs to) and counted. Newton's method on the dual
-of exponential tilting gives each profile the probability that is nearest to a plain sample's and meets the plan's
-moments; the pivotal method draws rows with those probabilities, so that the counts come out within a row of them;
-floors are topped up, and what could not be met is reported.
+Rows are reduced to cells: the categories of the plan that a row belongs to, and how many rows do so alike. Newton's method
+on the dual of exponential tilting gives each cell the probability that is nearest to a plain sample's and meets the plan's
+moments; moments and their derivatives are summed on the cluster, one pass over the cells of all plans a step. Of each
+cell the whole part of its expected rows is drawn; the rests are settled by the pivotal method, in which as many cells
+fight as there are moments and one more, so that no moment moves. Floors are topped up, and what could not be met is reported.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,11 @@ from cartula.llm.chunks import usable
 from cartula.operators.ranking import pick_per_group
 from cartula.plans.lineage import broadcast_within, cut
 
-#: Categories of a plan, at most: a row's profile is a bit mask.
-MOST_CATEGORIES = 60
+#: Newton steps at most, step sizes tried at once, and the rows by which a moment may miss.
+STEPS, TRIES, NEAR = 60, (1.0, 0.5, 0.2, 0.05), 1e-3
 
-#: Rows of one profile that one task draws from.
-BUCKET = 200_000
+#: Cells whose rests one task settles at most before the next round.
+TASK = 20_000
 
 
 def members(rows: DataFrame, taxonomy: DataFrame, fields: list[str]) -> DataFrame:
@@ -62,115 +63,143 @@ def needs(targets: DataFrame, belongs: DataFrame, n_usable: int) -> DataFrame:
     return t.join(has, ["field_name", "key"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
 
 
-def tilt(counts: np.ndarray, x: np.ndarray, goal: np.ndarray, base: float, steps: int = 200) -> np.ndarray:
-    """Probability of each profile: base * exp(x . lambda), at most 1, whose moments meet ``goal``.
+def _sums(cells: DataFrame, lams: dict[int, list[np.ndarray]], base: dict[int, float]) -> dict[tuple[int, int], np.ndarray]:
+    """For each plan and each trial of its multipliers the moments and their derivatives, summed on the cluster: what comes
+    back has one number for each plan, trial and pair of categories, however many cells there are."""
 
-    Damped Newton steps on the dual; profiles at 1 leave the system and take part again when they fall below.
-    ``counts``: rows of each profile; ``x``: profiles by moments, 0 or 1. Moments that can't be met are met as
-    nearly as the Newton steps get.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for plan, some in b[b["plan"].isin(list(lams))].groupby("plan"):
+                x, n = _matrix(some["profile"], len(lams[plan][0])), some["n"].to_numpy(dtype=float)
+                for t, lam in enumerate(lams[plan]):
+                    p = np.minimum(1.0, base[plan] * np.exp(np.clip(x @ lam, -40, 40)))
+                    h = (x * (n * np.where(p < 1, p, 0))[:, None]).T @ x
+                    got = np.concatenate([(n * p) @ x, h.ravel()])
+                    total[plan, t] = total.get((plan, t), 0) + got
+        rows = [(plan, t, i, v) for (plan, t), got in total.items() for i, v in enumerate(got)]
+        yield pd.DataFrame(rows, columns=["plan", "t", "i", "v"])
+
+    told = cells.select("plan", "profile", "n").mapInPandas(run, "plan int, t int, i int, v double").groupBy("plan", "t", "i").agg(F.sum("v").alias("v"))
+    out = {(plan, t): np.zeros(len(lam) * (len(lam) + 1)) for plan, some in lams.items() for t, lam in enumerate(some)}
+    for plan, t, i, v in told.collect():
+        out[plan, t][i] = v
+    return out
+
+
+def _matrix(profiles: Iterable, d: int) -> np.ndarray:
+    """A row of 0 and 1 for each profile; the last moment, the size of the sample, counts all."""
+    x = np.zeros((len(profiles), d))
+    x[:, -1] = 1
+    for i, p in enumerate(profiles):
+        x[i, np.asarray(p, dtype=int)] = 1
+    return x
+
+
+def tilt(cells: DataFrame, goals: dict[int, np.ndarray], base: dict[int, float]) -> dict[int, np.ndarray]:
+    """The multipliers of each plan, under which the probability of a cell, base * exp(sum of those of its categories) and
+    at most 1, meets the plan's moments ``goals`` (the last: the size of the sample).
+
+    Damped Newton steps on the dual, all plans in one pass a step; cells at 1 leave the system and take part again when they
+    fall below. Moments that can't be met together are met as nearly as the steps get.
     """
-    lam = np.zeros(x.shape[1])
-    reach = (counts[:, None] * x).sum(0)
-    goal = np.minimum(goal, reach)
-    prob = lambda v: np.minimum(1.0, base * np.exp(np.clip(x @ v, -40, 40)))
-    gap = lambda p: ((counts * p) @ x) - goal
-    for _ in range(steps):
-        p = prob(lam)
-        g = gap(p)
-        if np.abs(g).max(initial=0) < 1e-6:
+    lams = {p: [np.zeros(len(g))] for p, g in goals.items()}
+    best = {p: (np.inf, lams[p][0]) for p in goals}
+    for _ in range(STEPS):
+        if not lams:
             break
-        w = counts * np.where(p < 1, p, 0)
-        h = (x * w[:, None]).T @ x + 1e-9 * np.eye(x.shape[1])
-        step = np.clip(np.linalg.lstsq(h, g, rcond=None)[0], -4, 4)
-        size, norm = 1.0, np.abs(g).sum()
-        while size > 1e-4 and np.abs(gap(prob(lam - size * step))).sum() > norm:
-            size /= 2
-        lam -= size * step
-    return prob(lam)
-
-
-def pivotal(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
-    """Outcome of each unit by the sequential pivotal method: 1 drawn, 0 not, and the place of the one left open (or -1).
-
-    Two open units fight: one of them ends at 0 or 1, the other carries the rest on. ``u``: a uniform number each.
+        got, after = _sums(cells, lams, base), {}
+        for plan, tried in lams.items():
+            d = len(goals[plan])
+            t = min(range(len(tried)), key=lambda t: np.abs(got[plan, t][:d] - goals[plan]).sum())
+            gap = got[plan, t][:d] - goals[plan]
+            if np.abs(gap).sum() >= best[plan][0] * (1 - 1e-6):
+                continue
+            best[plan] = (np.abs(gap).sum(), tried[t])
+            if np.abs(gap).max() > NEAR:
+                h = got[plan, t][d:].reshape(d, d) + 1e-9 * np.eye(d)
+                step = np.clip(np.linalg.lstsq(h, gap, rcond=None)[0], -4, 4)
+                after[plan] = [tried[t] - s * step for s in TRIES]
+        lams = after
+    return {p: lam for p, (_, lam) in best.items()}
+
+
+def pivotal(p: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Chances after fights: each open unit but a few ends at 0 or 1 and no moment, a column of ``x``, moves.
+
+    As many units fight as there are independent moments and one more; where rows have one category this is a fight of two. The
+    move along the one direction that keeps all moments ends with a unit at 0 or 1, whose place the next unit takes. ``u``: a uniform number each.
     """
-    out = p.copy()
-    a = -1
-    for i in range(len(p)):
-        if out[i] <= 1e-12 or out[i] >= 1 - 1e-12:
-            out[i] = round(out[i])
-            continue
-        if a < 0:
-            a = i
-            continue
-        s = out[a] + out[i]
-        if s < 1:
-            win, lose = (a, i) if u[i] * s < out[a] else (i, a)
-            out[lose], out[win] = 0.0, s
-        else:
-            stay, full = (i, a) if u[i] * (2 - s) < 1 - out[i] else (a, i)
-            out[full], out[stay] = 1.0, s - 1
-            win = stay
-        a = win if 1e-12 < out[win] < 1 - 1e-12 else -1
-        if a < 0:
-            out[win] = round(out[win])
-    return out, a
-
-
-def _uniform(*columns: str | Column, seed: int) -> Column:
-    return F.xxhash64(*columns, F.lit(seed)) / F.lit(2.0**64) + 0.5
-
-
-def draw(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """(``id``, ``mask``, ``drawn``) of rows (``id``, ``mask``, ``p``, ``buckets``): each drawn with probability ``p``.
-
-    The pivotal method runs inside each (profile, hash bucket), so that no profile is one task, and leaves at most
-    one row of it open; the open rows are then settled together, profile by profile. There are as many of them as
-    buckets, one for BUCKET rows of a profile.
+    out, queue = p.copy(), [i for i in range(len(p)) if 1e-9 < p[i] < 1 - 1e-9]
+    out[(p <= 1e-9)], out[(p >= 1 - 1e-9)] = 0.0, 1.0
+    ring: list[int] = []
+    at, draw = 0, np.random.default_rng(np.ascontiguousarray(u, dtype=float).view(np.uint64)[:64].tolist())  # the same for the same units
+    while True:
+        while len(ring) <= x.shape[1] and at < len(queue):
+            ring.append(queue[at])
+            at += 1
+        if not ring:
+            return out
+        _, s, v = np.linalg.svd(x[ring].T)
+        rank = int((s > 1e-9).sum())
+        if rank >= len(ring):
+            return out
+        way, now = v[-1], out[ring]
+        with np.errstate(divide="ignore"):
+            up = np.min(np.where(way > 1e-12, (1 - now) / way, np.where(way < -1e-12, -now / way, np.inf)))
+            down = np.min(np.where(way > 1e-12, now / way, np.where(way < -1e-12, (now - 1) / way, np.inf)))
+        now = now + way * (up if draw.random() * (up + down) < down else -down)
+        out[ring] = np.where(now < 1e-9, 0.0, np.where(now > 1 - 1e-9, 1.0, now))
+        ring = [i for i in ring if 0 < out[i] < 1]
+
+
+def landed(p: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """What fights leave open is settled with ever fewer moments, the size of the sample last, and one last number."""
+    for d in range(x.shape[1] + 1):
+        p = pivotal(p, x[:, d:], np.modf(u * (d + 1) * 1009)[0])
+    return np.where(p >= 1, 1.0, np.where(p <= 0, 0.0, np.where(u < p, 1.0, 0.0)))
+
+
+def settle(rests: DataFrame, width: dict[int, int]) -> DataFrame:
+    """(``plan``, ``cell``, ``more``): 1 where a cell's rest is drawn, else 0; ``rests``: plan, cell, profile, p, u.
+
+    Cells of like profiles stand together and fight in their task; what each task leaves open, at most a cell a moment, goes to the
+    next round in fewer tasks, and the last one settles all.
     """
-    kind = rows.schema["id"].dataType.simpleString()
-    out = f"id {kind}, mask bigint, q double, open boolean"
-    spread = rows.withColumn("u", _uniform("id", seed=seed)).withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("buckets")).cast("int"))
 
-    def told(some: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        q, a = pivotal(some["p"].to_numpy(dtype=float), some["u"].to_numpy(dtype=float))
-        return pd.DataFrame({"id": some["id"].to_numpy(), "mask": some["mask"].to_numpy(), "q": q, "open": np.arange(len(some)) == a}), a
-
-    def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None  # the open row of a bucket that may go on in the next batch
-        for b in batches:
-            for _, some in b.groupby(["mask", "bucket"], sort=False):
-                if carry is not None:
-                    if (carry["mask"].iloc[0], carry["bucket"].iloc[0]) == (some["mask"].iloc[0], some["bucket"].iloc[0]):
-                        some = pd.concat([carry, some], ignore_index=True)
-                    else:
-                        yield carry.assign(q=carry["p"], open=True)[["id", "mask", "q", "open"]]
-                got, a = told(some)
-                yield got[~got["open"]]
-                carry = some.iloc[[a]].assign(p=got["q"].iloc[a]) if a >= 0 else None
-        if carry is not None:
-            yield carry.assign(q=carry["p"], open=True)[["id", "mask", "q", "open"]]
-
-    def settle(left: pd.DataFrame) -> pd.DataFrame:
-        return told(left.sort_values(["mask", "u", "id"]))[0]
-
-    sorted_ = spread.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "u", "id").select("mask", "bucket", "id", "p", "u")
-    first = cut(sorted_.mapInPandas(by_bucket, out))
-    left = first.where("open").withColumn("p", F.col("q")).withColumn("u", _uniform("id", seed=seed + 2)).withColumn("all", F.lit(1))
-    last = left.select("id", "mask", "p", "u", "all").groupBy("all").applyInPandas(settle, out)
-    closing = _uniform("id", seed=seed + 3)  # a rest that is no whole row is settled by one last number
-    whole = F.when(F.col("open"), closing < F.col("q")).otherwise(F.col("q") > 0.5)
-    return first.where("not open").unionByName(last).select("id", "mask", whole.alias("drawn"))
+    def run(last: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def fight(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            some = list(batches)
+            kept = pd.concat(some, ignore_index=True) if some else pd.DataFrame({"plan": []})
+            for plan, some in kept.groupby("plan"):
+                some = some.sort_values("cell", kind="stable")
+                x, go = _matrix(some["profile"], width[plan]), landed if last else pivotal
+                yield some.assign(p=go(some["p"].to_numpy(dtype=float), x, some["u"].to_numpy(dtype=float)))
+
+        return fight
+
+    schema, done = "plan int, cell string, profile array<int>, p double, u double", []
+    left = cut(rests.select("plan", "cell", "profile", "p", "u"))
+    tasks = -(-left.count() // TASK)
+    while tasks > 1:
+        told = cut(left.repartitionByRange(tasks, "plan", "cell").mapInPandas(run(False), schema))
+        done.append(told.where("p <= 0 or p >= 1"))
+        left, tasks = told.where("p > 0 and p < 1"), min(tasks - 1, -(-tasks * (1 + max(width.values())) // TASK))
+    out = cut(left.repartition(1).mapInPandas(run(True), schema))
+    for d in done:
+        out = out.unionByName(d)
+    return out.select("plan", "cell", F.col("p").cast("bigint").alias("more"))
 
 
 def sample(rows: DataFrame, targets: DataFrame, taxonomy: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(sample, report) for every plan of ``targets``.
 
     ``rows``: rec_id, tokens, bio_labels, language, source. The sample is (``plan_id``, ``rec_id``); the report is
-    (``plan_id``, ``category``, ``target_share``, ``min_rows``, ``need``, ``available``, ``drawn``, ``share``,
-    ``short``), ``short`` where fewer usable rows exist than needed. Unusable rows never count; duplicates count
-    each; a category under no name is never drawn for; where each row has one category, rows of other categories are
-    not drawn. An empty table gives an empty sample and a report in which every need above 0 is short.
+    (``plan_id``, ``category``, ``field_name``, ``target_share``, ``min_rows``, ``need``, ``available``, ``drawn``, ``share``,
+    ``short``, ``missed``): ``short`` where fewer usable rows exist than needed, ``missed`` where fewer were drawn, for whatever
+    reason. Unusable rows never count; duplicates count each; a category under no name is never drawn for; where each row
+    has one category, rows of other categories are not drawn. An empty table gives an empty sample and a report
+    in which every need above 0 is short. The driver sees the targets and sums by category, no cells.
     """
     spark = rows.sparkSession
     fields = [r[0] for r in targets.select("field_name").distinct().collect()]
@@ -178,52 +207,51 @@ def sample(rows: DataFrame, targets: DataFrame, taxonomy: DataFrame, seed: int =
     n_usable = good.count()
     belongs = cut(members(good, taxonomy, fields))
     wanted = needs(targets, belongs, n_usable).select("plan_id", "field_name", "sample_fraction", "category", "key", "target_share", "min_rows", "need", "available").orderBy("plan_id", "category").collect()
-    drawn_of = []
-    for plan in sorted({r["plan_id"] for r in wanted}):
-        t = [r for r in wanted if r["plan_id"] == plan]
-        if len(t) > MOST_CATEGORIES:
-            raise ValueError(f"plan {plan}: more than {MOST_CATEGORIES} categories")
-        many = t[0]["field_name"] == "bio_labels"
-        bits = broadcast_within(spark.createDataFrame([(r["key"], 1 << i) for i, r in enumerate(t)], "category string, bit bigint"))
-        own = belongs.where(F.col("field_name") == t[0]["field_name"]).join(bits, "category").groupBy("id").agg(F.bit_or("bit").alias("mask"))
-        masked = cut(good.select("id").join(own, "id", "left").select("id", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask")))
-        cells = masked.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).orderBy("mask").collect()  # at most 2^categories, and as many as occur
-        if not cells:
-            continue
-        masks = np.array([c["mask"] for c in cells], dtype=np.int64)
-        counts = np.array([c["n"] for c in cells], dtype=float)
-        x = (masks[:, None] >> np.arange(len(t)) & 1).astype(float)
+    names = sorted({r["plan_id"] for r in wanted})
+    of = {p: [r for r in wanted if r["plan_id"] == names[p]] for p in range(len(names))}
+    goals, base, width = {}, {}, {}
+    for p, t in of.items():
         goal = np.array([min(r["need"], r["available"]) for r in t], dtype=float)
-        total = round(t[0]["sample_fraction"] * n_usable)
-        if many:
-            x, goal = np.hstack([x, np.ones((len(cells), 1))]), np.append(goal, max(total, goal.max(initial=0)))
-            p = tilt(counts, x, goal, max(t[0]["sample_fraction"], 1e-6))
-        else:
-            p = np.where(masks > 0, tilt(counts, x, goal, max(t[0]["sample_fraction"], 1e-6)), 0.0)
-        chances = broadcast_within(spark.createDataFrame([(int(m), float(v), int(-(-n // BUCKET))) for m, v, n in zip(masks, p, counts, strict=True)], "mask bigint, p double, buckets int"))
-        told = cut(draw(masked.join(chances, "mask").select("id", "mask", "p", "buckets"), seed))
-        hit = told.where("drawn").select("id", "mask")
-        got = {c["mask"]: c["n"] for c in hit.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}
-        for i, r in enumerate(t):  # floors: a category under its min_rows gets the first of its rows not drawn
-            lack = min(r["min_rows"], r["available"]) - sum(n for m, n in got.items() if m >> i & 1)
+        many = t[0]["field_name"] == "bio_labels"
+        size = max(round(t[0]["sample_fraction"] * n_usable), goal.max(initial=0)) if many else goal.sum()
+        goals[p], base[p], width[p] = np.append(goal, min(size, n_usable)), max(t[0]["sample_fraction"], 1e-6), len(t) + 1
+
+    lines = [(p, i, r["plan_id"], r["field_name"], r["category"], r["key"], r["target_share"], r["min_rows"], r["need"], r["available"]) for p, t in of.items() for i, r in enumerate(t)]
+    plan = spark.createDataFrame(lines, "plan int, i int, plan_id string, field_name string, category string, key string, target_share double, min_rows int, need bigint, available bigint")
+    keys = broadcast_within(plan.select("plan", "i", "field_name", F.col("key").alias("category")))
+    own = belongs.join(keys, ["field_name", "category"]).select("plan", "id", "i")
+    tagged = spark.createDataFrame([(p,) for p, t in of.items() if t[0]["field_name"] == "bio_labels"], "plan int")
+    others = good.select("id").crossJoin(broadcast_within(tagged)).select("plan", "id", F.lit(None).cast("int").alias("i"))
+    profiled = own.unionByName(others).groupBy("plan", "id").agg(F.array_sort(F.collect_set("i")).alias("profile"))  # categories of a row
+    each = cut(profiled.withColumn("cell", F.array_join(F.col("profile").cast("array<string>"), ",")))
+    cells = cut(each.groupBy("plan", "cell", "profile").agg(F.count(F.lit(1)).alias("n")))
+
+    lams = tilt(cells, goals, base)
+    table = spark.createDataFrame([(p, base[p], [float(v) for v in lam]) for p, lam in lams.items()], "plan int, base double, lam array<double>")
+    power = F.aggregate("profile", F.element_at("lam", -1), lambda a, i: a + F.get("lam", i))
+    chance = F.least(F.lit(1.0), F.col("base") * F.exp(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), power))))
+    hoped = cells.join(broadcast_within(table), "plan").withColumn("e", F.col("n") * chance).withColumn("whole", F.floor(F.col("e") + 1e-6))
+    hoped = cut(hoped.withColumn("p", F.greatest(F.lit(0.0), F.col("e") - F.col("whole"))))
+    rests = hoped.where("p > 1e-6").withColumn("u", F.xxhash64("plan", "cell", F.lit(seed)) / F.lit(2.0**64) + 0.5)
+    quota = cut(hoped.select("plan", "cell", "whole").join(settle(rests, width), ["plan", "cell"], "left").select("plan", "cell", (F.col("whole") + F.coalesce("more", F.lit(0))).alias("k")))
+    order = [F.xxhash64("id", F.lit(seed)), F.col("id")]
+    hit = cut(pick_per_group(each, quota.where("k > 0"), ["plan", "cell"], "k", order))
+
+    def drawn(hit: DataFrame) -> dict[tuple[int, int], int]:
+        return {(r[0], r[1]): r[2] for r in hit.groupBy("plan", "profile").agg(F.count(F.lit(1)).alias("n")).select("plan", F.explode("profile").alias("i"), "n").groupBy("plan", "i").agg(F.sum("n")).collect()}
+
+    got = drawn(hit)
+    for p, t in of.items():  # floors: a category under its min_rows gets the first of its rows not drawn
+        for i, r in enumerate(t):
+            lack = min(r["min_rows"], r["available"]) - got.get((p, i), 0)
             if lack > 0:
-                rest = masked.where(F.col("mask").bitwiseAND(1 << i) != 0).join(hit.select("id"), "id", "left_anti").withColumn("g", F.lit(1))
-                quota = spark.createDataFrame([(1, lack)], "g int, k int")
-                hit = cut(hit.unionByName(pick_per_group(rest, quota, ["g"], "k", [F.xxhash64("id", F.lit(seed)), F.col("id")]).select("id", "mask")))
-                got = {c["mask"]: c["n"] for c in hit.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}
-        drawn_of.append(hit.select(F.lit(plan).alias("plan_id"), F.col("id").alias("rec_id"), "mask"))
-    kind = rows.schema["rec_id"].dataType.simpleString()
-    picked = spark.createDataFrame([], f"plan_id string, rec_id {kind}, mask bigint")
-    for d in drawn_of:
-        picked = picked.unionByName(d)
-    lines, seen = [], {r["plan_id"]: 0 for r in wanted}
-    for r in wanted:
-        lines.append((r["plan_id"], r["category"], r["target_share"], r["min_rows"], r["need"], r["available"], 1 << seen[r["plan_id"]], r["available"] < r["need"]))
-        seen[r["plan_id"]] += 1
-    plan = spark.createDataFrame(lines, "plan_id string, category string, target_share double, min_rows int, need bigint, available bigint, bit bigint, short boolean")
-    cells = picked.groupBy("plan_id", "mask").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cells.groupBy("plan_id").agg(F.sum("n").alias("size"))
-    got = plan.join(cells, "plan_id").where(F.col("mask").bitwiseAND(F.col("bit")) != 0).groupBy("plan_id", "category").agg(F.sum("n").alias("drawn"))
-    report = plan.join(got, ["plan_id", "category"], "left").join(sizes, "plan_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+                rest = each.where((F.col("plan") == p) & F.array_contains("profile", i)).join(hit.where(F.col("plan") == p).select("id"), "id", "left_anti")
+                hit = cut(hit.unionByName(pick_per_group(rest, spark.createDataFrame([(p, lack)], "plan int, k int"), ["plan"], "k", order).select(*hit.columns)))
+                got = drawn(hit)
+    counts = spark.createDataFrame([(p, i, n) for (p, i), n in got.items()], "plan int, i int, drawn bigint")
+    sizes = hit.groupBy("plan").agg(F.count(F.lit(1)).alias("size"))
+    report = plan.join(counts, ["plan", "i"], "left").join(sizes, "plan", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     share = F.when(F.col("size") > 0, F.col("drawn") / F.col("size")).otherwise(0.0)
-    return picked.select("plan_id", "rec_id"), report.select("plan_id", "category", "target_share", "min_rows", "need", "available", "drawn", share.alias("share"), "short")
+    flags = [(F.col("available") < F.col("need")).alias("short"), (F.col("drawn") < F.col("need")).alias("missed")]
+    picked = hit.join(broadcast_within(plan.select("plan", "plan_id").distinct()), "plan").select("plan_id", F.col("id").alias("rec_id"))
+    return picked, report.select("plan_id", "category", "field_name", "target_share", "min_rows", "need", "available", "drawn", share.alias("share"), *flags)

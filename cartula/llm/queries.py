@@ -24,6 +24,12 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return _sampled(spark, folder)[1]
 
 
+def p5_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    """Need, rows there are and, for plans in which a row has one category, rows drawn: exactly the need where there are so many."""
+    one = F.when(F.col("field_name") != "bio_labels", F.col("drawn"))
+    return _sampled(spark, folder)[1].select("plan_id", "category", "need", "available", one.alias("drawn"))
+
+
 def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     """The sampled rows of each plan."""
     return _sampled(spark, folder)[0]
@@ -145,6 +151,7 @@ QUERIES = {
     "p4_splits": p4_splits,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p5_drawn": p5_drawn,
     "p5_sample": p5_sample,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
@@ -157,15 +164,19 @@ QUERIES = {
 _NAME = "CASE WHEN regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') NOT IN ('', 'nd', 'null', 'sconosciuta', 'na', 'none') THEN regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END"
 _LANG = "CASE WHEN regexp_replace(lower(language), '[^a-z]+', '', 'g') NOT IN ('', 'nd') THEN coalesce(map {'deu': 'de', 'ger': 'de', 'eng': 'en', 'spa': 'es', 'fra': 'fr', 'fre': 'fr', 'ita': 'it', 'nld': 'nl', 'dut': 'nl'}[regexp_extract(lower(trim(language)), '^[a-z]+')], regexp_extract(lower(trim(language)), '^[a-z]+')) END"
 
-SQL: dict[str, str] = {
-    "p5_found": f"""
+_NEEDS = f"""
 WITH u AS (SELECT * FROM train_subset_10k WHERE len(tokens) > 0 AND len(tokens) = len(bio_labels)),
 m AS (SELECT rec_id, 'source' AS field_name, {_NAME.format("source")} AS k FROM u UNION ALL SELECT rec_id, 'language', {_LANG} FROM u
  UNION ALL SELECT DISTINCT rec_id, 'bio_labels', coarse_tag FROM (SELECT rec_id, upper(unnest(bio_labels)) AS l FROM u) JOIN tag_taxonomy ON raw_tag = substr(l, 3) WHERE l[:2] IN ('B-', 'I-')),
 c AS (SELECT field_name, k, count(*) AS n FROM m WHERE k IS NOT NULL GROUP BY ALL),
 t AS (SELECT *, CASE field_name WHEN 'source' THEN {_NAME.format("category")} ELSE category END AS k,
  greatest(round_even(sample_fraction * (SELECT count(*) FROM u) * target_share, 0), min_rows) AS need FROM sample_targets)
-SELECT t.plan_id, t.category FROM t LEFT JOIN c ON c.field_name = t.field_name AND c.k = t.k WHERE coalesce(c.n, 0) < t.need""",
+"""
+
+SQL: dict[str, str] = {
+    "p5_found": _NEEDS + "SELECT t.plan_id, t.category FROM t LEFT JOIN c ON c.field_name = t.field_name AND c.k = t.k WHERE coalesce(c.n, 0) < t.need",
+    "p5_drawn": _NEEDS + """SELECT t.plan_id, t.category, CAST(t.need AS BIGINT) AS need, CAST(coalesce(c.n, 0) AS BIGINT) AS available,
+ CASE WHEN t.field_name <> 'bio_labels' THEN CAST(least(t.need, coalesce(c.n, 0)) AS BIGINT) END AS drawn FROM t LEFT JOIN c ON c.field_name = t.field_name AND c.k = t.k""",
     "p4_found": f"""
 WITH RECURSIVE r AS (SELECT rec_id, CASE WHEN template_id IN (SELECT id FROM legal_templates) THEN template_id END AS t,
  nullif(CASE WHEN regexp_replace(regexp_replace(lower(source), '\\.jsonl[\\s/]*$', ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') NOT IN ('', 'nd', 'null', 'sconosciuta') THEN regexp_replace(regexp_replace(lower(source), '\\.jsonl[\\s/]*$', ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END, '') AS s FROM synthetic_pii_it_200k),

@@ -318,8 +318,8 @@ def test_shortages_and_sample(spark, data):
     assert len(picked) == len(set(picked))
     for r in report.collect():
         assert r["drawn"] >= min(r["min_rows"], r["available"])
-        if r["plan_id"] != "by_tag":
-            assert abs(r["drawn"] - min(r["need"], r["available"])) <= 1
+        assert abs(r["drawn"] - min(r["need"], r["available"])) <= (2 if r["plan_id"] == "by_tag" else 0)
+        assert r["missed"] == (r["drawn"] < r["need"]) and r["short"] == (r["available"] < r["need"])
 
 
 def test_sample_of_an_empty_table(spark, data):
@@ -328,24 +328,40 @@ def test_sample_of_an_empty_table(spark, data):
     assert picked.count() == 0 and report.where("short").count() == report.where("need > 0").count() == 22
 
 
-def test_tilting_meets_its_moments():
+def test_tilting_meets_its_moments(spark):
     rnd = np.random.default_rng(3)
-    x = rnd.integers(0, 2, (40, 5)).astype(float)
-    counts = rnd.integers(50, 500, 40).astype(float)
-    goal = (counts[:, None] * x).sum(0) * np.array([0.1, 0.3, 0.2, 0.25, 0.15])
-    p = calibration.tilt(counts, x, goal, 0.2)
-    assert np.allclose((counts * p) @ x, goal, rtol=1e-3) and (p <= 1).all()
+    x = np.hstack([rnd.integers(0, 2, (40, 70)), np.ones((40, 1), dtype=int)])  # more categories than a word has bits
+    counts = rnd.integers(50, 500, 40)
+    goal = (counts * rnd.uniform(0.1, 0.4, 40)) @ x
+    rows = [(0, np.flatnonzero(r[:-1]).tolist(), int(n)) for r, n in zip(x, counts)]
+    cells = spark.createDataFrame(rows, "plan int, profile array<int>, n bigint").repartition(3)
+    lam = calibration.tilt(cells, {0: goal}, {0: 0.2})[0]
+    p = np.minimum(1, 0.2 * np.exp(x @ lam))
+    assert np.allclose((counts * p) @ x, goal, atol=0.01)
 
 
-def test_pivotal_keeps_sums():
+def test_pivotal_moves_no_moment():
     rnd = np.random.default_rng(1)
-    sums = np.zeros(40)
-    p = rnd.random(40)
-    for _ in range(3000):
-        out, a = calibration.pivotal(p, rnd.random(40))
-        assert abs(out.sum() - p.sum()) < 1e-6 and set(np.delete(out, a) if a >= 0 else out) <= {0.0, 1.0}
-        sums += out
-    assert np.abs(sums / 3000 - p).max() < 0.06
+    x = np.hstack([rnd.integers(0, 2, (60, 4)), np.ones((60, 1))]).astype(float)
+    p, sums = rnd.random(60), np.zeros(60)
+    for _ in range(1500):
+        out = calibration.pivotal(p, x, rnd.random(60))
+        assert np.allclose(out @ x, p @ x) and ((out > 0) & (out < 1)).sum() <= 5
+        last = calibration.landed(p, x, rnd.random(60))
+        assert set(last) <= {0.0, 1.0} and abs(last.sum() - p.sum()) < 1 and np.abs(last @ x - p @ x).max() <= 4
+        sums += last
+    assert np.abs(sums / 1500 - p).max() < 0.07
+
+
+def test_settling_in_rounds_equals_the_goal(spark, monkeypatch):
+    monkeypatch.setattr(calibration, "TASK", 20)
+    rnd = random.Random(5)
+    rows = [(i % 2, f"{i}", [0] if i % 3 else [1], rnd.random(), rnd.random()) for i in range(200)]
+    got = {(r["plan"], r["cell"]): r["more"] for r in calibration.settle(spark.createDataFrame(rows, "plan int, cell string, profile array<int>, p double, u double"), {0: 3, 1: 3}).collect()}
+    assert len(got) == 200 and set(got.values()) <= {0, 1}
+    for plan in (0, 1):
+        for kind in ([0], [1]):
+            assert abs(sum(got[q, c] - p for q, c, k, p, _ in rows if q == plan and k == kind)) <= 2
 
 
 # ---- 7
@@ -505,7 +521,7 @@ def test_closings_and_marks_are_learned(spark):
         add(f"{b}. Il notaio ha{' letto' * (i % 2)}", True)
         b = b[:-3] + "e " * rnd.randint(1, 9) + b[-3:]
         for n in range(9):
-            add(f"{b}. Il notaio ha letto e firmato l'atto {n}. La parte ha detto di sì.", False)
+            add(f"{b}. Poi {'ancora ' * rnd.randint(0, 60)}nulla. Il notaio ha letto e firmato l'atto {n}. La parte ha detto di sì.", False)
     add("La parte ha pagato. visto e approvato", True)  # part of a closing
     told, _ = told_of(spark, rows)
     assert {r["id"]: r["cut"] for r in told.collect()} == want
