@@ -9,6 +9,7 @@ stop belongs to an abbreviation. An ending off every limit is judged by these co
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import html
@@ -73,12 +74,14 @@ _mark = re.compile(
     r"(?:<!--[^<>]*-->|</?[a-zA-Z][^<>]*>|\[[^\[\]\n]{0,60}\]|\(\s*(?:…|\.{3})\s*\)|(?P<s>\*{2,}|-{2,}|={2,}|_{2,})[^*=_\n]{2,60}(?P=s)|-\s?\w+\s?-|[>»]{2,}|[*=_~|\-–—]{2,}"
     r"|\([^()\n\d]{0,40}\)|(?:(?<=\n)|(?<=[.!?…] )|^)[ \t]*(?:\w{1,8}\.? )?\d{1,4} ?(?:/|[^\W\d]{2,3}) ?\d{1,4})\Z"
 )
-_stop = re.compile(r"[.!?][\])}»”’\"']*\Z")
+_CLOSERS = "])}»”’\"'"
 _ellipsis = re.compile(r"(?:\s*(?:…|\.\.\.)[\])}»”’\"']*)+\Z")
 _form = re.compile(r"(?:^|[ («])(?:S\.? ?p\.? ?A|S\.? ?r\.? ?l(?:\.? ?s)?|S\.? ?n\.? ?c|S\.? ?a\.? ?s|& ?C)\.\Z", re.IGNORECASE)
 _half_number = re.compile(
     r"(?:(?:€|\bEUR|\beuro) ?\d{1,3}(?:\.\d{3})*\.|(?:\b(?:il|al|dal|data|del|dem|vom|le|on|of|am|fecha|el|du|from) )\d{1,2}(?:\.\d{1,2})?\.|(?:\b(?:ore|h\.|um|à|at|las) )\d{1,2}\.)\Z"
 )
+_last_stopped = re.compile(r"(?<!\w)([^\W\d_]+(?:['’])?)\.\Z")
+_last = re.compile(r"(?<!\w)([^\W\d_]{2,})(?:\s*(?:…|\.\.\.)[\])}»”’\"']*)*\Z")
 _half_mail = re.compile(r"(?:(?:scrivendo a|e-?mail|indirizzo pec|p\.e\.c\.|\bmail|correo) [\w.\-]+|@[\w.\-]+)\.\Z", re.IGNORECASE)
 # A unit of an encoding that isn't whole: an escape, an entity, a tag, a byte sequence.
 _half_unit = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\u[dD][89abAB][0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}|\\|&#?\w{0,8}|=[0-9A-F]{0,2}|%[0-9A-F]{0,2}|</?[a-zA-Z][^<>]{0,200}|</?)\Z")
@@ -90,6 +93,20 @@ _numbered = re.compile(r"[^\W\d_][\w'’ ]{1,40} ?:\s*1[).]\s?[^;\n]{2,80}?(?:[;
 _item = re.compile(r"[ \t]*(?:[-•*–]|\d{1,3}[).])[ \t]?\S")
 
 
+def _stops(text: str) -> bool:
+    """Whether a text ends with a full stop, question or exclamation mark, inside closing marks or not."""
+    return text.rstrip(_CLOSERS)[-1:] in (".", "!", "?")
+
+
+def _dots(text: str) -> str | None:
+    """The text without an ellipsis at its end, or None where there is none."""
+    bare = text.rstrip(_CLOSERS + _SPACE)
+    if bare[-1:] != "…" and bare[-3:] != "...":
+        return None
+    at = max(0, len(bare) - 60)
+    return text[:at] + _ellipsis.sub("", text[at:])
+
+
 _MARK_ENDS = frozenset(">])»*=_~|-–—0123456789")
 
 
@@ -110,25 +127,23 @@ def state(text: str) -> tuple[bool, str | None]:
     core = stripped(text)[0]
     if not core:
         return True, None
-    if _ellipsis.search(core):
-        rest = _ellipsis.sub("", core)
-        done = bool(rest) and bool(_stop.search(rest)) and _stopped(rest[-400:]) == "whole"
-        return done, None if done else last_word(core) or ""
-    return bool(_stop.search(core)) and _stopped(core[-400:]) == "whole", None
+    rest = _dots(core)
+    done = _stops(core if rest is None else rest) and _stopped((core if rest is None else rest)[-400:]) == "whole"
+    return done, None if done or rest is None else last_word(core) or ""
 
 
 def _stopped(tail: str) -> str:
     """``whole``, ``short`` or ``torn``, for a text that ends with a full stop, question or exclamation mark."""
-    bare = re.sub(r"[\])}»”’\"']*\Z", "", tail)
+    bare = tail.rstrip(_CLOSERS)
     if bare[-1] in "!?" or bare.endswith(".."):
         return "whole"
-    if bare != tail or _form.search(bare):
+    if bare != tail or _form.search(bare, max(0, len(bare) - 20)):
         return "whole"
-    if _half_number.search(bare):
+    if _half_number.search(bare, max(0, len(bare) - 40)):
         return "torn"
     if m := _half_mail.search(bare):
         return "whole" if "@" in m.group() and _domain(m.group().rstrip(".").rpartition(".")[2].lower()) else "torn"
-    word = re.search(r"(?<!\w)([^\W\d_]+(?:['’])?)\.\Z", bare)
+    word = _last_stopped.search(bare, bare.rfind(" ") + 1)
     if not word:
         return "whole"
     low, before = word.group(1).lower(), bare[: word.start()]
@@ -155,14 +170,14 @@ def _opened(tail: str) -> bool:
 _begins = re.compile(r"\n|[.!?…][\])}»”’\"']*\s+(?=[^\s\d])|(?<=\.\.\.)(?=[^\s.])|(?=[…\[(])")
 
 
-def places(core: str) -> list[int]:
-    """Where the last lines and sentences of a text begin, the last first, at most PLACES; 0 if the text is that short."""
-    size = 1000
+def places(core: str, most: int = PLACES) -> list[int]:
+    """Where the last lines and sentences of a text begin, the last first, at most ``most``; 0 if the text is that short."""
+    size = 150 * most
     while True:
         low = max(0, len(core) - size)
         found = sorted({m.end() for m in _begins.finditer(core, low)} | ({0} if not low else set()), reverse=True)
-        out = [at for i, at in enumerate(found) if core[at : found[i - 1] if i else len(core)].strip(_SPACE)][:PLACES]
-        if not low or len(out) == PLACES:
+        out = [at for i, at in enumerate(found) if core[at : found[i - 1] if i else len(core)].strip(_SPACE)][:most]
+        if not low or len(out) == most:
             return out
         size *= 4
 
@@ -241,26 +256,27 @@ def ending(text: str | None) -> str:
     core, marked = stripped(text)
     if not core:
         return "page"
-    if _ellipsis.search(core):
-        rest = _ellipsis.sub("", core[-400:])
-        if not rest or _form.search(rest + "."):
+    if (rest := _dots(core)) is not None:
+        rest = rest[-400:]
+        if not rest or _form.search(rest[-20:] + "."):
             return "whole"
-        if _stop.search(rest):
+        if _stops(rest):
             return _stopped(rest)
         cased = not rest[-1].isalpha() or rest[-1].lower() != rest[-1].upper()
         if _opened(rest) or rest[-1] in ",;:-–([" or cased and _stopped(rest + ".") == "torn":
             return "torn"
         return "short" if cased and _stopped(rest + ".") == "short" else "open"
-    if _stop.search(core):
+    if _stops(core):
         return _stopped(core[-400:])
-    if _half_unit.search(core):
+    if _half_unit.search(core, max(0, len(core) - 210)):
         return "torn"
     return shaped(core) or "bare"
 
 
 # ---- lengths
 
-_NAMED = {code: f"&{name};" for code, name in html.entities.codepoint2name.items()}
+_NAMED = {chr(code): f"&{name};" for code, name in html.entities.codepoint2name.items()}
+_named = re.compile("[" + re.escape("".join(_NAMED)) + "]")
 
 
 def measures(text: str) -> dict[str, int]:
@@ -277,7 +293,7 @@ def measures(text: str) -> dict[str, int]:
         "markup": len(escaped),
         "markup_quotes": len(quoted),
         "markup_utf8": raw + len(escaped) - len(text),
-        "markup_names": len(text.translate(_NAMED)),
+        "markup_names": len(text) + sum(len(_NAMED[c]) - 1 for c in _named.findall(text)),
         "json": len(plain) - 2,
         "json_utf8": len(plain.encode("utf-8", "surrogatepass")) - 2,
         "json_ascii": len(json.dumps(text)) - 2,
@@ -294,14 +310,14 @@ MEASURES = list(measures(""))
 def last_word(text: str) -> str | None:
     """The word of letters that ends a text, before an ellipsis if there is one, in small letters; it can show whether a sentence
     ends there. None after a number, a code, a single letter or a closing bracket, which are judged by their form alone."""
-    m = re.search(r"(?<!\w)([^\W\d_]{2,})(?:\s*(?:…|\.\.\.)[\])}»”’\"']*)*\Z", stripped(text)[0][-200:])
+    m = _last.search(stripped(text)[0][-100:])
     return m.group(1).lower() if m else None
 
 
-def stop_word(text: str) -> str | None:
-    """The word of letters before the full stop that ends a text, in small letters."""
-    m = re.search(r"(?<!\w)([^\W\d_]{2,})\.\Z", stripped(text)[0][-200:])
-    return m.group(1).lower() if m else None
+def stop_word(core: str) -> str | None:
+    """The word of letters before the full stop that ends a text without marks."""
+    m = _last_stopped.search(core, core.rfind(" ") + 1)
+    return m.group(1) if m and len(m.group(1)) > 1 else None
 
 
 def read_one(text: str) -> dict:
@@ -311,25 +327,28 @@ def read_one(text: str) -> dict:
     kind = ending(text)
     core, marked = stripped(text)
     if kind == "open":
-        core = _ellipsis.sub("", core)
-    at, parts, goes = places(core), [], set()
+        core = _dots(core) or ""
+    said = kind not in ("whole", "torn", "page")
+    at, parts, goes = places(core, PLACES if said else 2), [], set()
     words = tokens(core, at[-1]) if at else []
+    starts = [w[0] for w in words]
     for p in at[:2]:
-        some = form([w for w in words if w[0] >= p][: 2 * FORM_WORDS])[: FORM_WORDS + 1]
+        some = form(words[bisect.bisect_left(starts, p) :][: 2 * FORM_WORDS])[: FORM_WORDS + 1]
         goes.update(h for h, after in zip(hashes(some), some[1:]) if after != "\n")
-    if kind not in ("whole", "torn", "page"):  # the forms of these say nothing
+    if said:  # the forms of the others say nothing
         ends = [len(core), *at]
+        cuts = [bisect.bisect_left(starts, p) for p in ends]
         for i in range(1, len(ends)):
             before = "".join(c for c in core[max(0, ends[i] - 60) : ends[i]].lower() if c.isalnum())[-30:]
             for j in range(i):
-                some = form([w for w in words if ends[i] <= w[0] < ends[j]])
+                some = form(words[cuts[i] : cuts[j]]) if cuts[j] - cuts[i] <= 2 * FORM_WORDS else []
                 if 0 < len(some) <= FORM_WORDS:
                     codes = hashes(some)
                     parts.append({"i": i, "j": j, "h": codes[-1], "less": codes[-2] if len(codes) > 1 else None, "c": hashes([before])[-1]})
     return {
         "kind": kind,
-        "last": last_word(text) if kind not in ("whole", "torn", "page") else None,
-        "stop": stop_word(text) if kind == "whole" else None,
+        "last": last_word(text) if said else None,
+        "stop": stop_word(core) if kind == "whole" else None,
         "sizes": list(measures(text).values()),
         "cores": list(measures(core).values()) if marked else None,
         "forms": parts,
