@@ -12,6 +12,8 @@ from cartula.functions import text as tx
 from cartula.functions.names import language_key, name_key
 from cartula.operators import bio, detect, evaluate, generate, profile, ranking, registry, spans, subset, taxonomy, windows
 from cartula.operators.components import components
+from cartula.functions.sql import register
+from cartula.plans import corpora
 from cartula.plans.analysis import analyse
 from cartula.plans.lineage import broadcast_within, spread, table
 
@@ -83,16 +85,18 @@ def iban_hits(s, d):
 _VAT = "list_sum(list_transform(range(1, 11), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({0}, i, 1) AS INTEGER) ELSE (CAST(substr({0}, i, 1) AS INTEGER) * 2) // 10 + (CAST(substr({0}, i, 1) AS INTEGER) * 2) % 10 END))"
 
 
+# A decimal digit of any script: scripts have theirs in one run, so it is worth as many as there are digits just before it.
+_ASCII = "array_to_string(list_transform(string_split(value, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(len(list_filter(range(1, 10), lambda k: len(list_filter(range(1, k + 1), lambda j: NOT regexp_matches(chr(CAST(ord(c) - j AS INTEGER)), '\\p{Nd}'))) = 0)) AS VARCHAR) END), '')"
+
+
 @query(
     f"""
-WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS value FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]') OR text IS NOT NULL)
-SELECT doc_id, value, CAST(count(*) AS BIGINT) AS hits FROM d WHERE length(value) = 11
-AND (10 - {_VAT.format('value')} % 10) % 10 = CAST(substr(value, 11, 1) AS INTEGER) GROUP BY ALL"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{Nd}}+')) AS value FROM documents), e AS (SELECT doc_id, value, {_ASCII} AS ten FROM d WHERE length(value) = 11)
+SELECT doc_id, value, CAST(count(*) AS BIGINT) AS hits FROM e WHERE (10 - {_VAT.format('ten')} % 10) % 10 = CAST(substr(ten, 11, 1) AS INTEGER) GROUP BY ALL"""
 )
 def piva_hits(s, d):
-    """VAT numbers of each document that pass their check (ASCII digits)."""
-    one = detect.detect(_docs(s, d), "doc_id", "text", [x for x in detect.DETECTORS if x.label == "PIVA"])
-    return one.where(F.col("value").rlike("^[0-9]{11}$")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("hits"))
+    """VAT numbers of each document that pass their check, in digits of any script."""
+    return _hits(s, d, "PIVA")
 
 
 _UW = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -161,12 +165,60 @@ def anonymized_documents(s, d):
     return rows.select("doc_id", "anonymized_text", F.to_json("mapping").alias("mapping"), "n_chunks", "n_chars", "n_entities", "n_unique")
 
 
-@query("SELECT doc_id, TRUE AS same FROM documents WHERE text IS NOT NULL")
+_MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+
+
+def _mailed(s: SparkSession, d: str) -> DataFrame:
+    return analyse(_docs(s, d), "text", detectors=[x for x in detect.DETECTORS if x.label == "EMAIL"])
+
+
+# Gaps and matches in turn, each value under its first form in the document.
+_GAPS = f"""
+WITH t AS (SELECT doc_id, regexp_split_to_array(text, '{_MAIL}') AS g, regexp_extract_all(text, '{_MAIL}') AS m FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, unnest(m) AS value, generate_subscripts(m, 1) AS i FROM t),
+f AS (SELECT doc_id, lower(value) AS k, min(i) AS first, arg_min(value, i) AS form FROM v GROUP BY 1, 2),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS n FROM f),
+e AS (SELECT v.doc_id, list(n.form ORDER BY v.i) AS forms, list('[EMAIL_' || n.n || ']' ORDER BY v.i) AS marks FROM v JOIN n ON n.doc_id = v.doc_id AND n.k = lower(v.value) GROUP BY 1)
+"""
+
+
+def _joined(parts: str) -> str:
+    return f"SELECT t.doc_id, CASE WHEN e.doc_id IS NULL THEN g[1] ELSE array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce({parts}, '')), '') END AS text FROM t LEFT JOIN e USING (doc_id)"
+
+
+@query(_GAPS + _joined("forms[i]"))
 def restore_roundtrip(s, d):
-    """Whether a document, pseudonymised and restored, is the same again but for letter case and spaces of repeated values."""
-    rows = analyse(_docs(s, d), "text")
-    back = spans.restore_exact(F.col("anonymized_text"), F.col("mapping"))
-    return rows.select("doc_id", (tx.same_value(back) == tx.same_value(F.col("text"))).alias("same"))
+    """Each document with its addresses replaced and put back: as it was, but for repeated addresses in their first form."""
+    rows = _mailed(s, d)
+    return rows.select("doc_id", spans.restore_exact(F.col("anonymized_text"), F.col("mapping")).alias("text"))
+
+
+@query(_GAPS + _joined("marks[i]"))
+def pseudonymised_addresses(s, d):
+    """Each document with placeholders for its addresses."""
+    return _mailed(s, d).select("doc_id", F.col("anonymized_text").alias("text"))
+
+
+@query(_GAPS + _joined("CASE WHEN i <= len(marks) THEN '[EMAIL]' END"))
+def masked_addresses(s, d):
+    """Each document with its addresses masked for good."""
+    return _mailed(s, d).select("doc_id", F.col("masked_text").alias("text"))
+
+
+@query(_GAPS + """, p AS (SELECT doc_id, unnest(m) AS value, generate_subscripts(m, 1) AS i, g, m FROM t)
+SELECT doc_id, value, CAST(list_sum(list_transform(range(1, i + 1), lambda j: length(g[j]))) + coalesce(list_sum(list_transform(range(1, i), lambda j: length(m[j]))), 0) AS INTEGER) AS start FROM p""")
+def address_offsets(s, d):
+    """Where each address stands, in code points."""
+    one = detect.detect(_docs(s, d), "doc_id", "text", [x for x in detect.DETECTORS if x.label == "EMAIL"])
+    return one.select("doc_id", "value", "start")
+
+
+@query(_GAPS + """SELECT t.doc_id, CAST(length(array_to_string(g, '')) + coalesce(list_sum(list_transform(m, lambda x: length(x))), 0) AS INTEGER) AS n_chars, CAST(len(m) AS INTEGER) AS n_entities,
+ CAST(coalesce(q.n, 0) AS INTEGER) AS n_unique, CAST(CASE WHEN len(m) > 0 THEN len(m) END AS INTEGER) AS by_label, CAST(CASE WHEN len(m) > 0 THEN len(m) END AS INTEGER) AS by_source
+ FROM t LEFT JOIN (SELECT doc_id, count(*) AS n FROM n GROUP BY 1) q USING (doc_id)""")
+def analysis_counts(s, d):
+    """Characters, addresses, different ones, and the counts by label and by source of the whole analysis."""
+    return _mailed(s, d).select("doc_id", "n_chars", "n_entities", "n_unique", F.col("by_label")["EMAIL"].alias("by_label"), F.col("by_source")["regex"].alias("by_source"))
 
 
 @query(
@@ -183,6 +235,37 @@ def email_dictionary(s, d):
     return numbered.groupBy("doc_id", "ph").agg(F.min_by("value", "start").alias("value"))
 
 
+_W = _UW[1:-1]
+
+
+@query(
+    rf"""WITH r AS (SELECT rec_id, source_text AS text, unnest(entities) AS e, generate_subscripts(entities, 1) - 1 AS i FROM {SYN} WHERE source_text IS NOT NULL AND entities IS NOT NULL),
+c AS (SELECT rec_id, text, e.ent_label AS label, greatest(0, e.ent_start + k * (i % 4) - k) AS a, e.ent_end + 2 * k AS b, i % 3 = 0 AND k = 0 AS ok, CASE WHEN (i + k) % 2 = 0 THEN 'regex' ELSE 'model' END AS src, 0.5 + (i % 2) * 0.25 AS score, k * 1000 + i AS ord
+ FROM r CROSS JOIN (VALUES (0), (1)) v(k)),
+l AS (SELECT rec_id, any_value(text) AS text, list([struct_pack(p := CASE WHEN ok THEN 0 ELSE 1 END, q := CASE WHEN src = 'regex' THEN 0 ELSE 1 END, s := -score, d := a - b, o := ord, label := label, a := a, b := b)] ORDER BY ok DESC, src = 'regex' DESC, score DESC, b - a DESC, ord) AS c FROM c GROUP BY rec_id),
+k AS (SELECT rec_id, text, unnest(list_reduce(c, lambda x, y: CASE WHEN len(list_filter(x, lambda z: z.b > y[1].a AND z.a < y[1].b)) = 0 THEN list_concat(x, y) ELSE x END)) AS z FROM l),
+t AS (SELECT rec_id, z, substr(text, z.a + 1, z.b - z.a) AS v FROM k)
+SELECT rec_id, z.label AS label, CAST(z.a + length(v) - length(regexp_replace(v, '^[{_W}]+', '')) AS INTEGER) AS start, CAST(z.o AS INTEGER) AS ord, regexp_replace(regexp_replace(v, '^[{_W}]+', ''), '[{_W}]+$', '') AS value
+FROM t WHERE regexp_replace(v, '[{_W}]+', '', 'g') <> ''"""
+)
+def merged_spans(s, d):
+    """The spans that stay when each gold entity competes with a moved copy of itself and its neighbours."""
+    rows = table(s, d, SYN).where("source_text is not null and entities is not null")
+
+    def moved(k: int):
+        return F.transform(
+            "entities",
+            lambda e, i: F.struct(
+                e["ent_label"].alias("label"), F.greatest(F.lit(0), e["ent_start"] + k * (i % 4) - k).alias("start"), (e["ent_end"] + 2 * k).alias("end"), (0.5 + (i % 2) * 0.25).cast("double").alias("score"),
+                ((i % 3 == 0) & F.lit(k == 0)).alias("validated"), F.when((i + k) % 2 == 0, "regex").otherwise("model").alias("source"), (i + 1000 * k).alias("ord"),
+            ),
+        )
+
+    one = rows.select("rec_id", "source_text", F.explode(spans.merge(F.concat(moved(0), moved(1)).cast(detect.Candidates), F.col("source_text"))).alias("k"))
+    value = F.substring("source_text", F.col("k.start") + 1, F.col("k.end") - F.col("k.start"))
+    return one.select("rec_id", "k.label", "k.start", "k.ord", value.alias("value"))
+
+
 @query()
 def masked_documents(s, d):
     """Documents with each entity as its label."""
@@ -260,7 +343,13 @@ def chunk_counts(s, d):
     return rows.withColumn("n_chunks", windows.count_windows(F.col("n_words")))
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_UW[1:-1]}]+') AS w, regexp_split_to_array(text, '[^{_UW[1:-1]}]+') AS g FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, text, w, g, len(w) AS n, unnest(range(0, CAST(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 120 THEN 1 ELSE 1 + ceil((len(w) - 120) / 100.0) END AS BIGINT))) AS k FROM t),
+o AS (SELECT *, 100 * k + 1 AS a, least(100 * k + 120, n) AS b, list_sum(list_transform(range(1, 100 * k + 2), lambda j: length(g[j]))) + coalesce(list_sum(list_transform(range(1, 100 * k + 1), lambda j: length(w[j]))), 0) AS pos FROM c)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(pos AS INTEGER) AS "offset",
+ substr(text, CAST(pos AS BIGINT) + 1, CAST(list_sum(list_transform(range(a, b + 1), lambda j: length(w[j]))) + coalesce(list_sum(list_transform(range(a + 1, b + 1), lambda j: length(g[j]))), 0) AS BIGINT)) AS text FROM o"""
+)
 def chunk_windows(s, d):
     """The windows of each document."""
     return _docs(s, d).select("doc_id", F.inline(windows.windows(F.col("text"))))
@@ -276,7 +365,22 @@ def token_counts(s, d):
     return table(s, d, SYN).select(F.explode(tx.tokens(F.col("source_text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + _UW[1:-1] + "]"
+
+
+def _encoded(label: str, order: str, begins: str, entities: str = "entities") -> str:
+    """Tokens with offsets, the entity that holds each, and its label."""
+    return rf"""WITH r AS (SELECT rec_id, source_text, {entities} AS entities FROM {SYN} WHERE source_text IS NOT NULL AND entities IS NOT NULL),
+m AS (SELECT *, regexp_extract_all(source_text, '{_TOKEN}') AS w, regexp_split_to_array(source_text, '{_TOKEN}') AS g FROM r),
+t AS (SELECT rec_id, unnest(w) AS w, unnest(g[:len(w)]) AS g, generate_subscripts(w, 1) AS i FROM m),
+p AS (SELECT rec_id, w, i, CAST(sum(length(g) + length(w)) OVER (PARTITION BY rec_id ORDER BY i) AS INTEGER) AS e FROM t), q AS (SELECT *, e - length(w) AS s, lag(e - length(w), 1, -1) OVER (PARTITION BY rec_id ORDER BY i) AS before FROM p),
+x AS (SELECT rec_id, unnest(entities) AS e, generate_subscripts(entities, 1) AS o FROM r), y AS (SELECT rec_id, o, {label} AS label, e.ent_start AS a, e.ent_end AS b FROM x),
+h AS (SELECT q.rec_id, q.i, arg_min(struct_pack(label := y.label, a := y.a), {order}) AS h FROM q JOIN y ON y.rec_id = q.rec_id AND q.s >= y.a AND q.e <= y.b WHERE y.label IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT q.rec_id, q.i, q.w, CASE WHEN h.h IS NULL THEN 'O' WHEN {begins} THEN 'B-' || h.h.label ELSE 'I-' || h.h.label END AS l FROM q LEFT JOIN h USING (rec_id, i))
+SELECT r.rec_id, coalesce(string_agg(l.w, ' ' ORDER BY l.i), '') AS tokens, coalesce(string_agg(l.l, ' ' ORDER BY l.i), '') AS labels FROM r LEFT JOIN l USING (rec_id) GROUP BY r.rec_id"""
+
+
+@query(_encoded("e.ent_label", "y.o", "q.s = h.h.a"))
 def bio_encode(s, d):
     """Tokens and labels anew from the synthetic texts and their entities."""
     rows = table(s, d, SYN).where("source_text is not null and entities is not null")
@@ -478,10 +582,10 @@ def semi_select(s, d):
     return subset.fetch(table(s, d, SYN).select("rec_id", "template_id"), broadcast_within(known), "template_id").select("rec_id")
 
 
-@query(f"SELECT v.rec_id FROM {VAL} v WHERE v.tokens IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {TRAIN} t WHERE array_to_string(t.tokens, ' ') = array_to_string(v.tokens, ' '))")
+@query(f"SELECT v.rec_id FROM {VAL} v WHERE v.tokens IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {TRAIN} t WHERE t.tokens = v.tokens)")
 def anti_holdout(s, d):
-    """Evaluation records whose tokens don't stand in the training table."""
-    key = lambda n: table(s, d, n).where("tokens is not null").select("rec_id", F.concat_ws(" ", "tokens").alias("k"))
+    """Evaluation records whose tokens don't stand in the training table; 256-bit hashes of the token lists meet, no texts."""
+    key = lambda n: table(s, d, n).where("tokens is not null").select("rec_id", F.sha2(F.to_json("tokens"), 256).alias("k"))
     return key(VAL).join(key(TRAIN).select("k"), "k", "left_anti").select("rec_id")
 
 
@@ -522,13 +626,13 @@ def slot_difference(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT template_id AS a, CAST(len(tokens) AS BIGINT) + 1000000 AS b FROM {SYN} WHERE template_id IS NOT NULL AND len(tokens) > 300),
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT template_id AS a, CAST(len(tokens) AS BIGINT) + 1000000 AS b FROM {SYN} WHERE template_id IS NOT NULL AND tokens IS NOT NULL),
 u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS c FROM u UNION SELECT u.y, r.c FROM r JOIN u ON u.x = r.x)
 SELECT CAST(x AS BIGINT) AS node, CAST(min(c) AS BIGINT) AS component FROM r GROUP BY x"""
 )
 def linked_templates(s, d):
-    """Components of templates that share the length of a long record."""
-    e = table(s, d, SYN).where("template_id is not null and size(tokens) > 300").select(F.col("template_id").cast("bigint").alias("a"), (F.size("tokens").cast("bigint") + 1000000).alias("b"))
+    """Components of templates that share the length of a record."""
+    e = table(s, d, SYN).where("template_id is not null and tokens is not null").select(F.col("template_id").cast("bigint").alias("a"), (F.size("tokens").cast("bigint") + 1000000).alias("b"))
     return components(e, "a", "b")
 
 
@@ -546,16 +650,21 @@ def template_weights(s, d):
 @query()
 def cleaned_templates(s, d):
     """Templates that can be used: with slots, without unknown ones, without a name written out."""
-    return table(s, d, "legal_templates").select("id", generate.cleaned_template(F.col("text")).alias("text")).where("text is not null")
+    rows = table(s, d, "legal_templates")
+    known = generate.common_words(rows, "text")
+    return rows.select("id", generate.cleaned_template(F.col("text"), common=known).alias("text")).where("text is not null")
 
 
-@query()
+_OUTSIDE = taxonomy.OUTSIDE | {"GIVENNAME": "FULLNAME", "SURNAME": "FULLNAME"}
+
+
+@query(_encoded("map {%s}[e.ent_label]" % ", ".join(f"'{k}': '{v}'" for k, v in _OUTSIDE.items()), "-y.o", "q.before < h.h.a"))
 def outside_bio(s, d):
     """Tokens and labels from list literals of spans, made from the synthetic entities."""
     rows = table(s, d, SYN).where("source_text is not null and entities is not null")
     one = F.transform("entities", lambda e: F.concat(F.lit("["), e["ent_start"].cast("string"), F.lit(", "), e["ent_end"].cast("string"), F.lit(", '"), e["ent_label"], F.lit("_1']")))
     literal = F.concat(F.lit("["), F.array_join(one, ", "), F.lit("]"))
-    t, x = bio.encode_outside(F.col("source_text"), literal, taxonomy.OUTSIDE | {"GIVENNAME": "FULLNAME", "SURNAME": "FULLNAME"})
+    t, x = bio.encode_outside(F.col("source_text"), literal, _OUTSIDE)
     return rows.select("rec_id", F.concat_ws(" ", t).alias("tokens"), F.concat_ws(" ", x).alias("labels"))
 
 
@@ -566,6 +675,42 @@ def cycled_rows(s, d):
     return bio.cycle(docs, "doc_id", 2 * docs.count()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("turns"))
 
 
+_SNIPPETS = {"AGE": ["di anni 44.", "ha {DATE} e anni 61."], "DOCID": ["prot. n. {DOCID}.", "rif. {DOCID};"]}
+
+
+@query(f"SELECT 'first' AS part, CAST(least(300, count(*)) AS BIGINT) AS rows FROM {TRAIN} WHERE len(tokens) > 0 AND len(tokens) = len(bio_labels) UNION ALL SELECT 'second', CAST(least(300, count(*)) AS BIGINT) FROM {VAL} WHERE len(tokens) > 0 AND len(tokens) = len(bio_labels) UNION ALL SELECT 'AGE', 40 UNION ALL SELECT 'DOCID', 40")
+def validation_parts(s, d):
+    """Rows of each part of a validation set of 300, 300 and 40 for each tag that both tables lack."""
+    usable = lambda n: table(s, d, n).where(taxonomy.valid(F.col("tokens"), F.col("bio_labels"))).select("rec_id", "tokens", "bio_labels")
+    return corpora.validation_set(usable(TRAIN), usable(VAL), "rec_id", _SNIPPETS, 300, 40).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"SELECT t AS type, CAST(count(*) AS BIGINT) AS spans FROM (SELECT unnest(entities).ent_label AS t FROM {SYN} WHERE source_text IS NOT NULL) WHERE t NOT IN ({', '.join(repr(k) for k in taxonomy.OUTSIDE)}) GROUP BY 1")
+def dropped_types(s, d):
+    """Types that the outside table lacks, from list literals made of the synthetic entities."""
+    rows = table(s, d, SYN).where("source_text is not null")
+    one = F.transform("entities", lambda e: F.concat(F.lit("["), e["ent_start"].cast("string"), F.lit(", "), e["ent_end"].cast("string"), F.lit(", '"), e["ent_label"], F.lit("_1']")))
+    return corpora.dropped_types(rows.select(F.concat(F.lit("["), F.array_join(one, ", "), F.lit("]")).alias("spans")), "spans")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN template_id > 200 THEN 1 ELSE 0 END) AS BIGINT) AS hits, sum(CASE WHEN template_id > 200 THEN 1 ELSE 0 END) / count(*) AS share FROM {SYN}")
+def new_template_share(s, d):
+    """Share of the synthetic records that come from the templates added last."""
+    return corpora.share_of(table(s, d, SYN), F.col("template_id") > 200)
+
+
+@query(SQL["validated_rate"])
+def validated_rate_sql(s, d):
+    """The same rates by the session's SQL functions."""
+    register(s)
+    table(s, d, SYN).select(F.explode("entities").alias("e")).createOrReplaceTempView("cartula_gold")
+    return s.sql(
+        """SELECT label, count(1) AS n, sum(CASE WHEN ok THEN 1L ELSE 0L END) AS passed, sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(1) AS rate FROM (
+        SELECT e.ent_label AS label, CASE e.ent_label WHEN 'CF' THEN cf_exact(e.ent_value) WHEN 'PIVA' THEN piva_exact(e.ent_value) ELSE iban_exact(e.ent_value) END AS ok
+        FROM cartula_gold WHERE e.ent_label IN ('CF', 'PIVA', 'IBAN')) GROUP BY label"""
+    )
+
+
 # ---- generation and sampling: no SQL, for values come by hash; tests hold their properties
 
 
@@ -576,7 +721,27 @@ def generated_rows(s, d):
     return generate.corpus(keys, "rec_id", table(s, d, "legal_templates").select("id", "text"), {"CATASTO": 4.0, "ORG": 2.0})
 
 
-@query()
+_PLAIN = "substr(source_text, e.ent_start + 1, e.ent_end - e.ent_start)"
+
+
+@query(
+    f"""WITH r AS (SELECT rec_id, len(tokens) AS a, len(bio_labels) AS b, source_text, entities FROM {SYN}),
+x AS (SELECT rec_id, generate_subscripts(entities, 1) AS i, unnest(entities) AS e, source_text FROM r),
+y AS (SELECT rec_id, i, e.ent_label AS label, e.ent_value AS value, {_PLAIN} AS found FROM x),
+z AS (SELECT rec_id, i, CASE WHEN found IS DISTINCT FROM value THEN 'offset'
+ WHEN label = 'CF' AND NOT coalesce(regexp_full_match(value, '[0-9A-Z]{{15}}[A-Z]') AND chr(CAST(65 + {_CF_SUM} % 26 AS INTEGER)) = substr(value, 16, 1), FALSE) THEN 'CF'
+ WHEN label = 'PIVA' AND NOT coalesce(regexp_full_match(value, '[0-9]{{11}}') AND (10 - {_VAT.format("CASE WHEN regexp_full_match(value, '[0-9]{11}') THEN value ELSE '00000000000' END")} % 10) % 10 = TRY_CAST(substr(value, 11, 1) AS INTEGER), FALSE) THEN 'PIVA'
+ WHEN label = 'IBAN' AND NOT coalesce(regexp_full_match(value, '[0-9A-Z]+') AND {_MOD97.format("CASE WHEN regexp_full_match(value, '[0-9A-Z]+') THEN substr(value, 5) || substr(value, 1, 4) ELSE '0' END")} = 1, FALSE) THEN 'IBAN' END AS w FROM y),
+f AS (SELECT rec_id, arg_min(w, i) AS w FROM z WHERE w IS NOT NULL GROUP BY 1)
+SELECT r.rec_id, CASE WHEN r.a IS DISTINCT FROM r.b THEN 'length' ELSE f.w END AS error FROM r LEFT JOIN f USING (rec_id) WHERE r.a IS DISTINCT FROM r.b OR f.w IS NOT NULL"""
+)
+def record_errors(s, d):
+    """The first thing wrong with each synthetic record."""
+    rows = table(s, d, SYN).withColumn("entities", F.transform("entities", lambda e: F.struct(e["ent_value"].alias("value"), e["ent_label"].alias("label"), e["ent_start"].alias("start"), e["ent_end"].alias("end"))))
+    return generate.self_check(rows).where("error is not null").select("rec_id", "error")
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS rec_id, CAST(NULL AS VARCHAR) AS error WHERE FALSE")
 def generated_errors(s, d):
     """What the self-check finds wrong with the generated records: nothing."""
     return generate.self_check(generated_rows(s, d)).where("error is not null").select("rec_id", "error")
@@ -612,8 +777,9 @@ def stratified_subset(s, d):
 
 @query()
 def shuffled_sample(s, d):
-    """A sample of half as many records as there are nations, in seeded order (a sampling operator)."""
-    return subset.shuffled(table(s, d, TRAIN).select("rec_id"), "rec_id", 12)
+    """A tenth of the records, in seeded order (a sampling operator)."""
+    rows = table(s, d, TRAIN).select("rec_id")
+    return subset.shuffled(rows, "rec_id", rows.count() // 10)
 
 
 @query(f"SELECT t.template_id, CAST(least(t.n, 3) AS BIGINT) AS picked FROM (SELECT template_id, count(*) AS n FROM {SYN} GROUP BY 1) t")

@@ -6,6 +6,8 @@ from cleaning functions only where the text itself is null; every other bad inpu
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,9 +77,19 @@ def piva_exact(s: Column) -> Column:
     return let(s, lambda x: F.coalesce(F.when(x.rlike("^[0-9]{11}$"), vat_digit(x) == _at(x, 10)), F.lit(False)))
 
 
+# Decimal digits of the first plane of Unicode that aren't ASCII.
+_DIGITS = "".join(chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c)) == "Nd")
+
+
+def digits(s: Column) -> Column:
+    """The decimal digits of a text, of whatever script, as ASCII digits."""
+    plain = F.when(s.rlike(r"^\p{ASCII}*$"), s).otherwise(F.translate(s, _DIGITS, "".join(str(unicodedata.digit(c)) for c in _DIGITS)))
+    return F.regexp_replace(plain, r"[^0-9]", "")
+
+
 def piva_ok(s: Column) -> Column:
-    """The same after leaving out what is no digit."""
-    return piva_exact(F.regexp_replace(s, r"[^0-9]", ""))
+    """The same after leaving out what is no digit; digits of any script count."""
+    return piva_exact(digits(s))
 
 
 def mod97(s: Column) -> Column:
@@ -98,9 +110,8 @@ def iban_ok(s: Column) -> Column:
 
 
 def luhn_ok(s: Column) -> Column:
-    """Whether the digits of a text are 13 to 19 and pass the Luhn check."""
-    digits = F.regexp_replace(s, r"[^0-9]", "")
-    return let(digits, lambda x: F.coalesce(F.length(x).between(13, 19) & F.call_function("luhn_check", x), F.lit(False)))
+    """Whether the digits of a text, of any script, are 13 to 19 and pass the Luhn check."""
+    return let(digits(s), lambda x: F.coalesce(F.length(x).between(13, 19) & F.call_function("luhn_check", x), F.lit(False)))
 
 
 def piva_build(ten: Column) -> Column:

@@ -85,3 +85,11 @@ def templates(spark: SparkSession, path: str, known: list[str] | None = None) ->
 def write(df: DataFrame, path: str) -> None:
     """JSON lines, one file a partition."""
     df.write.mode("overwrite").json(path)
+
+
+def write_report(summary: DataFrame, tags: DataFrame, path: str) -> None:
+    """Metrics of an evaluation under ``path``: ``metrics`` as one JSON object with the figures per tag, ``text`` for reading, a line a tag."""
+    per = tags.select(F.struct("type", "support", "precision", "recall", "f1").alias("r")).agg(F.array_sort(F.collect_list("r")).alias("per_tag"))  # as many as tags
+    summary.crossJoin(F.broadcast(per)).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    line = F.format_string("%-20s %8d %.4f %.4f %.4f", "type", "support", "precision", "recall", "f1")
+    tags.orderBy(F.desc("support"), "type").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/text")

@@ -2,15 +2,20 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from cartula.functions import checksums as ck
+from cartula.functions import guards
 from cartula.functions import text as tx
+from cartula.functions.sql import register
 from cartula.functions.names import language_key, name_key, spelling
 from cartula.operators import bio, evaluate, generate, profile, registry, subset, taxonomy, windows
 from cartula.operators.components import components
 from cartula.operators.ranking import hashed_rank, pick_per_group
+from cartula.plans import corpora
 from cartula.sources import jsonl
 from cartula.streaming.anonymize import start
 
@@ -126,11 +131,28 @@ def test_versions(spark):
 def test_stray_names_and_templates(column):
     x = F.col("x")
     texts = ["Il Sig Bianchi vive", "Il Sig. Bianchi vive", "paga Mario Rossi a {CITY}", "Il Tribunale Civile di {CITY}", "niente"]
-    assert [len(s) for s in column(texts, generate.stray_names(x))] == [1, 0, 1, 0, 0]
+    common = ["Il", "Tribunale", "Civile"]
+    assert [len(s) for s in column(texts, generate.stray_names(x, common))] == [1, 0, 1, 0, 0]
     fenced = ["```\nil {CITY}\n```", "il {NOPE}", "niente", None, "di Mario Rossi {CITY}"]
     assert column(fenced, generate.cleaned_template(x)) == ["il {CITY}", None, None, None, None]
 
 
+def test_common_words_come_from_templates(spark):
+    rows = [("Il Tribunale di {CITY}",), ("Il Tribunale civile",), ("Al Tribunale va Bianchi",), ("Il Civile",), (None,)]
+    assert generate.common_words(spark.createDataFrame(rows, "text string"), "text") == ["Civile", "Di", "Il", "Tribunale", "Va"]
+    assert generate.common_words(spark.createDataFrame([], "text string"), "text") == []
+
+
+def test_drawn_names_and_numbers(spark):
+    rows = spark.range(300)
+    d = lambda what: generate.Draw(F.col("id"), F.lit(what))
+    got = rows.select(generate.act(d("a")).alias("a"), generate.docket(d("b")).alias("b"), generate.land_register(d("c")).alias("c"), generate.organisation_name(d("d")).alias("d")).collect()
+    assert {re.sub("[0-9]", "#", re.sub("[A-Z]", "@", r["a"][0]["text"])) for r in got} == {"####-####", "@@ ######", "####.#", "###/@/####"}
+    assert all(re.fullmatch("[1-9][0-9]{1,4}/20[0-9]{2}", r["b"][0]["text"]) for r in got)
+    assert {sum(p["label"] == "CATASTO" for p in r["c"]) for r in got} == {2, 3}
+    assert all(r["d"] for r in got) and len({r["d"] for r in got}) > 150
+
+
 def test_weights_and_choice(spark):
     t = spark.createDataFrame([(1, "{ORG} e {CITY}"), (2, "{CITY}"), (3, "{JUDGE}")], "id int, text string")
     w = {r["id"]: r["weight"] for r in generate.template_weights(t, "id", "text", {"ORG": 6.0, "FULLNAME": 2.0}).collect()}
@@ -161,6 +183,45 @@ def test_sources(spark, tmp_path):
     assert jsonl.training(spark, str(tmp_path / "out")).collect() == [(["d"], ["O"])]
 
 
+def test_report_sink(spark, tmp_path):
+    df = spark.createDataFrame([("B-A I-A O B-B".split(), "B-A I-A O B-C".split())], "g array<string>, p array<string>")
+    tags = evaluate.per_tag(df, "g", "p")
+    jsonl.write_report(evaluate.summary(tags), tags, str(tmp_path))
+    got = spark.read.json(str(tmp_path / "metrics")).first()
+    assert got["precision"] == 0.5 and [r["type"] for r in got["per_tag"]] == ["A", "B", "C"]
+    assert spark.read.text(str(tmp_path / "text")).count() == 3
+
+
+def test_guards():
+    assert guards.rows_asked(1) == 1 and guards.handle(" Anna.B-1_x ") == "AnnaB-1_x"
+    for bad in (0, 200_001):
+        with pytest.raises(ValueError):
+            guards.rows_asked(bad)
+    with pytest.raises(ValueError):
+        guards.handle(" ./ ")
+
+
+def test_sql_functions_equal_columns(spark):
+    register(spark)
+    values = ["RSSMRA85M01H501Q", "rssmra85m01h501q ", "12345678903", "1234567890 3", "00000000000", "IT60X0542811101000000123456", "it60 x0542811101000000123456", "4111 1111 1111 1111", "", "x", None]
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    for name in ("cf_exact", "cf_ok", "piva_exact", "piva_ok", "iban_exact", "iban_ok", "luhn_ok"):
+        got = df.select(F.expr(f"{name}(x)").alias("a"), getattr(ck, name)(F.col("x")).alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got], name
+
+
+def test_validation_set_and_snippets(spark):
+    rows = spark.createDataFrame([(i, ["Fine", ".", f"w{i}"], ["O", "O", "B-CITY"]) for i in range(6)], "k int, tokens array<string>, bio_labels array<string>")
+    got = corpora.validation_set(rows, rows.where("k < 2"), "k", {"DOCID": ["n. {DOCID}."]}, 4, 5).collect()
+    assert {p: sum(r["part"] == p for r in got) for p in ("first", "second", "DOCID")} == {"first": 4, "second": 2, "DOCID": 5}
+    for r in got:
+        assert len(r["tokens"]) == len(r["bio_labels"]) and ("B-DOCID" in r["bio_labels"]) == (r["part"] == "DOCID") and "B-CITY" in r["bio_labels"]
+    more = corpora.enriched(rows, "k", {"A": ["x."], "B": ["y."]}, 14).collect()
+    assert sorted(r["turn"] for r in more) == list(range(14)) and {len(r["tokens"]) for r in more} == {5, 7}
+    assert corpora.enriched(rows, "k", {}, 3).count() == corpora.enriched(rows.limit(0), "k", {"A": ["x."]}, 3).count() == 0
+    assert corpora.share_of(rows.limit(0), F.col("k") > 1).first()["share"] == 0.0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     spark.createDataFrame([("scrivi a a@b.it",), (None,), ("",)], "x string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("x string").parquet(str(tmp_path / "in"))
