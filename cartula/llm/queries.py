@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartula.llm import budget, calibration, chunks, leakage, mixture, splits, tokenizer, truncation
-from cartula.plans.lineage import cut, table
+from cartula.functions.names import name_key
+from cartula.plans.lineage import checkpoint_folder, cut, table
 
 
 def _sampled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -62,6 +65,27 @@ def p2_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return _totals(spark, folder)
 
 
+def p2_updated(spark: SparkSession, folder: str) -> DataFrame:
+    """The totals after a second run of the kept state: first over an earlier snapshot of the table, in which a tenth of the rows were
+    absent, a tenth had other tokens and another source, and a tenth more stood that are gone since; then over the table as it is."""
+    rows = table(spark, folder, "train_subset_10k")
+    part = F.pmod(F.xxhash64("rec_id"), F.lit(10))
+    changed = part == 1
+    now = {"tokens": F.when(changed, F.concat("tokens", F.array(F.lit("prima")))).otherwise(F.col("tokens")), "source": F.when(changed, F.lit("earlier")).otherwise(F.col("source"))}
+    gone = rows.where(part == 2).withColumn("rec_id", -F.col("rec_id") - 1)
+    earlier = rows.where(part != 0).withColumns(now).unionByName(gone)
+    read = lambda df: budget.documents(df, "rec_id", "tokens", "source", "language", "subject_domain")
+    path = f"{checkpoint_folder(spark)}/budget-{uuid.uuid4().hex}"
+    budget.maintain(read(earlier), path)
+    return budget.maintain(read(rows), path)
+
+
+def p2_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per source, language and domain after the second run; the source under its key."""
+    t = p2_updated(spark, folder).select(name_key(F.col("source")).alias("source"), "language", name_key(F.col("subject_domain")).alias("subject_domain"), "documents")
+    return t
+
+
 def p2_cube(spark: SparkSession, folder: str) -> DataFrame:
     """The same with all roll-ups."""
     return budget.cube(_totals(spark, folder))
@@ -144,6 +168,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p2_token_budget": p2_token_budget,
+    "p2_updated": p2_updated,
+    "p2_documents": p2_documents,
     "p2_cube": p2_cube,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
@@ -174,6 +200,7 @@ t AS (SELECT *, CASE field_name WHEN 'source' THEN {_NAME.format("category")} EL
 """
 
 SQL: dict[str, str] = {
+    "p2_documents": f"SELECT {_NAME.format('source')} AS source, {_LANG} AS language, {_NAME.format('subject_domain')} AS subject_domain, CAST(count(*) AS BIGINT) AS documents FROM train_subset_10k GROUP BY 1, 2, 3",
     "p5_found": _NEEDS + "SELECT t.plan_id, t.category FROM t LEFT JOIN c ON c.field_name = t.field_name AND c.k = t.k WHERE coalesce(c.n, 0) < t.need",
     "p5_drawn": _NEEDS + """SELECT t.plan_id, t.category, CAST(t.need AS BIGINT) AS need, CAST(coalesce(c.n, 0) AS BIGINT) AS available,
  CASE WHEN t.field_name <> 'bio_labels' THEN CAST(least(t.need, coalesce(c.n, 0)) AS BIGINT) END AS drawn FROM t LEFT JOIN c ON c.field_name = t.field_name AND c.k = t.k""",

@@ -148,6 +148,23 @@ def test_budget_by_differences_equals_a_new_count(spark, public):
     assert budget.first_run(spark, docs(rows).limit(0))[1].count() == 0
 
 
+def test_kept_state_equals_a_new_count(spark, data, tmp_path, monkeypatch):
+    assert sorted(map(repr, queries.p2_updated(spark, data).collect())) == sorted(map(repr, queries.p2_token_budget(spark, data).collect()))
+    rows = lambda *r: budget.documents(spark.createDataFrame(list(r), "k bigint, t array<string>, s string, l string, d string"), "k", "t", "s", "l", "d")
+    one, two, odd = (1, ["ciao", "a", "tutti"], "A", "it", "x"), (2, ["ciao"], None, None, None), (3, None, "A", "it", "x")
+    path, called = str(tmp_path / "state"), []
+    monkeypatch.setattr(budget, "count_tokens", lambda df, *a, **k: called.append(df.count()) or tokenizer.count_tokens(df, *a, **k))
+    budget.maintain(rows(one, two, odd), path)
+    assert called == [3] and budget.maintain(rows(one, two, odd), path).count() == 2 and called == [3, 0]
+    last = {r["source"]: (r["documents"], r["tokens"]) for r in budget.maintain(rows(one), path).collect()}  # two documents removed
+    assert list(last) == ["a"] and last["a"][0] == 1 and called == [3, 0, 0]
+    monkeypatch.setattr(budget, "tokenizer_key", lambda p=None: "another")
+    assert budget.maintain(rows(one, two), path).count() == 2 and called[-1] == 2 and [t for _, t in budget.runs(spark, path)][-1] == "another"
+    assert budget.maintain(rows(one).limit(0), path).count() == 0
+    with pytest.raises(Exception, match="no count"):
+        budget.deltas(spark.createDataFrame([], budget.STATE), rows(one), spark.createDataFrame([], budget.COUNTS)).collect()
+
+
 # ---- 3
 
 SENTENCES = [
