@@ -28,8 +28,12 @@ from cartula.plans.lineage import cut
 SHINGLE = 6
 #: Records are covered in blocks of so many words, which bounds the work on a very long one.
 BLOCK = 512
-#: Counters of the two frequency sketches, and bits of the map of indexed shingles: fixed, whatever the corpus.
-COUNTERS, MAP_BITS = 1 << 19, 26
+#: Counters of the two frequency sketches: fixed, whatever the corpus.
+COUNTERS = 1 << 19
+#: The map of indexed shingles has 2 to the power of so many bits: 16 to 32 for each shingle, at least and at most (128 MB).
+LEAST_BITS, MOST_BITS = 20, 30
+#: Parts into which the training rows of a shingle are split, so that a common one isn't one task.
+SALTS = 8
 #: 64-bit words of the parity signature.
 SIGNATURE = 4
 
@@ -264,17 +268,18 @@ def _index(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
     return texts.select("rep", "h").mapInArrow(run, "key bigint, rep bigint, place int, n int, " + ", ".join(f"{s} bigint" for s in _SIG))
 
 
-def _map_of(index: DataFrame) -> np.ndarray:
-    """A bit for each indexed shingle, in a map of fixed size."""
-    place = F.shiftrightunsigned("key", 64 - MAP_BITS)
-    words = index.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, " + str(64 - MAP_BITS) + ") & 63 as int))").alias("bit"))
+def _map_of(index: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each indexed shingle, and the power of two of the bits; beyond MOST_BITS the map only lets more through."""
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * index.count()).bit_length()))
+    place = F.shiftrightunsigned("key", 64 - power)
+    words = index.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - power}) & 63 as int))").alias("bit"))
     got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << MAP_BITS - 6, dtype=np.int64)
+    out = np.zeros(1 << power - 6, dtype=np.int64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out.view(np.uint64)
+    return out.view(np.uint64), power
 
 
-def _probe(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+def _probe(texts: DataFrame, bits: np.ndarray, power: int) -> DataFrame:
     """Every shingle of the training texts that the map of indexed shingles may hold."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
@@ -292,7 +297,7 @@ def _probe(texts: DataFrame, bits: np.ndarray) -> DataFrame:
                     if len(flat) < length:
                         break
                     key = _shingle(flat, length)
-                    where = key >> np.uint64(64 - MAP_BITS)
+                    where = key >> np.uint64(64 - power)
                     k = len(key)
                     hit = (bits[(where >> np.uint64(6)).astype(np.int64)] >> (where & np.uint64(63)) & np.uint64(1)).astype(bool)
                     at_ = np.flatnonzero(hit & (place[:k] + length <= sizes[owner[:k]]))
@@ -305,52 +310,59 @@ def _probe(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     return texts.select("rep", "h").mapInArrow(run, "key bigint, rep bigint, place int, n int, " + ", ".join(f"{s} bigint" for s in _SIG))
 
 
-def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str, tokens: str = "tokens") -> DataFrame:
-    """(``train_id``, ``eval_id``): every pair of a training and an evaluation record that are near each other.
-
-    Rows whose tokens are null, empty or hold no word never count; copies inside a table count each. Equal texts
-    are joined once and expanded at the end. Very short records (under five words) must be equal. Empty tables
-    give no rows; columns other than the key and the tokens are not read.
-    """
+def _matches(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str, tokens: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs of near texts by their least ids ``t`` and ``v``, training rows with ``t``, evaluation rows with ``v``)."""
     t = cut(_classes(read_words(train, train_key, tokens)))
     v = cut(_classes(read_words(evaluation, eval_key, tokens)))
     tt, vt = cut(_texts(t)), cut(_texts(v))
     words, pairs = _sketch(tt)
     index = cut(_index(vt, words, pairs))
-    a, b = index.alias("a"), _probe(tt, _map_of(index)).alias("b")
+    a = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("a")
+    b = _probe(tt, *_map_of(index)).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).alias("b")
     room = F.expr("greatest(a.n, b.n) div 5")
     right = F.abs((F.col("a.n") - F.col("a.place")) - (F.col("b.n") - F.col("b.place")))
     turned = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _SIG), F.lit(0))
     near = (F.abs(F.col("a.place") - F.col("b.place")) + right <= room) & (turned <= 2 * room)
-    pairs_ = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("b.rep").alias("t"), F.col("a.rep").alias("v")).distinct()
+    pairs_ = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & near).select(F.col("b.rep").alias("t"), F.col("a.rep").alias("v")).distinct()
     told = (
         pairs_.join(tt.select(F.col("rep").alias("t"), F.col("words").alias("tw")), "t")
         .join(vt.select(F.col("rep").alias("v"), F.col("words").alias("vw")), "v")
         .where(_near("tw", "vw"))
         .select("t", "v")
     )
-    tm = t.select("id", "cls").join(t.groupBy("cls").agg(F.min("id").alias("t")), "cls").select("t", F.col("id").alias("train_id"))
-    vm = v.select("id", "cls").join(v.groupBy("cls").agg(F.min("id").alias("v")), "cls").select("v", F.col("id").alias("eval_id"))
-    return told.join(tm, "t").join(vm, "v").select("train_id", "eval_id")
+    least = lambda rows, name: rows.select("id", "cls").join(rows.groupBy("cls").agg(F.min("id").alias(name)), "cls").select(name, "id")
+    return told, least(t, "t"), least(v, "v")
 
 
-def overlap_report(pairs: DataFrame, evaluation: DataFrame, key: str, split: str, source: str) -> DataFrame:
-    """Per split and source of the evaluation record: records, records with an overlap, share and pairs.
+def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str, tokens: str = "tokens") -> DataFrame:
+    """(``train_id``, ``eval_id``): every pair of a training and an evaluation record that are near each other.
 
-    A missing source or split, however written, is reported as null.
+    Rows whose tokens are null, empty or hold no word never count; copies inside a table count each. Equal texts
+    are joined once and expanded at the end. Where both records have under five words they must be equal. Empty tables
+    give no rows; columns other than the key and the tokens are not read.
     """
-    linked = pairs.groupBy(F.col("eval_id").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    rows = evaluation.select(F.col(key).alias("id"), F.lower(F.trim(split)).alias("split"), named(F.col(source)).alias("source"))
-    return (
-        rows.join(linked, "id", "left")
-        .groupBy("split", "source")
-        .agg(
-            F.count(F.lit(1)).alias("records"),
-            F.count("links").alias("overlapping"),
-            (F.count("links") / F.count(F.lit(1))).alias("share"),
-            F.coalesce(F.sum("links"), F.lit(0)).alias("pairs"),
-        )
-    )
+    told, t, v = _matches(train, evaluation, train_key, eval_key, tokens)
+    return told.join(t.withColumnRenamed("id", "train_id"), "t").join(v.withColumnRenamed("id", "eval_id"), "v").select("train_id", "eval_id")
+
+
+def links(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key: str, tokens: str = "tokens") -> DataFrame:
+    """(``id``, ``links``): evaluation records with a near training record and how many there are, from the sizes of the groups of
+    equal texts; no pair is expanded."""
+    told, t, v = _matches(train, evaluation, train_key, eval_key, tokens)
+    sizes = t.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return told.join(sizes, "t").groupBy("v").agg(F.sum("n").alias("links")).join(v, "v").select("id", "links")
+
+
+def overlap_report(linked: DataFrame, evaluation: DataFrame, key: str, split: str, source: str) -> DataFrame:
+    """Per split and source of the evaluation record: records, records with an overlap (``linked``, see links), share and pairs.
+
+    A missing source or split, however written, is reported as null; names that differ only in their spelling are one.
+    """
+    rows = evaluation.select(F.col(key).alias("id"), F.lower(F.trim(split)).alias("split"), named(F.col(source)).alias("source"), name_key(F.col(source)).alias("name"))
+    joined = rows.join(linked, "id", "left")
+    spelled = joined.groupBy("split", "name", "source").agg(F.count(F.lit(1)).alias("records"), F.count("links").alias("overlapping"), F.coalesce(F.sum("links"), F.lit(0)).alias("pairs"))
+    per = spelled.groupBy("split", "name").agg(F.max_by("source", F.struct("records", "source")).alias("source"), *[F.sum(c).alias(c) for c in ("records", "overlapping", "pairs")])
+    return per.select("split", "source", "records", "overlapping", (F.col("overlapping") / F.col("records")).alias("share"), "pairs")
 
 
 def named(source: Column) -> Column:

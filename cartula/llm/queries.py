@@ -52,7 +52,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlapping evaluation records per split and source."""
     t, v = table(spark, folder, "deepmount_pii_it_train"), table(spark, folder, "validation_real")
-    return leakage.overlap_report(leakage.overlaps(t, v, "rec_id", "rec_id"), v, "rec_id", "split", "source")
+    return leakage.overlap_report(leakage.links(t, v, "rec_id", "rec_id"), v, "rec_id", "split", "source")
 
 
 def _totals(spark: SparkSession, folder: str) -> DataFrame:
