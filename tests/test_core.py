@@ -15,7 +15,7 @@ from cartula.functions.names import language_key, name_key, spelling
 from cartula.operators import bio, evaluate, generate, profile, registry, subset, taxonomy, windows
 from cartula.operators.components import components
 from cartula.operators.ranking import hashed_rank, pick_per_group
-from cartula.plans import corpora
+from cartula.plans import corpora, lineage
 from cartula.sources import jsonl
 from cartula.streaming.anonymize import start
 
@@ -56,8 +56,30 @@ def test_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame([*edges, (None, 3)], "a int, b int")
-    assert {r[0]: r[1] for r in components(df, "a", "b").collect()} == {x: find(x) for x in list(parent)}
-    assert components(df.limit(0), "a", "b").count() == 0
+    for few in (0, 1000):  # on the whole cluster, in one task
+        assert {r[0]: r[1] for r in components(df, "a", "b", few).collect()} == {x: find(x) for x in list(parent)}
+        assert components(df.limit(0), "a", "b", few).count() == 0
+
+
+def test_lookup_of_hot_and_missing_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(600)], "id int, k string")
+    small = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 600, 4)]], "k string, v int")
+    want = {i: 1 if i % 3 else None if i % 2 or i % 4 else i for i in range(600)}
+    for bound in (50_000, 5):
+        monkeypatch.setattr(lineage, "BROADCAST_ROWS", bound)
+        got = lineage.lookup(rows, small, "k").collect()
+        assert {r["id"]: r["v"] for r in got} == want and len(got) == 600
+
+
+def test_no_checkpoints_on_a_machine_s_own_disk(monkeypatch):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.checkpoint_folder(Cluster)
 
 
 @pytest.mark.parametrize("n,want", [(0, 0), (1, 1), (120, 1), (121, 2), (220, 2), (221, 3)])
