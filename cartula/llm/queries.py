@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +116,12 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.records_in_splits(spark, table(spark, folder, "synthetic_pii_it_200k"), table(spark, folder, "legal_templates"))
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of each group and in how many splits they are."""
+    told = p4_splits(spark, folder)
+    return told.groupBy("group").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("split").alias("splits"))
+
+
 def _sizes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = mixture.measured(table(spark, folder, "documents"), "doc_id", "text", "source")
     return sizes, mixture.budgets(sizes, table(spark, folder, "mix_targets"))
@@ -161,7 +168,7 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
     """The storage limits that the lengths of all texts show."""
-    return _lengths(spark, folder)[1]
+    return _lengths(spark, folder)[1].withColumn("expected", F.round("expected", 6))
 
 
 QUERIES = {
@@ -175,6 +182,7 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_drawn": p5_drawn,
@@ -199,7 +207,44 @@ t AS (SELECT *, CASE field_name WHEN 'source' THEN {_NAME.format("category")} EL
  greatest(round_even(sample_fraction * (SELECT count(*) FROM u) * target_share, 0), min_rows) AS need FROM sample_targets)
 """
 
+_UNITS = "length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10ffff}]'))"
+_MARKED = "length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))"
+_LINES = "len(regexp_extract_all(text, '\\n')) - len(regexp_extract_all(text, '\\r\\n'))"
+_TWO, _SIX = "len(regexp_extract_all(text, '[\"\\\\\\x08\\x0c\\n\\r\\t]'))", "5 * len(regexp_extract_all(text, '[\\x00-\\x07\\x0b\\x0e-\\x1f]'))"
+_WIDE = "5 * len(regexp_extract_all(text, '[^\\x00-\\x{ffff}]')) * 2 + 5 * len(regexp_extract_all(text, '[\\x80-\\x{ffff}]')) + len(regexp_extract_all(text, '[^\\x00-\\x{ffff}]'))"
+_ENTITY = "list_sum(list_transform(regexp_extract_all(text, '[&<>\"\\x{a0}-\\x{2666}]'), lambda c: coalesce(map {%s}[ord(c)], 0)))" % ", ".join(f"{c}: {len(n) + 1}" for c, n in sorted(html.entities.codepoint2name.items()))
+_MEASURED = {
+    "chars": "length(text)", "utf8": "strlen(text)", "utf16": _UNITS, "markup": _MARKED,
+    "markup_quotes": _MARKED + " + 5 * len(regexp_extract_all(text, '[\"'']'))", "markup_utf8": f"strlen(text) + {_MARKED} - length(text)", "markup_names": f"length(text) + coalesce({_ENTITY}, 0)",
+    "json": f"length(text) + {_TWO} + {_SIX}", "json_utf8": f"strlen(text) + {_TWO} + {_SIX}", "json_ascii": f"length(text) + {_TWO} + {_SIX} + {_WIDE}",
+    "crlf": f"length(text) + {_LINES}", "crlf_utf8": f"strlen(text) + {_LINES}", "lf": "length(text) - len(regexp_extract_all(text, '\\r\\n'))", "lf_utf8": "strlen(text) - len(regexp_extract_all(text, '\\r\\n'))",
+}
+_T = truncation
+_OVER = f"{{0}} >= {_T.EXCESS} * {{1}} AND {{0}} >= {{1}} + {_T.PILE} + {_T.SIGMAS} * sqrt(greatest({{1}}, 0))"
+_STEP, _MORE = round(100_000 * _T.NEAR), _T.LEAST_NEAR / _T.NEAR
+
 SQL: dict[str, str] = {
+    "p8_limits": f"""
+WITH d AS (SELECT DISTINCT {_NAME.format('source')} AS src, text FROM documents WHERE regexp_matches(text, '[^\\s\\x0b\\x00\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200d}}\\x{{2028}}-\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]')),
+l AS (SELECT src, unnest([{", ".join(f"struct_pack(measure := '{m}', size := CAST({x} AS BIGINT))" for m, x in _MEASURED.items())}]) AS x FROM d),
+c AS (SELECT src, x.measure AS measure, x.size AS size, count(*) AS texts, CAST(round(ln(x.size + {_MORE}) * 100000) AS BIGINT) AS scaled FROM l GROUP BY ALL),
+w AS (SELECT *, sum(texts) OVER n AS about, sum(texts) OVER b AS banded, max(texts) OVER b AS most, count(*) OVER b AS kinds, {2 * _T.NEAR} * (size + {_MORE}) AS span FROM c
+ WINDOW n AS (PARTITION BY src, measure ORDER BY scaled RANGE BETWEEN {_STEP} PRECEDING AND {_STEP} FOLLOWING), b AS (PARTITION BY src, measure ORDER BY size RANGE BETWEEN {_T.WORD_BAND} PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, (about - texts) / span AS mean, (about - banded) * {_T.WORD_BAND + 1} / (span - {_T.WORD_BAND + 1}) AS band_mean FROM w),
+f AS (SELECT src, measure, size, scaled, texts, mean AS expected, 0 AS band FROM m WHERE {_OVER.format('texts', 'mean')}
+ UNION ALL SELECT src, measure, size, scaled, banded, band_mean, {_T.WORD_BAND} FROM m WHERE {_OVER.format(f'banded - {_T.PILE}', 'band_mean')} AND kinds >= 3 AND most < 0.5 * banded),
+g AS (SELECT *, max(texts) OVER (PARTITION BY src ORDER BY scaled RANGE BETWEEN {_STEP} PRECEDING AND {_STEP} FOLLOWING) AS best FROM f),
+h AS (SELECT *, max(texts) OVER (PARTITION BY src, measure, band ORDER BY scaled RANGE BETWEEN {_STEP} PRECEDING AND {_STEP} FOLLOWING) AS top,
+ max(CASE WHEN band = 0 THEN texts END) OVER (PARTITION BY src ORDER BY scaled RANGE BETWEEN {_STEP} PRECEDING AND {_STEP} FOLLOWING) AS sharp FROM g WHERE texts >= {_T.AS_WELL} * best)
+SELECT src, measure, CAST(size AS INTEGER) AS size, CAST(texts AS BIGINT) AS texts, round(expected, 6) AS expected, CAST(band AS INTEGER) AS band FROM h WHERE band = 0 OR texts = top AND sharp IS NULL""",
+    "p4_groups": f"""
+WITH RECURSIVE r AS (SELECT rec_id, CASE WHEN template_id IN (SELECT id FROM legal_templates) THEN template_id END AS t,
+ nullif(CASE WHEN regexp_replace(regexp_replace(lower(source), '\\.jsonl[\\s/]*$', ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') NOT IN ('', 'nd', 'null', 'sconosciuta') THEN regexp_replace(regexp_replace(lower(source), '\\.jsonl[\\s/]*$', ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END, '') AS s FROM synthetic_pii_it_200k),
+e AS (SELECT DISTINCT a.t AS x, b.t AS y FROM (SELECT DISTINCT t, s FROM r) a JOIN (SELECT DISTINCT t, s FROM r) b ON a.s = b.s WHERE a.t IS NOT NULL AND b.t IS NOT NULL),
+w AS (SELECT DISTINCT t AS x, t AS y FROM r WHERE t IS NOT NULL UNION SELECT w.x, e.y FROM w JOIN e ON e.x = w.y),
+g AS (SELECT x, min(y) AS m FROM w GROUP BY x), o AS (SELECT s, min(t) AS t FROM r WHERE s IS NOT NULL AND t IS NOT NULL GROUP BY s)
+SELECT CASE WHEN g.m IS NOT NULL THEN 't' || g.m WHEN r.s IS NOT NULL THEN 's' || r.s ELSE 'r' || r.rec_id END AS "group", CAST(count(*) AS BIGINT) AS records, CAST(1 AS BIGINT) AS splits
+FROM r LEFT JOIN o ON r.s = o.s LEFT JOIN g ON g.x = coalesce(r.t, o.t) GROUP BY 1""",
     "p2_documents": f"SELECT {_NAME.format('source')} AS source, {_LANG} AS language, {_NAME.format('subject_domain')} AS subject_domain, CAST(count(*) AS BIGINT) AS documents FROM train_subset_10k GROUP BY 1, 2, 3",
     "p5_found": _NEEDS + "SELECT t.plan_id, t.category FROM t LEFT JOIN c ON c.field_name = t.field_name AND c.k = t.k WHERE coalesce(c.n, 0) < t.need",
     "p5_drawn": _NEEDS + """SELECT t.plan_id, t.category, CAST(t.need AS BIGINT) AS need, CAST(coalesce(c.n, 0) AS BIGINT) AS available,
