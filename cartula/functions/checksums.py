@@ -126,14 +126,22 @@ def iban_build(bank: Column, branch: Column, account: Column) -> Column:
     return let(whole, lambda bban: F.concat(F.lit("IT"), check(bban), bban))
 
 
-# Letters with marks, and the plain letters that they decompose to.
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĖėĘęĚěĞğĪīŁłŃńŇňŌōŐőŘřŚśŞşŠšŢţŤťŪūŮůŰűŹźŻżŽž"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeEeGgIi  NnNnOoOoRrSsSsSsTtTtUuUuUuZzZzZz"
+def _letters(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalpha())
+
+
+# Signs that decompose to one plain letter, and these letters, by the rule of Unicode; and the few that do to more.
+_MARKED = "".join(c for c in map(chr, range(128, 0xFFFF)) if len(_letters(c)) == 1)
+_PLAIN = "".join(map(_letters, _MARKED))
+_DOUBLE = {c: _letters(c) for c in map(chr, range(128, 0xFFFF)) if len(_letters(c)) > 1}
 
 
 def strip_accents(s: Column) -> Column:
-    """Plain capitals of a name: marks off letters, all else out (a letter that doesn't decompose goes, too)."""
-    return F.upper(F.regexp_replace(F.translate(s, _MARKED, _PLAIN), "[^A-Za-z]", ""))
+    """Plain capitals of a name: signs decomposed, marks off letters, all else out (a letter that doesn't decompose goes, too)."""
+    table = F.create_map(*[F.lit(x) for kv in _DOUBLE.items() for x in kv])
+    more = F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(table[c], c)), "")
+    whole = F.when(s.rlike("[" + "".join(_DOUBLE) + "]"), more).otherwise(s)
+    return F.upper(F.regexp_replace(F.translate(whole, _MARKED, _PLAIN), "[^A-Za-z]", ""))
 
 
 def _three(s: Column) -> Column:

@@ -27,7 +27,7 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """Every match of a pattern with its offsets, left to right: array of (value, start, end).
 
-    One scan puts a sign that no text should hold (U+FDD0; read as U+FFFD where one does) around each match; the
+    One scan puts a sign that no text should hold (U+FDD0; read as U+FFFD where one does, values keep it) around each match; the
     text cut at that sign is gap and match in turn, and offsets are running sums of lengths, carried in one fold.
     Null gives null, no match an empty array.
     """
@@ -37,7 +37,8 @@ def matches(text: Column, pattern: str) -> Column:
     def placed(cut: Column) -> Column:
         own = F.filter(cut, lambda x, i: i % 2 == 1)
         starts = F.aggregate(cut, zero, step, lambda a: a["out"])
-        return F.when(F.size(cut) < 2, F.array().cast(Span)).otherwise(F.zip_with(own, starts, lambda x, p: F.struct(x.alias("value"), p.alias("start"), (p + F.length(x)).alias("end"))))
+        value = lambda x, p: F.when(F.contains(text, F.lit(_SIGN)), F.substring(text, p + 1, F.length(x))).otherwise(x)
+        return F.when(F.size(cut) < 2, F.array().cast(Span)).otherwise(F.zip_with(own, starts, lambda x, p: F.struct(value(x, p).alias("value"), p.alias("start"), (p + F.length(x)).alias("end"))))
 
     marked = F.regexp_replace(F.replace(text, F.lit(_SIGN), F.lit("\ufffd")), F.lit(pattern), F.lit(f"{_SIGN}$0{_SIGN}"))
     return F.when(text.isNull(), F.lit(None).cast(Span)).otherwise(let(F.split(marked, _SIGN, -1), placed))
@@ -67,12 +68,19 @@ def parts(template: Column) -> Column:
 
 
 def same_value(text: Column) -> Column:
-    """The key under which values count as one: white space runs as one space, trimmed, without letter case.
+    """The key under which values count as one: white space runs as one space, trimmed, without letter case."""
+    return casefold(F.trim(F.regexp_replace(text, rf"(?U)[{WS}]+", " ")))
 
-    Letter case is folded by small letters, sharp s as ss and final sigma as sigma.
-    """
-    one = F.trim(F.regexp_replace(text, rf"(?U)[{WS}]+", " "))
-    return F.replace(F.replace(F.lower(one), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+# Signs whose folded form isn't their small letter, by the rule of Unicode.
+_FOLDED = {c: c.casefold() for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x20000)]) if c.casefold() != c.lower()}
+
+
+def casefold(text: Column) -> Column:
+    """Without letter case: full case folding, sign by sign (sharp s as ss, any sigma as one)."""
+    table = F.create_map(*[F.lit(x) for kv in _FOLDED.items() for x in kv])
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], F.lower(c)))
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(F.array_join(each, ""))
 
 
 def placeholder(label: Column, n: Column) -> Column:
@@ -85,8 +93,9 @@ def label_of(mark: Column) -> Column:
 
 
 def hue(label: Column) -> Column:
-    """A colour angle that a label always gets: (h * 31 + code) mod 360 over its signs."""
-    return F.aggregate(F.filter(F.split(label, ""), lambda c: c != ""), F.lit(0), lambda h, c: (h * 31 + F.ascii(c)) % 360)
+    """A colour angle that a label always gets: (h * 31 + code) mod 360 over its UTF-16 units."""
+    units = F.regexp_extract_all(F.hex(F.encode(label, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    return F.aggregate(units, F.lit(0), lambda h, c: ((h * 31 + F.conv(c, 16, 10).cast("int")) % 360).cast("int"))
 
 
 def lead(text: Column) -> Column:

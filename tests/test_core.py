@@ -96,11 +96,14 @@ def test_text_functions(column):
     x = F.col("x")
     assert column(["C.F.", "नमस्ते x²", "a_b 😀", None, ""], tx.tokens(x))[:3] == [["C", ".", "F", "."], ["नमस", "्", "त", "े", "x²"], ["a_b", "😀"]]
     assert column(["a {X} b{Y}{Z}"], F.transform(tx.parts(x), lambda p: F.coalesce(p["slot"], p["text"]))) == [["a ", "X", " b", "Y", "Z"]]
-    assert column(["  Straße\n x ", "ΣΑΣ"], tx.same_value(x)) == ["strasse x", "σασ"]
+    odd = ["  Straße\n x ", "ΣΑΣ", "İstanbul", "ﬁne", "ŉ", "abc", "", None, "😀 É", "ᏸ"]
+    assert column(odd, tx.same_value(x)) == [None if v is None else " ".join(v.split()).casefold() for v in odd]
+    assert column(["a\ufdd0b c"], F.transform(tx.matches(x, r"\S+"), lambda m: m["value"])) == [["a\ufdd0b", "c"]]
     assert column(["[ID_DOC_12]", "x"], tx.label_of(x)) == ["ID_DOC", ""]
     assert column(["A<b>&"], tx.escape_html(x)) == ["A&lt;b&gt;&amp;"]
     assert column(["FIRSTNAME_1"], tx.without_suffix(x)) == ["FIRSTNAME"]
     assert column(["ORG=6 iban=2.5", "X"], tx.weights(x)) == [{"ORG": 6.0, "IBAN": 2.5}, {"X": None}]
+    assert column(["😀"], tx.hue(x)) == [(0xD83D * 31 + 0xDE00) % 360]
     assert column(["FULLNAME"], tx.hue(x)) == [__import__("functools").reduce(lambda h, c: (h * 31 + ord(c)) % 360, "FULLNAME", 0)]
     assert column(["\x1c ab  "], tx.lead(x)) == [2] and column(["ab \x1f"], tx.tail(x)) == [2]
 
