@@ -371,7 +371,11 @@ _BLANK = {"kind": "blank", "last": None, "stop": None, "sizes": None, "cores": N
 
 
 def read_endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(``id``, ``src``, ``source``, ``text_hash`` and what read_one gives) of every text; the whole text is read once."""
+    """(``id``, ``src``, ``source``, ``text_hash`` and what read_one gives) of every text; the whole text is read once.
+
+    ``key`` must be unique. A null, empty or blank text is ``blank`` and has no lengths; other columns are not read; an
+    empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
