@@ -37,7 +37,7 @@ def merge(candidates: Column, text: Column) -> Column:
     def trimmed(c: Column) -> Column:
         value = _cut(text, c["start"], c["end"])
         start = c["start"] + lead(value)
-        end = F.greatest(start, c["end"] - tail(value))
+        end = F.greatest(start, F.least(c["end"], F.length(text)) - tail(value))  # nothing of a span lies beyond the text
         return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), c["label"].alias("label"), c["score"].alias("score"), c["validated"].alias("validated"), c["source"].alias("source"), c["ord"].alias("ord"))
 
     out = F.array_sort(F.filter(F.transform(kept, trimmed), lambda c: c["end"] > c["start"]))
