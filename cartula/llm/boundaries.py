@@ -6,17 +6,17 @@ or date is, and what can open a sentence in mixed case or in text of one case.
 
 from __future__ import annotations
 
-# Abbreviations that always stand before what they belong to.
+# Abbreviations that always stand before what they belong to.
 LEADING = frozenset(
     "all allg art artt avv cap cc cell cfr circ co cod col comma cpv d dep dir doc dott dr ecc.mo es est fasc fig figg fisc fn geom gg ill"
     " id ing int iva lett lin loc m mons n nn not nr num on op p pag pagg par part pec ph pp prof prot prov ra rag rep rev r rif s sc"
     " sec seg segg sez sig soc sigg sign spett ss ssa st sub tab tel ti tit v vd vol voll vs w".split()
 )
-# Abbreviations and company forms that may close a sentence.
+# Abbreviations and company forms that may close a sentence.
 CLOSING = frozenset("ag bv coop corp ecc etc gmbh inc llc ltd sa sapa sarl sas snc spa srl srls".split())
-# Letters of company forms written apart, each followed by a full stop.
+# Letters of company forms written apart, each followed by a full stop.
 FORMS = frozenset(["s p a", "s r l", "s r l s", "s n c", "s a s", "s s", "s c", "s c a r l", "s c r l", "s a p a", "& c", "s a", "e c"])
-# Words that can open a full sentence after a semicolon or an ambiguous abbreviation.
+# Words that can open a full sentence after a semicolon or an ambiguous abbreviation.
 OPENING = frozenset(
     "a ad agli ai al all alla alle allo anche ancora anzi così che chi ci come con contrariamente contro cui d da dagli dai dal dall dalla dalle"
     " data dato degli dei del dell della delle dello di dinanzi dopo dunque durante e è ed entro essa esse essi esso fermo ferma fino fra fu gli i il"
@@ -25,7 +25,7 @@ OPENING = frozenset(
     " questo quindi resta restano rilevato ritenuto salva salvo se secondo seguono senza si sia sotto stante su sui sul sull sulla sulle tale"
     " tali trattasi tra tramite tutta tutte tutti tutto un un' una uno visto vista".split()
 )
-# Last parts of mail and web addresses.
+# Last parts of mail and web addresses.
 DOMAINS = frozenset("com de edu es eu example fr gov info int invalid it local net org test uk".split())
 
 ENDERS = frozenset(".!?…")
