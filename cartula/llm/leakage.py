@@ -22,7 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from cartula.functions.names import name_key, spelling
-from cartula.plans.lineage import cut
+from cartula.plans.lineage import broadcast_within, cut, shuffled
 
 #: Words of the longest shingle.
 SHINGLE = 6
@@ -32,6 +32,8 @@ BLOCK = 512
 COUNTERS = 1 << 19
 #: The map of indexed shingles has 2 to the power of so many bits: 16 to 32 for each shingle, at least and at most (128 MB).
 LEAST_BITS, MOST_BITS = 20, 30
+#: A worker fills the map in pieces of 2 to the power of so many bits (8 kB).
+PIECE = 16
 #: Parts into which the training rows of a shingle are split, so that a common one isn't one task.
 SALTS = 8
 #: 64-bit words of the parity signature.
@@ -269,14 +271,24 @@ def _index(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
 
 
 def _map_of(index: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for each indexed shingle, and the power of two of the bits; beyond MOST_BITS the map only lets more through."""
-    power = min(MOST_BITS, max(LEAST_BITS, (16 * index.count()).bit_length()))
-    place = F.shiftrightunsigned("key", 64 - power)
-    words = index.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - power}) & 63 as int))").alias("bit"))
-    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << power - 6, dtype=np.int64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out.view(np.uint64), power
+    """A bit for each indexed shingle, and the power of two of the bits; beyond MOST_BITS the map only lets more through.
+
+    Workers fill pieces of the map; the driver takes one partition's pieces at a time, so that it holds the map once.
+    """
+    keys = cut(index.select("key").distinct())
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+
+    def piece(group: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PIECE, dtype=bool)
+        bits[(group.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64) & (1 << PIECE) - 1] = True
+        return pa.table({"piece": group.column("piece")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    placed = keys.select(F.shiftrightunsigned("key", 64 - power + PIECE).cast("int").alias("piece"), "key")
+    out = np.zeros(1 << power - 3, dtype=np.uint8)
+    size = 1 << PIECE - 3
+    for at, bits in placed.groupBy("piece").applyInArrow(piece, "piece int, bits binary").toLocalIterator():
+        out[at * size : (at + 1) * size] = np.frombuffer(bits, dtype=np.uint8)
+    return out.view("<u8"), power
 
 
 def _probe(texts: DataFrame, bits: np.ndarray, power: int) -> DataFrame:
@@ -323,14 +335,12 @@ def _matches(train: DataFrame, evaluation: DataFrame, train_key: str, eval_key:
     right = F.abs((F.col("a.n") - F.col("a.place")) - (F.col("b.n") - F.col("b.place")))
     turned = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _SIG), F.lit(0))
     near = (F.abs(F.col("a.place") - F.col("b.place")) + right <= room) & (turned <= 2 * room)
-    pairs_ = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & near).select(F.col("b.rep").alias("t"), F.col("a.rep").alias("v")).distinct()
-    told = (
-        pairs_.join(tt.select(F.col("rep").alias("t"), F.col("words").alias("tw")), "t")
-        .join(vt.select(F.col("rep").alias("v"), F.col("words").alias("vw")), "v")
-        .where(_near("tw", "vw"))
-        .select("t", "v")
-    )
-    least = lambda rows, name: rows.select("id", "cls").join(rows.groupBy("cls").agg(F.min("id").alias(name)), "cls").select(name, "id")
+    found = shuffled(a).join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & near).select(F.col("b.rep").alias("t"), F.col("a.rep").alias("v")).distinct()
+    some = broadcast_within(cut(found))
+    tw = shuffled(tt.select(F.col("rep").alias("t"), F.col("words").alias("tw"))).join(some, "t")
+    vw = shuffled(vt.select(F.col("rep").alias("v"), F.col("words").alias("vw"))).join(some, "v")
+    told = tw.join(shuffled(vw), ["t", "v"]).where(_near("tw", "vw")).select("t", "v")
+    least = lambda rows, name: rows.select("id", "cls").join(shuffled(rows.groupBy("cls").agg(F.min("id").alias(name))), "cls").select(name, "id")
     return told, least(t, "t"), least(v, "v")
 
 

@@ -49,6 +49,15 @@ def broadcast_within(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if few else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Hint that a join with ``df`` shuffles and merges (a broadcast hint on the other side still wins).
+
+    Spark guesses the size of a frame made by a generator or by Python from the bytes of the files behind it, and would send
+    one to the driver that is a hundred times as large as guessed.
+    """
+    return df.hint("merge")
+
+
 #: A key is hot when more than so small a part of all rows has it; there are fewer hot keys than its inverse.
 HOT = 0.001
 

@@ -109,6 +109,37 @@ def test_overlaps_of_the_tables(spark, data):
     assert sum(r["pairs"] for r in report) == len(want) and sum(r["records"] for r in report) == len(read("validation_real"))
 
 
+def test_overlaps_send_no_large_side_to_the_driver(spark, tmp_path):
+    rnd = random.Random(4)
+    train = [(i, [rnd.choice("abcdefghij") * 3 + str(rnd.randint(0, 400)) for _ in range(60)]) for i in range(300)]
+    val = [(1000 + i, w[:-1] + ["fine"]) for i, w in train[:100]]
+    read = []
+    for name, rows in (("t", train), ("v", val)):
+        spark.createDataFrame(rows, "rec_id bigint, tokens array<string>").write.parquet(f"{tmp_path}/{name}")
+        read.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    joins, real = [], type(read[0]).join
+
+    def join(a, b, *args):
+        joins.append(out := real(a, b, *args))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(read[0]), "join", join)
+        got = {tuple(r) for r in leakage.overlaps(*read, "rec_id", "rec_id").collect()}
+    assert got == {(i, 1000 + i) for i in range(100)}
+    # the guessed sizes are far under the threshold of a broadcast: only the counted pairs may be sent
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in joins[:4]]
+    assert all("strategy=merge" in x for x in plans)
+
+
+def test_map_of_shingles(spark):
+    keys = [5, -1, 1 << 62, -(1 << 63), 77 << 40, 77 << 40]
+    bits, power = leakage._map_of(spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    want = {(k % (1 << 64)) >> 64 - power for k in keys}
+    assert set(np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")).tolist()) == want
+    assert not leakage._map_of(spark.createDataFrame([], "key bigint"))[0].any()
+
+
 def test_distance_and_cover():
     rnd = random.Random(3)
     for _ in range(400):
