@@ -1,11 +1,12 @@
 """Splits that keep related records together.
 
-Records that share a template or a source, directly or through others, form a component. Components of one size and label
-profile form a bundle. A min-cost flow sends the components of every bundle through classes of like size to the splits:
-each split's share of a bundle and of a class is free, what goes beyond costs more by the records that it moves, so large
-and small components and all profiles are spread in proportion. The flow is integral; an exchange of single components
-inside classes then brings the splits to their quotas of records and of labels. A hash decides which components of a
-bundle go where.
+Records that share a template or a source, directly or through others, form a component. Components that hold more than
+a fixed part of all records are heavy, so there is a fixed number of them at most; those of one size and label profile form
+a bundle. A min-cost flow sends the components of every bundle through classes of like size to the splits: each split's share of
+a bundle and of a class is free, what goes beyond costs more by the records that it moves. All other components, by their exact
+label counts, go one by one to the split that lacks most of what they hold, on the cluster in blocks by hash. An exchange of
+single components, heavy ones and small ones alike, then brings the splits to their quotas of records and of labels.
+The same steps run on any input; a hash decides between like components.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import heapq
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ BUNDLE_COST, CLASS_COST = 1, 4
 #: Cost in the exchange of a record beyond a split's quota, of a component beyond its share of a class, in records, and of a label.
 QUOTA_WEIGHT, CLASS_WEIGHT, LABEL_WEIGHT = 20.0, 4.0, 1.0
 
-#: Different bundles that the driver may see, and the levels of a label's share in a component, the finest first, of which
-#: the first is taken that gives no more (None: exact counts; 0: sizes alone, in classes where even these are too many).
-MOST_BUNDLES, LEVELS = 1_500, (None, 8, 4, 2, 1, 0)
+#: A component is heavy when so many of its size would hold more than all records: there are fewer heavy ones than that.
+MOST_HEAVY = 1_500
+
+#: Components of a block, about, that are dealt out by one task; sizes up to which single components of blocks may change splits later.
+BLOCK, SMALL = 10_000, 64
 
 #: Tags whose counts make up a profile: the most frequent ones; rarer ones are not balanced.
 MOST_TAGS = 64
@@ -165,15 +169,17 @@ def flow_of(bundles: list[Bundle], shares: list[float]) -> list[list[int]]:
 class Exchange:
     """Single components change splits while that lowers the deviations from quotas of records, shares of the classes and of labels."""
 
-    def __init__(self, bundles: list[Bundle], told: list[list[int]], shares: list[float]):
+    def __init__(self, bundles: list[Bundle], told: list[list[int]], shares: list[float], base: tuple[np.ndarray, np.ndarray] | None = None):
+        """``base``: records and labels (split x tag) that the splits hold besides the bundles."""
         self.k, self.share = len(shares), np.array(shares)
         self.size = np.array([b[0] for b in bundles], dtype=float)
         self.tags = np.array([b[1] for b in bundles], dtype=float).reshape(len(bundles), -1)
         kinds, self.of = np.unique([b[0].bit_length() for b in bundles], return_inverse=True)
         self.weight = np.array([self.size[self.of == c].mean() for c in range(len(kinds))])
         many = np.array([b[2] for b in bundles], dtype=float)
-        self.quota = np.array(whole(int((self.size * many).sum()), shares), dtype=float)
-        self.goal = np.outer(self.share, (self.tags * many[:, None]).sum(0))  # split x tag
+        more = base or (np.zeros(self.k), np.zeros((self.k, self.tags.shape[1])))
+        self.quota = np.array(whole(round((self.size * many).sum() + more[0].sum()), shares), dtype=float) - more[0]
+        self.goal = np.outer(self.share, (self.tags * many[:, None]).sum(0) + more[1].sum(0)) - more[1]  # split x tag
         self.fair = np.outer(np.bincount(self.of, many), self.share)
         self.set(np.array(told, dtype=float))
 
@@ -244,62 +250,119 @@ class Exchange:
         return best.astype(int).tolist()
 
 
-def allocate(bundles: list[Bundle], shares: dict[str, float]) -> list[list[int]]:
-    """For each bundle how many of its components go to each split: the flow, then the exchange; about WORK bundles are looked at."""
-    if not bundles:
+def allocate(bundles: list[Bundle], shares: dict[str, float], cells: list[Bundle] = (), placed: list[list[int]] = (), base: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[int]]:
+    """For each bundle, then for each cell, how many of its components go to each split: the flow for bundles, for cells what is ``placed``,
+    then the exchange (``base``: see there); about WORK bundles are looked at."""
+    every = [*bundles, *cells]
+    if not every:
         return []
     parts = list(shares.values())
-    tries = min(60, WORK // (30 * len(bundles)))
-    return Exchange(bundles, flow_of(bundles, parts), parts).run(steps=min(400, 30 + WORK // (10 * len(bundles))), tries=tries, swaps=64)
+    tries = min(60, WORK // (30 * len(every)))
+    return Exchange(every, [*flow_of(bundles, parts), *placed], parts, base).run(steps=min(400, 30 + WORK // (10 * len(every))), tries=tries, swaps=64)
+
+
+def deal(sizes: np.ndarray, tags: np.ndarray, shares: list[float]) -> np.ndarray:
+    """The split of each component, in the order given: where what it holds (records, records of its class of size, labels) lacks most."""
+    share, m = np.array(shares), tags.shape[1]
+    kinds = np.frexp(sizes.astype(float))[1]
+    lack = np.zeros((len(share), 1 + m + int(kinds.max(initial=0)) + 1))
+    out = np.zeros(len(sizes), dtype=np.int64)
+    for i, (size, kind) in enumerate(zip(sizes, kinds, strict=True)):
+        at = np.concatenate([[0], 1 + np.flatnonzero(tags[i]), [1 + m + kind]])
+        x = np.concatenate([[size], tags[i][tags[i] != 0], [size]]).astype(float)
+        weight = x.copy()
+        weight[-1] *= CLASS_WEIGHT
+        lack[:, at] += share[:, None] * x
+        out[i] = j = int(np.argmax(lack[:, at] @ weight))
+        lack[j, at] -= x
+    return out
+
+
+def _dealt(light: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``light`` (group, size, tags, draw) with ``split``, dealt out in blocks by hash."""
+    names = np.array(list(shares))
 
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("size", "descending"), ("draw", "ascending"), ("group", "ascending")])
+        tags = np.array(block.column("tags").to_pylist(), dtype=np.int64).reshape(block.num_rows, -1)
+        told = names[deal(block.column("size").to_numpy(), tags, list(shares.values()))]
+        return block.select(["group", "size", "tags", "draw"]).append_column("split", pa.array(told.tolist(), pa.string()))
 
-def _profiles(comps: DataFrame, names: list[str], level: int | None, exact_sizes: bool) -> DataFrame:
-    """``comps`` with ``profile`` and ``b_size``: their bundle at a level."""
-    of = F.col("counts")
-    if level is None:
-        told = F.array_join(F.transform(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda t: F.coalesce(of[t], F.lit(0)).cast("string")), ",")
-    elif level == 0 or not names:
-        told = F.lit("")
-    else:
-        told = F.array_join(F.transform(F.array(*[F.lit(n) for n in names]), lambda t: F.ceil(level * F.coalesce(of[t], F.lit(0)) / F.col("size")).cast("string")), ",")
-    size = F.col("size") if exact_sizes else F.expr("cast(pow(2, floor(log2(size))) as bigint)")
-    return comps.withColumns({"profile": told, "b_size": size})
+    blocks = 1 + light.count() // BLOCK
+    return light.withColumn("block", F.pmod("draw", F.lit(blocks))).groupBy("block").applyInArrow(run, "group string, size bigint, tags array<bigint>, draw bigint, split string")
+
+
+def _changes(before: list[int], after: list[int]) -> list[tuple[int, int, int]]:
+    """(from, to, how many) that turns one count by split into another."""
+    out, now = [], list(before)
+    for a, b in itertools.permutations(range(len(now)), 2):
+        if (n := min(now[a] - after[a], after[b] - now[b])) > 0:
+            out.append((a, b, n))
+            now[a], now[b] = now[a] - n, now[b] + n
+    return out
 
 
 def split(groups: DataFrame, key: str, labels: str, shares: dict[str, float] = SPLITS, seed: int = 42) -> DataFrame:
     """(``key``, ``group``, ``split``) of every record of ``groups`` (see grouped, with the labels); a group is never divided.
 
-    The profile of a group is how many of its records hold each coarse tag. Bundles reach the driver, at most
-    MOST_BUNDLES: where there are more different profiles, they are told apart by shares in ever fewer levels. An empty
-    table gives no rows; null labels hold no tag; keys must be unique; shares are met as far as the largest groups allow.
+    The profile of a group is how many of its records hold each coarse tag. Heavy groups, fewer than MOST_HEAVY, and sums of the
+    others by size up to SMALL reach the driver. An empty table gives no rows; null labels hold no tag; keys must be unique; shares are met
+    as far as the largest groups allow.
     """
-    spark = groups.sparkSession
+    spark, parts = groups.sparkSession, list(shares)
     tag = lambda x: F.upper(F.regexp_extract(x, r"^[BbIi]-(.+)$", 1))
     fine = F.array_distinct(F.transform(F.array_distinct(labels), lambda x: coarse(tag(x))))
     member = cut(groups.select(F.col(key).alias("id"), "group", F.filter(fine, lambda t: t != "").alias("tags")))
     counted = member.select("group", F.explode("tags").alias("tag")).groupBy("group", "tag").agg(F.count(F.lit(1)).alias("n"))
     vector = counted.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("counts"))  # as many as tags
     sized = member.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    comps = cut(sized.join(vector, "group", "left"))
     names = [r[0] for r in counted.groupBy("tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag").limit(MOST_TAGS).collect()]
-    for level, exact in [*((v, True) for v in LEVELS), (0, False)]:
-        marked = _profiles(comps, names, level, exact)
-        kinds = marked.groupBy("b_size", "profile")
-        if marked.select("b_size", "profile").distinct().limit(MOST_BUNDLES + 1).count() <= MOST_BUNDLES:
-            break
-    mean = [F.coalesce(F.avg(F.coalesce(F.col("counts")[t], F.lit(0))), F.lit(0.0)) for t in names]
-    got = kinds.agg(F.count(F.lit(1)).alias("n"), F.array(*mean).cast("array<double>").alias("tags")).orderBy("b_size", "profile").collect()
-    told = allocate([(r["b_size"], tuple(r["tags"]), r["n"]) for r in got], shares)
-    rows = []
-    for r, counts in zip(got, told, strict=True):
-        upto = 0
-        for name, n in zip(shares, counts, strict=True):
-            if n:
-                rows.append((r["b_size"], r["profile"], upto, upto + n, name))
-                upto += n
-    plan = spark.createDataFrame(rows, "b_size bigint, profile string, above bigint, upto bigint, split string")
-    ranked = hashed_rank(marked.select("group", "b_size", "profile"), ["b_size", "profile"], [F.xxhash64("group", F.lit(seed)), F.col("group")], "place")
-    chosen = ranked.join(broadcast_within(plan, 3 * MOST_BUNDLES), ["b_size", "profile"]).where("place > above and place <= upto").select("group", "split")
+    told = F.array(*[F.coalesce(F.col("counts")[t], F.lit(0)) for t in names]).cast("array<bigint>")
+    comps = cut(sized.join(vector, "group", "left").select("group", "size", told.alias("tags"), F.xxhash64("group", F.lit(seed)).alias("draw")))
+    total = comps.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    heavy = F.col("size") * MOST_HEAVY > total
+    light = cut(_dealt(comps.where(~heavy), shares))
+
+    kinds: dict[tuple, list[str]] = {}
+    for r in comps.where(heavy).orderBy("size", "tags", "draw", "group").collect():
+        kinds.setdefault((r["size"], tuple(r["tags"])), []).append(r["group"])
+    bundles = [(size, tags, len(of)) for (size, tags), of in kinds.items()]
+
+    sums = [F.sum(F.col("tags")[i]).alias(f"t{i}") for i in range(len(names))]
+    cell = F.when(F.col("size") <= SMALL, F.col("size")).otherwise(0).alias("cell")
+    got = light.groupBy(cell, "split").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("records"), *sums).collect()
+    records, held = np.zeros(len(parts)), np.zeros((len(parts), len(names)))
+    placed: dict[int, list[int]] = {}
+    labels_of: dict[int, np.ndarray] = {}
+    for r in got:
+        j, of = parts.index(r["split"]), np.array(r[4:], dtype=float)
+        held[j] += of
+        if r["cell"]:
+            placed.setdefault(r["cell"], [0] * len(parts))[j] = r["n"]
+            labels_of[r["cell"]] = labels_of.get(r["cell"], 0) + of
+        else:
+            records[j] += r["records"]
+    sizes = sorted(placed)
+    cells = [(c, tuple(labels_of[c] / sum(placed[c])), sum(placed[c])) for c in sizes]
+    for c, mean, _ in cells:
+        held -= np.outer(placed[c], mean)
+    final = allocate(bundles, shares, cells, [placed[c] for c in sizes], (records, held))
+
+    fixed = []
+    for of, counts in zip(kinds.values(), final, strict=False):
+        fixed += zip(of, [name for name, n in zip(parts, counts, strict=True) for _ in range(n)], strict=True)
+    moved = []
+    for c, counts in zip(sizes, final[len(bundles) :], strict=True):
+        upto = dict.fromkeys(range(len(parts)), 0)
+        for a, b, n in _changes(placed[c], counts):
+            moved.append((c, parts[a], upto[a], upto[a] + n, parts[b]))
+            upto[a] += n
+    plan = spark.createDataFrame(moved, "size bigint, split string, above bigint, upto bigint, to string")
+    touched = F.broadcast(plan.select("size", "split").distinct())  # at most SMALL sizes in each split
+    ranked = hashed_rank(light.join(touched, ["size", "split"], "left_semi").select("group", "size", "split"), ["size", "split"], [F.xxhash64("group", F.lit(seed)), F.col("group")], "place")
+    change = cut(ranked.join(F.broadcast(plan), ["size", "split"]).where("place > above and place <= upto").select("group", "to"))
+    small = lookup(light.select("group", "split"), change, "group").select("group", F.coalesce("to", "split").alias("split"))
+    chosen = small.unionByName(spark.createDataFrame(fixed, "group string, split string"))
     return lookup(member.select("id", "group"), chosen, "group").select(F.col("id").alias(key), "group", "split")
 
 

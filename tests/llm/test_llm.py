@@ -342,6 +342,22 @@ def test_shares_of_sizes_and_labels(spark):
             assert abs(sum(of[g] == {s} for g in some) - part * len(some)) <= 2
 
 
+def test_labels_of_many_profiles(spark):
+    rnd = random.Random(5)
+    rows, tags = [], ["CITY", "ATTORE", "IBAN", "EMAIL", "DATE", "AMOUNT", "PIVA", "CF"]
+    for g in range(2000):  # nearly all profiles differ, in counts and not in which tags there are
+        likely = [rnd.random() for _ in tags]
+        rows += [(4 * g + i, f"g{g}", ["B-" + t for t, p in zip(tags, likely) if rnd.random() < p]) for i in range(4)]
+    df = spark.createDataFrame(rows, "k bigint, group string, l array<string>")
+    got = {r["k"]: r["split"] for r in splits.split(df, "k", "l").collect()}
+    n = collections.Counter(got.values())
+    assert [n[s] for s in splits.SPLITS] == [6400, 800, 800]
+    for t in tags:
+        held = collections.Counter(got[k] for k, _, x in rows if "B-" + t in x)
+        for s, part in splits.SPLITS.items():
+            assert abs(held[s] - part * held.total()) <= 8  # of about 400
+
+
 def test_splits_of_an_empty_table(spark, data):
     syn = spark.read.parquet(f"{data}/synthetic_pii_it_200k.parquet").limit(0)
     assert splits.records_in_splits(spark, syn, spark.read.parquet(f"{data}/legal_templates.parquet")).count() == 0
